@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import packing, store
+from pagewright.llm import exact, packing, simhash, store
 from pagewright.llm.common import scratch, table
 
 
@@ -17,6 +17,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op4_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark)
     store.write(table(spark, sf_dir, "documents"), at, tokenizer_path("word_bpe_49k.json"), end_id=1)
@@ -29,8 +37,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_anchors": op2_simhash_anchors,
+    "op3_block_naming": op3_block_naming,
     "op4_content_store": op4_content_store,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3 = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_points,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+), g AS (
+  SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_points DESC, doc_id) AS keep_id
+  FROM t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_block_naming": _OP3}
