@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact, packing, simhash, store
+from pagewright.llm import exact, lines, mixing, packing, simhash, store
 from pagewright.llm.common import scratch, table
 
 
@@ -31,6 +31,15 @@ def op4_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.verify(spark, at).select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
 
 
+def op6_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
+
+
+def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdict = lines.judge(table(spark, sf_dir, "documents"))
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, capacity=1024)
     return packing.pack(parts, 1024)
@@ -40,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_anchors": op2_simhash_anchors,
     "op3_block_naming": op3_block_naming,
     "op4_content_store": op4_content_store,
+    "op6_sainte_lague": op6_sainte_lague,
+    "op8_line_frequency": op8_line_frequency,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
@@ -56,4 +67,45 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_block_naming": _OP3}
+_OP8 = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n >= 2
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, source, line, lower(regexp_replace(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]', '0', 'g')) AS norm,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), hashed AS (
+  SELECT *, ('0x' || substr(md5(norm), 1, 15))::BIGINT AS h FROM l
+), family AS (
+  SELECT doc_id, min(h) AS family FROM hashed GROUP BY doc_id
+), host AS (
+  SELECT source, count(DISTINCT family) AS families FROM hashed JOIN family USING (doc_id) GROUP BY source
+), base AS (
+  SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         (SELECT count(*) - count(DISTINCT line) FROM l WHERE l.doc_id = d.doc_id) AS n_dup_lines,
+         coalesce(r.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN repeats r ON r.doc_id = d.doc_id
+), often AS (
+  SELECT source, h FROM hashed JOIN family USING (doc_id) JOIN host USING (source)
+  GROUP BY source, h, families HAVING count(DISTINCT family) > greatest(20, 0.005 * families)
+)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f.base_failed,
+       n_words - coalesce(x.n, 0) AS n_left,
+       NOT f.base_failed AND n_words - coalesce(x.n, 0) >= 0.3 * n_words AS kept
+FROM base b
+JOIN (SELECT doc_id, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base) f ON f.doc_id = b.doc_id
+LEFT JOIN (SELECT l.doc_id, sum(l.n)::BIGINT AS n FROM hashed l JOIN often o ON o.source = l.source AND o.h = l.h GROUP BY 1) x ON x.doc_id = b.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_block_naming": _OP3, "op8_line_frequency": _OP8}
