@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import exact, lines, mixing, packing, simhash, store
+from pagewright.llm import edits, exact, lines, mixing, packing, ppm, ranking, simhash, store, urls
 from pagewright.llm.common import scratch, table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after redaction."""
+    return edits.edited_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), edits.redactions)
+
+
 def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,10 +36,33 @@ def op4_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.verify(spark, at).select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
 
 
+#: Fixed rules, host and path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+#: The list that the cascade encodes: hosts of the corpus with one of these in their name.
+LISTED_TERMS = ("adult", "ads-", "bets", "casino", "pills", "spam")
+
+
+def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = F.rlike("host", F.lit("|".join(LISTED_TERMS)))
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+
+
 def op6_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
 
 
+def _fold(n: int):
+    """CRC-32 of the doc_id's digits, modulo ``n``."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n
+
+
+def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    langs, trees = ppm.train(docs.where(_fold(4) != 2))
+    found = ppm.identify(docs, langs, trees)
+    return found.select("doc_id", (_fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = lines.judge(table(spark, sf_dir, "documents"))
     return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept")
@@ -45,13 +73,23 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts, 1024)
 
 
+def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(_fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    ranked = ranking.rank(table(spark, sf_dir, "documents"), labels)
+    return ranked.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_edit_token_counts": op1_edit_token_counts,
     "op2_simhash_anchors": op2_simhash_anchors,
     "op3_block_naming": op3_block_naming,
     "op4_content_store": op4_content_store,
+    "op5_bloom_cascade": op5_bloom_cascade,
     "op6_sainte_lague": op6_sainte_lague,
+    "op7_ppm_language": op7_ppm_language,
     "op8_line_frequency": op8_line_frequency,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_bradley_terry": op10_bradley_terry,
 }
 
 _OP3 = r"""
@@ -67,6 +105,24 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+_OP5 = r"""
+WITH p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r(verdict, rule, rhost, rpath) AS (
+  VALUES ('allow', 'com/', 'com', '/'), ('block', 'example.com/en/', 'example.com', '/en/'),
+         ('allow', 'www.example.com/en/', 'www.example.com', '/en/'), ('block', 'net/es/', 'net', '/es/'), ('block', 'net/fr/', 'net', '/fr/')
+), fit AS (
+  SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+  FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
+)
+SELECT p.page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host, 'adult|ads-|bets|casino|pills|spam') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit ON fit.page_id = p.page_id
+"""
+
 _OP8 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS text,
@@ -108,4 +164,4 @@ JOIN (SELECT doc_id, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 LEFT JOIN (SELECT l.doc_id, sum(l.n)::BIGINT AS n FROM hashed l JOIN often o ON o.source = l.source AND o.h = l.h GROUP BY 1) x ON x.doc_id = b.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_block_naming": _OP3, "op8_line_frequency": _OP8}
+ORACLE_SQL: dict[str, str] = {"op3_block_naming": _OP3, "op5_bloom_cascade": _OP5, "op8_line_frequency": _OP8}
