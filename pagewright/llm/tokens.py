@@ -16,25 +16,56 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct pieces held by a worker in each of two generations; when the younger is full it
-#: becomes the older, so that frequent pieces stay and rare ones go.
-PIECES_HELD = 300_000
-#: Longer pieces are encoded each time and not held.
-LONG_PIECE = 48
 #: Text of one round of encoding, in bytes; a longer text makes a round of its own.
 ROUND_BYTES = 1 << 20
 
-#: Stands for the end of a word inside a merge table of bytes.
-_END = "\ue000"
-#: White space other than blank and newline, special tokens, the end mark's own lead bytes and
-#: the one letter whose lower case depends on its neighbours.
-_UNSAFE = re.compile("[^\\S \n]|<\\||[\ue000-\ue03fΣ]")
+#: Ends a word inside a merge table of bytes: no word holds a blank.
+_END = " "
+#: Parts the texts of a round; neither a quick nor a slow text holds it.
+_PART = "\0"
+#: Special tokens, the parting sign, and the one letter whose lower case depends on its neighbours.
+_LIBRARY_ONLY = re.compile(r"<\||\0|\u03a3")
+#: Anything but blanks, newlines, visible ASCII and Latin letters in composed form with a lower case of one letter.
+_NOT_QUICK = re.compile(r"[^ \n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]")
+#: Kinds of the bytes of quick texts: 0 white space, 1 letters (as all bytes of Latin letters), 2 digits, 3 others.
+_KIND = np.full(256, 3, dtype=np.uint8)
+_KIND[[0, 10, 32]] = 0
+_KIND[97:123] = _KIND[128:] = 1
+_KIND[48:58] = 2
+
+
+def _apart(data: bytes) -> bytes:
+    """Lower-cased quick texts with a blank behind each word: letters, one digit, other signs, or
+    an apostrophe that begins a run of signs with the ending behind it (s t m d re ve ll)."""
+    x = np.frombuffer(data, dtype=np.uint8)
+    kind = _KIND[x]
+    ends = np.empty(len(x), dtype=bool)
+    ends[:-1] = (kind[1:] != kind[:-1]) | (kind[:-1] == 2)
+    ends[-1:] = True
+    ends &= kind != 0
+    quote = np.flatnonzero(x == 39)
+    if len(quote):
+        quote = quote[(quote == 0) | (kind[quote - 1] != 3)]
+        ahead = np.concatenate((x, np.zeros(2, np.uint8)))
+        a, b = ahead[quote + 1], ahead[quote + 2]
+        two = ((a == 114) | (a == 118)) & (b == 101) | (a == 108) & (b == 108)
+        one = (a == 115) | (a == 116) | (a == 109) | (a == 100)
+        ends[quote[one | two]] = False
+        ends[quote[one] + 1] = True
+        ends[quote[two] + 1] = False
+        ends[quote[two] + 2] = True
+    out = x.copy()
+    out[x == 10] = 32
+    at = np.flatnonzero(ends[:-1] & (out[1:] != 32)) + 1
+    out = np.insert(out, at, 32)
+    return out.tobytes() + b" "
+
+
 #: Byte-level words as the tokenizers library's ByteLevel step cuts them.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -69,7 +100,7 @@ class Encoder:
 
         tokens = {bytes([b]): vocab[c] for c, b in alphabet.items()}
         if suffix:
-            tokens |= {end[:2]: 0, end: 0} | {bytes([b]) + end: vocab[c + suffix] for c, b in sorted(alphabet.items(), key=lambda x: x[1])}
+            tokens |= {bytes([b]) + end: vocab[c + suffix] for c, b in sorted(alphabet.items(), key=lambda x: x[1])}
         for pair in merges:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             tokens.setdefault(raw(left + right), vocab[left + right])
@@ -84,10 +115,8 @@ class Encoder:
             import regex
 
             self.pattern = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
-        words = f"[^ \n{_END}]+{_END}| " if suffix else _BYTE_LEVEL
+        words = f"[^ {_PART}]+ |{_PART}" if suffix else _BYTE_LEVEL
         self.core = tiktoken.Encoding("merges", pat_str=words, mergeable_ranks=ranks, special_tokens={})
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -99,45 +128,30 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.pattern is None:
             return [self._library([t])[0] if "<|" in t else self.ids[self._ranks(t)].tobytes() if t else b"" for t in texts]
-        whole = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
+        whole, slow, quick = [], [], []
+        for i, t in enumerate(texts):
+            (whole if _LIBRARY_ONLY.search(t) else slow if _NOT_QUICK.search(t) else quick).append(i)
+        out: dict[int, bytes] = {}
         if whole:
-            out = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True))
-            safe = [i for i in range(len(texts)) if i not in out]
-            out |= dict(zip(safe, self._words([texts[i] for i in safe]), strict=True))
-            return [out[i] for i in range(len(texts))]
-        return self._words(texts)
-
-    def _words(self, texts: list[str]) -> list[bytes]:
-        """White space ends words here, so the pieces between blanks are encoded once each."""
-        cut = [t.split(" ") for t in texts]
-        young, old = self.young, self.old
-        missing = set(chain.from_iterable(cut)).difference(young)
-        if len(young) + len(missing) > PIECES_HELD:
-            self.old, self.young = old, young = young, {}
-            missing.update(chain.from_iterable(cut))
-        back = missing.intersection(old)
-        young.update((k, old[k]) for k in back)
-        fresh = list(missing.difference(back))
-        young.update(zip(fresh, self._pieces(fresh), strict=True))
-        get = young.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        for k in fresh:
-            if len(k) > LONG_PIECE:
-                del young[k]
+            out |= zip(whole, self._library([texts[i] for i in whole]), strict=True)
+        if quick:
+            joined = _PART.join([texts[i].lower() for i in quick]).encode()
+            out |= zip(quick, self._parted(_apart(joined).decode()), strict=True)
+        if slow:
+            words = [" ".join([*self.pattern.findall(unicodedata.normalize("NFC", texts[i]).lower()), ""]) for i in slow]
+            out |= zip(slow, self._parted(_PART.join(words)), strict=True)
+        return [out[i] for i in range(len(texts))]
+
+    def _parted(self, text: str) -> list[bytes]:
+        """Ids of texts whose words each end in a blank."""
+        ranks = self._ranks(text)
+        ends = [*np.flatnonzero(ranks == 0).tolist(), len(ranks)]
+        held, at, out = self.ids[ranks].tobytes(), 0, []
+        for end in ends:
+            out.append(held[4 * at : 4 * end])
+            at = end + 1
         return out
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """All pieces in one call: a blank, which no word holds, parts them."""
-        if not pieces:
-            return []
-        text = " ".join(pieces)
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        ranks = self._ranks(self.pattern.sub(rf"\g<0>{_END}", text.lower()))
-        ends = [*(np.flatnonzero(ranks == 32) * 4).tolist(), len(ranks) * 4]
-        held = self.ids[ranks].tobytes()
-        return [held[a:b] for a, b in zip([0, *[x + 4 for x in ends[:-1]]], ends, strict=True)]
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
