@@ -2,9 +2,12 @@
 
 Lines are normalised and hashed; for each host (here: source) the distinct documents with a
 line are counted. Lines in more documents than the limit are boilerplate and are removed; a
-document that keeps too few of its words is rejected. Copies of one document must not look
-like boilerplate, so documents count as distinct by their smallest line hash: a group of copies
-counts once, however large it is, and near copies nearly so.
+document that keeps too few of its words is rejected.
+
+Copies of one document must not look like boilerplate, so copies count as one document. A
+document half of whose words or more lie in often seen lines is taken for a copy and goes by the
+smallest hash among those lines, which near copies share; any other document goes by the
+smallest hash among its own lines.
 """
 
 from __future__ import annotations
@@ -72,19 +75,24 @@ def _shape(docs: DataFrame) -> DataFrame:
     )
     got = got.select("row", "doc_id", "host", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.lines")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return got.withColumn("base_failed", failed).withColumn("family", F.array_min(F.transform("lines", lambda x: x["h"])))
+    return got.withColumn("base_failed", failed)
 
 
 def _frequent(shaped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the lines of all documents; host and hash of lines above the limit)."""
-    lines = shaped.select("row", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host"), "family", F.inline("lines"))
-    # two partial aggregates: a hot line is one row a task and family before anything moves
-    seen = lines.groupBy("host", "h").agg(F.count_distinct("family").alias("documents"))
-    whole = lines.groupBy("host").agg(F.count_distinct("family").alias("families"))
+    lines = shaped.select("row", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host"), F.inline("lines"))
+    # a hot line is one row a task and document before anything moves; few lines are seen this often
+    seen = lines.select("host", "h", "row").distinct().groupBy("host", "h").agg(F.count("*").alias("rows"))
+    seen = written(seen.where(F.col("rows") > LEAST_LIMIT).select("host", "h", F.lit(True).alias("seen")))
+    marked = lines.join(seen, ["host", "h"], "left")
+    often_words = F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0))
+    copied, own = F.min(F.when(F.col("seen"), F.col("h"))), F.min(F.when(F.col("seen").isNull(), F.col("h")))
+    families = written(marked.groupBy("row", "host").agg(F.when(2 * often_words >= F.sum("n"), copied).otherwise(own).alias("family")))
+    whole = written(families.groupBy("host").agg(F.count_distinct("family").alias("families")))
+    counted = lines.join(seen, ["host", "h"]).select("row", "host", "h").join(families.select("row", "family"), "row")
+    counted = counted.groupBy("host", "h").agg(F.count_distinct("family").alias("documents"))
     limit = F.greatest(F.lit(LEAST_LIMIT), F.col("families") * HOST_SHARE)
-    # only lines with more documents than the least limit can be above it
-    often = written(seen.where(F.col("documents") > LEAST_LIMIT).join(written(whole), "host").where(F.col("documents") > limit).select("host", "h"))
-    return lines, often
+    return lines, written(counted.join(whole, "host").where(F.col("documents") > limit).select("host", "h"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -97,7 +105,7 @@ def judge(docs: DataFrame) -> DataFrame:
     shaped = written(_shape(docs))
     lines, often = _frequent(shaped)
     lost = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("lost"), F.collect_set("h").alias("boilerplate"))
-    out = shaped.drop("lines", "family", "host").join(lost, "row", "left").withColumn("n_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
+    out = shaped.drop("lines", "host").join(lost, "row", "left").withColumn("n_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     kept = ~F.col("base_failed") & (F.col("n_left") >= LEAST_LEFT * F.col("n_words"))
     return out.withColumn("kept", kept).drop("lost")
 

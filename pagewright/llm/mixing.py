@@ -69,7 +69,7 @@ def sainte_lague(parties: DataFrame, group: list[str], party: str, votes: str, s
     best = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     order = F.when(F.col("_d") > 0, -F.col("_q")).otherwise(F.col("_q"))
     tie = F.when(F.col("_d") > 0, F.col("_k")).otherwise(-F.col("_k"))
-    near = near.withColumn("_r", F.row_number().over(best.orderBy(order, party, tie))).where(F.col("_r") <= F.abs("_d"))
+    near = near.withColumn("_r", F.row_number().over(best.orderBy(order, F.when(F.col("_d") > 0, F.col(party)), F.when(F.col("_d") < 0, F.col(party)).desc(), tie))).where(F.col("_r") <= F.abs("_d"))
     change = near.groupBy(*group, party).agg(F.sum(F.signum("_d")).cast("long").alias("_change"))
     return p.join(change, [*group, party], "left").withColumn("quota", F.col("_c") + F.coalesce("_change", F.lit(0))).drop("_v", "_p", "_c", "_d", "_change")
 

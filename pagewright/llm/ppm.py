@@ -115,11 +115,11 @@ class Coder:
 
 
 def train(docs: DataFrame, order: int = ORDER, documents: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[Tree]]:
-    """Languages and their trees from rows of ``docs`` (doc_id, text, lang); null lang and text are left out.
+    """Languages and their trees from rows of ``docs`` (doc_id, text, lang); rows with a null are left out.
 
     The sample is bounded by the two limits, so the trees are too: a few MB for each language.
     """
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= most_bytes)
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.octet_length("text") <= most_bytes)
     order_by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order_by)).where(F.col("n") <= documents)
     ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})  # bounded: `documents` a language

@@ -142,8 +142,11 @@ WITH d AS (
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), hashed AS (
   SELECT *, ('0x' || substr(md5(norm), 1, 15))::BIGINT AS h FROM l
+), seen AS (
+  SELECT source, h FROM hashed GROUP BY source, h HAVING count(DISTINCT doc_id) > 20
 ), family AS (
-  SELECT doc_id, min(h) AS family FROM hashed GROUP BY doc_id
+  SELECT l.doc_id, CASE WHEN 2 * coalesce(sum(l.n) FILTER (s.h IS NOT NULL), 0) >= sum(l.n) THEN min(l.h) FILTER (s.h IS NOT NULL) ELSE min(l.h) FILTER (s.h IS NULL) END AS family
+  FROM hashed l LEFT JOIN seen s ON s.source = l.source AND s.h = l.h GROUP BY l.doc_id
 ), host AS (
   SELECT source, count(DISTINCT family) AS families FROM hashed JOIN family USING (doc_id) GROUP BY source
 ), base AS (
@@ -153,7 +156,7 @@ WITH d AS (
          coalesce(r.n, 0) AS n_repeat_words
   FROM d LEFT JOIN repeats r ON r.doc_id = d.doc_id
 ), often AS (
-  SELECT source, h FROM hashed JOIN family USING (doc_id) JOIN host USING (source)
+  SELECT source, h FROM hashed JOIN seen USING (source, h) JOIN family USING (doc_id) JOIN host USING (source)
   GROUP BY source, h, families HAVING count(DISTINCT family) > greatest(20, 0.005 * families)
 )
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f.base_failed,

@@ -10,8 +10,7 @@ fingerprint has about 150 replicas however large the corpus is; the 2**35 anchor
 groups small at 10**10 fingerprints.
 
 Copies and equal fingerprints are one node, so a group of copies costs nothing. Components
-come from rounds of minimum labels with pointer jumps over the links, each round written to
-the shared folder.
+come from rounds that contract the links, each round written to the shared folder.
 """
 
 from __future__ import annotations
@@ -137,23 +136,27 @@ def links(nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the ends of ``edges`` (a, b): label is the smallest node reachable.
 
-    Each round gives a node and its present label the least label among neighbours, then jumps
-    one pointer; rounds grow with the logarithm of a component's width. Every round is a table
-    in the shared folder, so a join's hot side can be split and lost executors cost one round.
+    Each round sends a node to its least neighbour's least neighbour and maps the links with
+    it; links inside a group vanish and equal ones merge, so their number falls fast and
+    rounds grow with the logarithm of a component's width. Every round is a table in the
+    shared folder: a join's hot side can be split, and lost executors cost one round.
     """
-    both = written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")))
-    labels = written(both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
+    left = written(edges.select("a", "b").where("a <> b").distinct())
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
-        now = labels.join(near.withColumnRenamed("u", "node"), "node")
-        hooked = now.select("node", F.explode(F.array(F.struct("node", F.least("label", "least").alias("to")), F.struct(F.col("label").alias("node"), F.col("least").alias("to")))).alias("h"))
-        parents = written(hooked.groupBy(F.col("h.node").alias("node")).agg(F.min("h.to").alias("label")))
-        above = parents.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jumped = parents.join(above, "label").select("node", F.least("label", "top").alias("label"))
-        after = written(jumped.join(labels.withColumnRenamed("label", "was"), "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")))
-        changed = after.where("moved").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
+        near = written(ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")))
+        jump = near.join(near.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"))
+        parents = written(jump)
+        if labels is None:
+            labels = parents.withColumnRenamed("to", "label")
+        else:
+            moved = labels.join(parents.withColumnRenamed("node", "label"), "label", "left")
+            labels = written(moved.select("node", F.coalesce("to", "label").alias("label")))
+        at_a = left.join(parents.withColumnRenamed("node", "a"), "a").select("b", F.col("to").alias("x"))
+        mapped = at_a.join(parents.withColumnRenamed("node", "b"), "b").select(F.col("x").alias("a"), F.col("to").alias("b"))
+        left = written(mapped.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not left.limit(1).count():
             return labels
 
 

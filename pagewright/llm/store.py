@@ -231,7 +231,7 @@ def verify(spark: SparkSession, at: str, width: int = 2) -> DataFrame:
             good = [bool(g) and n == m for g, n, m in zip(b.column("good").to_pylist(), b.column("n").to_pylist(), b.column("length").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(advance(crc, after, tables).astype(np.int64)), pa.array(good)], names=["doc_id", "row", "part", "good"])
 
-    sums = found.mapInArrow(carry, "doc_id long, row long, part long, good boolean").groupBy("doc_id", "row").agg(F.bit_xor("part").alias("ids_crc32"), F.min("good").alias("chunks_good"))
+    sums = found.mapInArrow(carry, "doc_id long, row long, part long, good boolean").groupBy("row").agg(F.bit_xor("part").alias("ids_crc32"), F.min("good").alias("chunks_good"))
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,4 +239,4 @@ def verify(spark: SparkSession, at: str, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "row", "start", "n_tokens")), pa.array(good)], names=["doc_id", "row", "start", "n_tokens", "root_good"])
 
     heads = recipes(spark, at).select("doc_id", "row", "start", "n_tokens", "digests", "root").mapInArrow(rooted, "doc_id long, row long, start long, n_tokens long, root_good boolean")
-    return heads.join(sums, ["doc_id", "row"]).select("doc_id", "row", "start", "n_tokens", "ids_crc32", (F.col("root_good") & F.col("chunks_good")).alias("verified"))
+    return heads.join(sums, "row").select("doc_id", "row", "start", "n_tokens", "ids_crc32", (F.col("root_good") & F.col("chunks_good")).alias("verified"))
