@@ -120,8 +120,12 @@ def train(docs: DataFrame, order: int = ORDER, documents: int = TRAIN_DOCUMENTS,
     The sample is bounded by the two limits, so the trees are too: a few MB for each language.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.octet_length("text") <= most_bytes)
-    order_by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(order_by)).where(F.col("n") <= documents)
+    # the smallest hashes of each language: a cut at twice the expected one first, so that no task ranks a whole language
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))
+    near = usable.select("doc_id", "lang", place.alias("_at")).join(sizes, "lang").where(F.col("_at").cast("double") * F.col("_n") < float(1 << 40) * (2 * documents + 100))
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_at", "doc_id")))
+    chosen = ranked.where(F.col("_r") <= documents)
     ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})  # bounded: `documents` a language
     if not ids:
         return [], []
