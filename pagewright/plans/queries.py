@@ -658,3 +658,82 @@ def diagnose_hits(spark, sf):
     q = _questions(spark, sf).select(F.col("query_id").alias("item_id"), "book", F.lower(F.substring("text", 1, 30)).alias("lit"))
     hit = q.join(B.chunks(spark, sf), "book").where(F.contains(F.lower("body"), F.col("lit"))).groupBy("item_id").agg(F.count("*").alias("hits"), F.count_if(F.col("is_front_matter") | F.col("is_index")).alias("excluded"))
     return q.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("excluded", F.lit(0)).alias("excluded"))
+
+
+_AUTO = 10
+
+
+@query("auto_cases", rf"""SELECT book, printed_page, array_to_string(w[1:14], ' ') AS phrase FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(best, '^\[[a-z]+\]\s*', ''), '^[A-Za-z ]+:\s*', ''), '\s+'), lambda x: x <> '') AS w FROM (
+  SELECT book, printed_page, list_reduce(lines, lambda a, b: CASE WHEN length(regexp_replace(b, '[^A-Za-z ]', '', 'g')) > length(regexp_replace(a, '[^A-Za-z ]', '', 'g')) THEN b ELSE a END) AS best,
+    row_number() OVER (PARTITION BY book ORDER BY md5('7:' || book || ':' || pdf_index)) AS n FROM book_pages WHERE NOT is_front_matter AND NOT is_index AND len(lines) >= 4) WHERE n <= {_AUTO}) WHERE len(w[1:14]) >= 5""", _PAGES)
+def auto_cases(spark, sf):
+    """A seeded sample of pages of each book, each with the first words of its most wordy line."""
+    from pyspark.sql import Window
+
+    p = B.book_pages(spark, sf).where(~F.col("is_front_matter") & ~F.col("is_index") & (F.size("lines") >= 4))
+    order = F.md5(F.concat(F.lit("7:"), "book", F.lit(":"), F.col("pdf_index").cast("string")))
+    p = p.withColumn("n", F.row_number().over(Window.partitionBy("book").orderBy(order))).where(F.col("n") <= _AUTO)
+    best = F.array_max(F.transform("lines", lambda t, i: F.struct(F.length(F.regexp_replace(t, "[^A-Za-z ]", "")).alias("n"), (-i).alias("i"), t.alias("t"))))["t"]
+    bare = F.regexp_replace(F.regexp_replace(best, r"^\[[a-z]+\]\s*", ""), r"^[A-Za-z ]+:\s*", "")
+    words = F.slice(F.array_remove(F.split(bare, r"\s+"), ""), 1, 14)
+    return p.select("book", "printed_page", words.alias("w")).where(F.size("w") >= 5).select("book", "printed_page", F.array_join("w", " ").alias("phrase"))
+
+
+@query("chapter_context", """SELECT w.book, w.chapter, c.title, t.span, t.summary FROM (
+  SELECT a.book, a.chapter, min(c.id) AS id FROM (SELECT book, CAST(id + 1 AS VARCHAR) AS chapter FROM chapters) a LEFT JOIN chapters c ON c.book = a.book AND contains(lower(c.title), a.chapter) GROUP BY a.book, a.chapter) w
+  JOIN chapters c ON c.book = w.book AND c.id = w.id LEFT JOIN summ t ON t.book = w.book AND t.chapter_id = w.id""", _PAGES + "," + _SUMMARY)
+def chapter_context(spark, sf):
+    c = B.chapters(spark, sf)
+    found = PG.find_chapter(c, c.select("book", (F.col("id") + 1).cast("string").alias("chapter")))
+    return found.join(_summaries(spark, sf).select("book", "chapter_id", "span", "summary"), ["book", "chapter_id"], "left").select("book", "chapter", "title", "span", "summary")
+
+
+@query("answer_dispatch")
+def answer_dispatch(spark, sf):
+    from pagewright.plans.dispatch import dispatch
+
+    given = spark.createDataFrame([(f"q{i:03d}", q) for i, q in enumerate(B.QUESTIONS)], "question_id string, question string")
+    books = B.totals(spark, sf).select("book")
+    asked = books.withColumn("q", F.explode(F.array(*[F.struct(F.lit(f"q{i:03d}").alias("question_id"), F.lit(q).alias("question")) for i, q in enumerate(B.QUESTIONS)]))).select("q.question_id", "book", "q.question")
+    corpus = _corpus(spark, sf)
+    search = asked.select(F.concat_ws("/", "question_id", "book").alias("query_id"), "book", F.col("question").alias("text"))
+    dense = R.dense_topk(corpus.select("book", "chunk", R.hash_embed(F.col("text")).alias("vector")), search.select("query_id", "book", R.hash_embed(F.col("text")).alias("vector")), scope=("book",))
+    lexical = R.bm25_topk(R.postings(corpus), R.bm25_stats(corpus), search)
+    context = R.context(R.fuse(dense, lexical), corpus).withColumn("x", F.split("query_id", "/")).select(F.get("x", F.lit(0)).alias("question_id"), F.get("x", F.lit(1)).alias("book"), "context")
+    s = _summaries(spark, sf)
+    history = given.where("false").select("question_id", F.col("question").alias("answer"))
+    return dispatch(asked, B.book_pages(spark, sf), B.chapters(spark, sf), s, M.rollup(s), context, history)
+
+
+_DIAG = f"""
+usable AS (SELECT book, chunk, pdf_index, body, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ts FROM chunks WHERE NOT is_index AND NOT is_front_matter),
+uvec0 AS (SELECT book, chunk, pdf_index, {_EMBED.format('ts')} AS v FROM usable),
+uvec AS (SELECT *, CASE WHEN n > 0 THEN list_transform(v, lambda x: x / n) ELSE v END AS u FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM uvec0)),
+asks AS (SELECT item_id, 'src' || (item_id % 20) AS book, text AS t, lower(left(text, 30)) AS lit, 0 AS k FROM benchmark UNION ALL SELECT item_id, 'src' || (item_id % 20), left(text, 30), lower(left(text, 30)), 1 FROM benchmark),
+avec AS (SELECT *, CASE WHEN n > 0 THEN list_transform(v, lambda x: x / n) ELSE v END AS u FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT *, {_EMBED.format('ts')} AS v FROM (SELECT *, regexp_extract_all(lower(t), '[a-z0-9'']+') AS ts FROM asks)))),
+near AS (SELECT * FROM (SELECT item_id, k, chunk, pdf_index, row_number() OVER (PARTITION BY item_id, k ORDER BY score DESC, chunk) AS rank FROM (SELECT item_id, k, chunk, pdf_index, round(list_dot_product(uvec.u, avec.u), 6) AS score FROM uvec JOIN avec ON avec.book = uvec.book)) WHERE rank <= CASE WHEN k = 0 THEN 25 ELSE 8 END),
+target AS (SELECT DISTINCT b.item_id, u.pdf_index FROM benchmark b JOIN usable u ON u.book = 'src' || (b.item_id % 20) AND contains(lower(u.body), lower(left(b.text, 30)))),
+found AS (SELECT item_id, min(rank) FILTER (k = 0) AS rank, bool_or(k = 1) AS own FROM near JOIN target USING (item_id, pdf_index) GROUP BY item_id)
+"""
+
+
+@query("diagnose_verdict", """SELECT b.item_id, f.rank, CASE WHEN t.item_id IS NULL THEN 'not ingested' WHEN f.rank <= 12 THEN 'retrieved' WHEN coalesce(f.own, false) THEN 'vocabulary' ELSE 'embedding' END AS verdict
+  FROM benchmark b LEFT JOIN (SELECT DISTINCT item_id FROM target) t ON t.item_id = b.item_id LEFT JOIN found f ON f.item_id = b.item_id""", _PAGES + "," + _CHUNKS + "," + _DIAG, True)
+def diagnose_verdict(spark, sf):
+    """Where each benchmark passage fails: its text is missing, found well, found only by its own words, or not found."""
+    usable = B.chunks(spark, sf).where("NOT is_index AND NOT is_front_matter")
+    q = _questions(spark, sf).withColumnRenamed("query_id", "item_id")
+    literal = F.substring("text", 1, 30)
+    target = q.select("item_id", "book", F.lower(literal).alias("lit")).join(usable, "book").where(F.contains(F.lower("body"), F.col("lit"))).select("item_id", "pdf_index").distinct()
+    v = usable.select("book", "chunk", R.hash_embed(F.col("text")).alias("vector"))
+    asked = lambda text, k: q.select(F.struct("item_id", F.lit(k).alias("k")).alias("query_id"), "book", R.hash_embed(text).alias("vector"))
+    near = R.dense_topk(v, asked(F.col("text"), 0).unionByName(asked(literal, 1)), 25, ("book",)).where((F.col("query_id.k") == 0) | (F.col("rank") <= 8))
+    hit = near.select("query_id.item_id", "query_id.k", "chunk", "rank").join(usable.select("chunk", "pdf_index"), "chunk").join(target, ["item_id", "pdf_index"])
+    found = hit.groupBy("item_id").agg(F.min(F.when(F.col("k") == 0, F.col("rank"))).alias("rank"), F.bool_or(F.col("k") == 1).alias("own"))
+    have = target.select("item_id").distinct().withColumn("have", F.lit(True))
+    verdict = F.when(F.col("have").isNull(), "not ingested").when(F.col("rank") <= 12, "retrieved").when(F.coalesce("own", F.lit(False)), "vocabulary").otherwise("embedding")
+    return q.select("item_id").join(have, "item_id", "left").join(found, "item_id", "left").select("item_id", "rank", verdict.alias("verdict"))
+
+
+QUERIES["diagnose_rank"] = lambda spark, sf: diagnose_verdict(spark, sf).select("item_id", "rank")
+ORACLE_SQL["diagnose_rank"] = f"SELECT item_id, rank FROM ({ORACLE_SQL['diagnose_verdict']})"
