@@ -290,7 +290,8 @@ def bm25_stats(spark, sf):
 
 def _lexical(spark, sf):
     c = _corpus(spark, sf)
-    return R.bm25_topk(R.postings(c), R.bm25_stats(c), _questions(spark, sf))
+    posts = R.postings(c).persist()  # read by the frequencies and again by the scores; spills to disk
+    return R.bm25_topk(posts, R.bm25_stats(c), _questions(spark, sf))
 
 
 @query("bm25_topk", "SELECT query_id, chunk, rank, score FROM lex", _PAGES + "," + _CHUNKS + "," + _BM25, True)
@@ -392,7 +393,26 @@ def eval_metrics(spark, sf):
 
 
 # ---------------------------------------------------------------- routing and conversation
-@query("route_classify")
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_ROUTE = f"""
+q AS (SELECT * FROM {{values}} UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations),
+t AS (SELECT question_id, regexp_replace(coalesce(question, ''), '^\\s+|\\s+$', '', 'g') AS q FROM q),
+n AS (SELECT *, TRY_CAST(regexp_extract(q, {_quoted(P.PAGE_RANGE)}, 1) AS INT) AS a, TRY_CAST(regexp_extract(q, {_quoted(P.PAGE_RANGE)}, 2) AS INT) AS b,
+  list_sort(list_distinct(list_transform(regexp_extract_all(regexp_extract(q, {_quoted(P.PAGE_LIST)}, 1), '[0-9]{{{{1,4}}}}'), lambda x: CAST(x AS INT)))) AS l FROM t),
+k AS (SELECT *, CASE WHEN q = '' THEN 'semantic' WHEN regexp_matches(q, {_quoted(P.PAGE_LINE)}) THEN 'page_line' WHEN regexp_matches(q, {_quoted(P.LINE_PAGE)}) THEN 'line_page'
+  WHEN abs(b - a) <= 30 THEN 'range' WHEN len(l) BETWEEN 2 AND 30 THEN 'list' WHEN regexp_matches(q, {_quoted(P.PAGE)}) THEN 'page' WHEN regexp_matches(q, {_quoted(P.MEMORY)}) THEN 'memory'
+  WHEN regexp_matches(q, {_quoted('(?i)' + '|'.join(P.GLOBAL))}) THEN 'global' WHEN regexp_matches(q, {_quoted(P.CHAPTER)}) THEN 'chapter' ELSE 'semantic' END AS k FROM n),
+r AS (SELECT question_id, CASE k WHEN 'line_page' THEN 'page_line' WHEN 'range' THEN 'pages' WHEN 'list' THEN 'pages' ELSE k END AS kind,
+  TRY_CAST(CASE k WHEN 'page_line' THEN regexp_extract(q, {_quoted(P.PAGE_LINE)}, 1) WHEN 'line_page' THEN regexp_extract(q, {_quoted(P.LINE_PAGE)}, 2) WHEN 'page' THEN regexp_extract(q, {_quoted(P.PAGE)}, 1) END AS INT) AS page,
+  TRY_CAST(CASE k WHEN 'page_line' THEN regexp_extract(q, {_quoted(P.PAGE_LINE)}, 2) WHEN 'line_page' THEN regexp_extract(q, {_quoted(P.LINE_PAGE)}, 1) END AS INT) AS line,
+  CASE k WHEN 'range' THEN list_transform(range(least(a, b), greatest(a, b) + 1), lambda x: CAST(x AS INT)) WHEN 'list' THEN l END AS pages, CASE WHEN k = 'chapter' THEN upper(regexp_extract(q, {_quoted(P.CHAPTER)}, 1)) END AS chapter FROM k)
+""".replace("{values}", B.sql_values(tuple((f"q{i:03d}", x) for i, x in enumerate(B.QUESTIONS)), "question_id, question")).replace("{{", "{").replace("}}", "}")
+
+
+@query("route_classify", """SELECT *, kind || coalesce(' pages=' || pages[1] || '..' || pages[-1] || ' (' || len(pages) || ')', ' page=' || page, '') || coalesce(' line=' || line, '') || coalesce(' chapter=' || chapter, '') AS shown FROM r""", _ROUTE)
 def route_classify(spark, sf):
     said = B.turns(spark, sf).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("question_id"), F.col("text").alias("question"))
     given = spark.createDataFrame([(f"q{i:03d}", q) for i, q in enumerate(B.QUESTIONS)], "question_id string, question string")
@@ -400,7 +420,7 @@ def route_classify(spark, sf):
     return r.select("question_id", F.col("route.kind").alias("kind"), "route.page", "route.line", "route.pages", "route.chapter", Q.route_text(F.col("route")).alias("shown"))
 
 
-@query("route_pages")
+@query("route_pages", "SELECT question_id, unnest(pages) AS page FROM r WHERE kind = 'pages'", _ROUTE)
 def route_pages(spark, sf):
     return route_classify(spark, sf).where("kind = 'pages'").select("question_id", F.explode("pages").alias("page"))
 
