@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import patterns as P
 from pagewright.operators import answers as A
-from pagewright.operators import chunks as C
 from pagewright.operators import conversation as V
 from pagewright.operators import limits as L
 from pagewright.operators import pages as PG
