@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -178,83 +177,140 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The wide signature of ``similar``: bits from shingles of two words, tables of 38 of them, each
-#: with a Golay and a Hamming code, and the bits that a pair may differ in.
-LANES, TABLES, MOST_DIFFERENT = 4, 64, 34
-_CODES = ((23, 0b110001110101, 3), (15, 0b10011, 1))
+#: The wide signature of ``similar``: words of 64 bits, tables of a Golay block of its bits each, and the
+#: bits that a candidate pair may differ in (a similarity of 0.8 differs in 24, deviation 5).
+LANES, TABLES, MOST_DIFFERENT = 4, 64, 44
+#: Smallest shingles, by an order of its own each, that a pair must share besides a table's anchor.
+MINIMA = 2
+#: Words of a shingle and the least similarity (Jaccard, of the sets of shingles) of near-duplicates.
+SHINGLE, LEAST_SIMILAR = 5, 0.8
 
 
-def signature(text: str | None) -> np.ndarray:
-    """LANES words of 64 majority bits over the two-word shingles of a text; zeros for a text without a word."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(29)
+
+
+def _hashed(text: str | None) -> np.ndarray:
+    """XXH64 of each word."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(LANES, "<u8")
-    c = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
-    h = (c[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ c[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(c) > 1 else c * np.uint64(0x9E3779B97F4A7C15)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def _shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of ``size`` words, or one for a shorter text; none for a text without a word."""
+    size = min(size, len(words))
+    h = np.zeros(len(words) - size + 1 if size else 0, dtype=np.uint64)
+    for k in range(size):
+        h = _mix(h + words[k : k + len(h)])
+    return h
+
+
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    return np.unique(_shingles(words, SHINGLE))
+
+
+def signature(words: np.ndarray) -> np.ndarray:
+    """LANES words of 64 majority bits over the two-word shingles; zeros for a text without a word."""
+    h = _shingles(words, 2)
     count = np.zeros(64 * LANES, dtype=np.int64)
     salt = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[None, :]
     for at in range(0, len(h), STEP // LANES):
-        x = (h[at : at + STEP // LANES, None] ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
+        x = _mix(h[at : at + STEP // LANES, None] ^ salt)
         count += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * count > len(h), bitorder="little").view("<u8")
 
 
+def _digest(shingles: np.ndarray) -> list[int]:
+    """128 bits that name a set of shingles."""
+    return [int(_mix(shingles ^ np.uint64(k)).sum(dtype=np.uint64)) for k in (1, 2)]
+
+
 @cache
 def _places() -> np.ndarray:
     """The bits of each table."""
     rng = np.random.default_rng(SEED)
-    return np.stack([rng.permutation(64 * LANES)[: sum(n for n, _, _ in _CODES)] for _ in range(TABLES)])
+    return np.stack([rng.permutation(64 * LANES)[: BLOCKS[0][0]] for _ in range(TABLES)])
+
+
+@cache
+def _orders() -> np.ndarray:
+    """Odd factors; the products with them order the shingles."""
+    return np.random.default_rng(SEED).integers(0, 1 << 63, TABLES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def home_keys(signatures: np.ndarray) -> np.ndarray:
-    """The home anchor of each signature (a row of LANES words) in each table, with the table's number."""
+def home_keys(signatures: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """For each document and table: the home anchor of its signature (a row of LANES words) with MINIMA of its shingles, hashed.
+
+    A code of 23 bits has 4,096 anchors, too few for a large corpus on its own; with the
+    shingles only documents that share some text meet, however many there are.
+    """
     bits = np.unpackbits(np.ascontiguousarray(signatures).view(np.uint8).reshape(len(signatures), -1), axis=1, bitorder="little")[:, _places()]
-    key, at = np.zeros(bits.shape[:2], dtype=np.int64), 0
-    for n, poly, radius in _CODES:
-        x = bits[:, :, at : at + n].astype(np.int64) @ (1 << np.arange(n))
-        flips, begin = _patterns(n, poly, radius)[0]
-        key |= (x ^ flips[begin[_remainder(x, n, poly)]]) << at
-        at += n
-    return key | np.arange(TABLES, dtype=np.int64)[None, :] << at
+    n, poly, radius, _ = BLOCKS[0]
+    x = bits.astype(np.int64) @ (1 << np.arange(n))
+    flips, begin = _patterns(n, poly, radius)[0]
+    anchor = (x ^ flips[begin[_remainder(x, n, poly)]]).astype(np.uint64)
+    least = np.full((len(sets), TABLES * MINIMA), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i, h in enumerate(sets):
+        for at in range(0, len(h), STEP // TABLES):
+            np.minimum(least[i], (h[at : at + STEP // TABLES, None] * _orders()).min(axis=0), out=least[i])
+    key = _mix(anchor + (np.arange(TABLES, dtype=np.uint64) << np.uint64(n)))
+    for k in range(MINIMA):
+        key = _mix(key + least[:, k::MINIMA])
+    return key.view(np.int64)
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of documents whose five-word shingles agree to 0.8 or more, found by estimate.
+    """(doc_id, component_id) of documents that links reach; a link is a similarity of five-word shingles of 0.8 or more.
 
-    A pair of that similarity differs in about 0.095 of the bits of a two-word-shingle
-    signature. It meets at the home anchor of some of the 64 tables with a chance above 0.98;
-    there each signature is held against the anchor's smallest one, so a group of n copies
-    gives n - 1 links and not all pairs. A link needs the whole signatures to be within MOST_DIFFERENT bits.
+    Candidates: a pair of that similarity differs in about 0.095 of the bits of a
+    two-word-shingle signature. It shares the home anchor and the smallest shingles of some of
+    the 64 tables with a chance above 0.99; there each signature is held against the one of the
+    smallest doc_id, so a group of n copies gives n - 1 links and not all pairs. Candidates
+    within MOST_DIFFERENT bits are then checked on their whole sets of shingles. Equal sets are one node.
     """
     lanes = [f"s{i}" for i in range(LANES)]
+    longs = lambda x: pa.array(np.ascontiguousarray(x).view("<i8"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rounds(batches):
-            x = np.array([signature(t) for t in b.column("text").to_pylist()], dtype="<u8").reshape(-1, LANES).view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(LANES))], names=["doc_id", *lanes])
-
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                keys = home_keys(np.stack([part.column(c).to_numpy() for c in lanes], axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), TABLES))], names=["key", "node"])
-
-    signed = written(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, " + ", ".join(f"{c} long" for c in lanes)))
-    nodes = written(signed.groupBy(*lanes).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
-    keys = nodes.select("node", *lanes).mapInArrow(homes, "key long, node long")
+            words = [_hashed(t) for t in b.column("text").to_pylist()]
+            found = [shingle_set(w) for w in words]
+            named = np.array([_digest(x) for x in found], dtype="<u8").reshape(-1, 2)
+            signs = np.array([signature(w) for w in words], dtype="<u8").reshape(-1, LANES)
+            keys = pa.array(list(home_keys(signs, found)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), longs(named[:, 0]), longs(named[:, 1]), *(longs(signs[:, i]) for i in range(LANES)), keys], names=["doc_id", "d0", "d1", *lanes, "keys"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rounds(batches):
+            found = [shingle_set(_hashed(t)) for t in b.column("text").to_pylist()]
+            named = np.array([_digest(x) for x in found], dtype="<u8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), longs(named[:, 0]), longs(named[:, 1]), pa.array([x.view("<i8") for x in found], pa.list_(pa.int64()))], names=["node", "d0", "d1", "shingles"])
+
+    signed = written(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, d0 long, d1 long, " + ", ".join(f"{c} long" for c in lanes) + ", keys array<long>"))
+    nodes = signed.where("doc_id IS NOT NULL").groupBy("d0", "d1")
+    nodes = written(nodes.agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in [*lanes, "keys"]]))
+    keys = nodes.select("node", F.explode("keys").alias("key"))
     # an anchor with one signature links nothing; counts are small next to the keys
     centers = written(keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center"))
     pairs = keys.join(centers, "key").where("node <> center").select("node", "center").distinct()
+    nodes = nodes.drop("keys")
     other = nodes.select(F.col("node").alias("center"), *[F.col(c).alias("o" + c) for c in lanes])
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("o" + c))) for c in lanes[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("os0"))))
-    near = pairs.join(nodes, "node").join(other, "center").where(differ <= MOST_DIFFERENT).select(F.col("center").alias("a"), F.col("node").alias("b"))
-    labels = components(near).withColumnsRenamed({"label": "component_id"})
-    named = written(nodes.join(labels, "node", "left").withColumn("component_id", F.coalesce("component_id", "node")))
-    return signed.join(named, lanes).select("doc_id", "component_id")
+    near = written(pairs.join(nodes, "node").join(other, "center").where(differ <= MOST_DIFFERENT).select("center", "node"))
+
+    asked = near.select("node").union(near.select("center")).distinct()
+    texts = docs.select("doc_id", "text").join(asked.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    whole = texts.mapInArrow(sets, "node long, d0 long, d1 long, shingles array<long>")
+    whole = written(whole.groupBy("node", "d0", "d1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
+    both = near.join(whole, "node").join(whole.select(F.col("node").alias("center"), F.col("shingles").alias("others")), "center")
+    shared = both.select("center", "node", F.size(F.array_intersect("shingles", "others")).alias("n"), (F.size("shingles") + F.size("others")).alias("total"))
+    linked = shared.where(F.col("n") >= LEAST_SIMILAR * (F.col("total") - F.col("n"))).select(F.col("center").alias("a"), F.col("node").alias("b"))
+    labels = components(linked).withColumnsRenamed({"label": "component_id"})
+    named = written(nodes.join(labels, "node", "left").select("d0", "d1", F.coalesce("component_id", "node").alias("component_id")).distinct())
+    return signed.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

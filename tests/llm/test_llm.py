@@ -128,6 +128,33 @@ def test_similar_finds_edited_copies(spark):
     assert all(v // 10 == k // 10 for k, v in got.items())
 
 
+def test_similar_equals_brute_force(spark):
+    """Copies edited in more and more places, documents behind one shared passage, equal sets, short and empty texts."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("etaoinshrdlu", k=r.randint(2, 9)))
+    passage = [word() for _ in range(60)]
+    rows = [(1, None), (2, ""), (3, "one two"), (4, "One  two"), (5, "one two three"), (6, "a b c d e " * 400), (7, "a b c d e " * 50 + "a b c d e")]
+    for g in range(1, 60):
+        base = passage + [word() for _ in range(r.randint(40, 300))]
+        rows.append((100 * g, " ".join(base)))
+        for c in range(1, 6):
+            copy = list(base)
+            for _ in range(max(1, int(len(copy) * r.choice([0.005, 0.01, 0.02, 0.04, 0.08])))):
+                copy[r.randrange(len(copy))] = word()
+            rows.append((100 * g + c, " ".join(copy)))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in rows for w in [(t or "").lower().split()]}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and want[a] != want[b] and alike(a, b):
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = {d: new if c == old else c for d, c in want.items()}
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[d] == want[c] for d, c in got.items())  # nothing below the similarity is joined
+    assert len(got) == len(rows) and len(set(got.values())) <= 1.01 * len(set(want.values()))
+
+
 def test_components_on_a_path(spark):
     e = [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(300)]
     got = simhash.components(spark.createDataFrame(e, "a long, b long")).collect()
