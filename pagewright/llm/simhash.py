@@ -179,11 +179,13 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 #: The wide signature of ``similar``: words of 64 bits, tables of a Golay block of its bits each, and the
 #: bits that a candidate pair may differ in (a similarity of 0.8 differs in 24, deviation 5).
-LANES, TABLES, MOST_DIFFERENT = 4, 64, 44
+LANES, TABLES, MOST_DIFFERENT = 4, 48, 44
 #: Smallest shingles, by an order of its own each, that a pair must share besides a table's anchor.
 MINIMA = 2
 #: Words of a shingle and the least similarity (Jaccard, of the sets of shingles) of near-duplicates.
 SHINGLE, LEAST_SIMILAR = 5, 0.8
+#: Bits of the filter that leaves texts of no candidate where they lie, and bits an id: 8 MB however many ids there are.
+FILTER_BITS, FILTER_HASHES = 1 << 26, 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -262,12 +264,39 @@ def home_keys(signatures: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _filter_places(ids: np.ndarray) -> np.ndarray:
+    return _mix(ids.view(np.uint64)[:, None] + np.arange(1, FILTER_HASHES + 1, dtype=np.uint64)) % np.uint64(FILTER_BITS)
+
+
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) whose doc_id is in ``ids`` (doc_id); a Bloom filter keeps most other texts from being moved.
+
+    Far above ten million ids the filter is full and all texts move; the rows are the same.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = _filter_places(b.column("doc_id").to_numpy()).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["word", "bits"])
+
+    words = ids.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    held = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    held[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = _filter_places(b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
+            yield b.filter(pa.array((held[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).all(axis=1)))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(passed, "doc_id long, text string").join(ids, "doc_id", "left_semi")
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of documents that links reach; a link is a similarity of five-word shingles of 0.8 or more.
 
     Candidates: a pair of that similarity differs in about 0.095 of the bits of a
     two-word-shingle signature. It shares the home anchor and the smallest shingles of some of
-    the 64 tables with a chance above 0.99; there each signature is held against the one of the
+    the 48 tables with a chance above 0.99; there each signature is held against the one of the
     smallest doc_id, so a group of n copies gives n - 1 links and not all pairs. Candidates
     within MOST_DIFFERENT bits are then checked on their whole sets of shingles. Equal sets are one node.
     """
@@ -302,12 +331,13 @@ def similar(docs: DataFrame) -> DataFrame:
     near = written(pairs.join(nodes, "node").join(other, "center").where(differ <= MOST_DIFFERENT).select("center", "node"))
 
     asked = near.select("node").union(near.select("center")).distinct()
-    texts = docs.select("doc_id", "text").join(asked.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    whole = texts.mapInArrow(sets, "node long, d0 long, d1 long, shingles array<long>")
+    whole = _among(docs, asked.withColumnRenamed("node", "doc_id")).mapInArrow(sets, "node long, d0 long, d1 long, shingles array<long>")
     whole = written(whole.groupBy("node", "d0", "d1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
     both = near.join(whole, "node").join(whole.select(F.col("node").alias("center"), F.col("shingles").alias("others")), "center")
     shared = both.select("center", "node", F.size(F.array_intersect("shingles", "others")).alias("n"), (F.size("shingles") + F.size("others")).alias("total"))
     linked = shared.where(F.col("n") >= LEAST_SIMILAR * (F.col("total") - F.col("n"))).select(F.col("center").alias("a"), F.col("node").alias("b"))
+    # written here, as a distinct behind it would keep a hot center's join from being split
+    linked = written(linked)
     labels = components(linked).withColumnsRenamed({"label": "component_id"})
     named = written(nodes.join(labels, "node", "left").select("d0", "d1", F.coalesce("component_id", "node").alias("component_id")).distinct())
     return signed.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")
