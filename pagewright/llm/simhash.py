@@ -186,6 +186,8 @@ MINIMA = 2
 SHINGLE, LEAST_SIMILAR = 5, 0.8
 #: Bits of the filter that leaves texts of no candidate where they lie, and bits an id: 8 MB however many ids there are.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 3
+#: Counters of shingles by which the rarest of a set are told.
+COUNTERS = 1 << 21
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -291,13 +293,80 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(passed, "doc_id long, text string").join(ids, "doc_id", "left_semi")
 
 
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return _mix(shingles ^ np.uint64(SEED)) % np.uint64(COUNTERS)
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """(node, part, n, shingle): the rarest shingles of each row of ``sets`` (node, part, shingles), and n, the number it has.
+
+    Two sets of n and m shingles that are LEAST_SIMILAR share that part of the larger one at
+    least; so in any one order of all shingles the first they share is among the first n - ceil(0.8 n) + 1
+    of the one, and likewise of the other. Rare ones come first by counts in a table of bounded
+    size: two shingles in one counter only make a group larger.
+    """
+
+    def flat(b: pa.RecordBatch) -> np.ndarray:
+        return b.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot, n = np.unique(_slots(flat(b)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int64)), pa.array(n.astype(np.int64))], names=["slot", "n"])
+
+    got = sets.select("shingles").mapInArrow(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    level = np.zeros(COUNTERS, dtype=np.uint8)
+    level[got.column("slot").to_numpy()] = np.minimum(255, 6 * np.log2(got.column("n").to_numpy()))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "part", "n", "shingle"]
+        for b in batches:
+            node, part = b.column("node").to_numpy(), b.column("part").to_numpy()
+            out, held = [], 0
+            for i in range(b.num_rows):
+                h = flat(b.slice(i, 1))
+                n = len(h)
+                take = n - int(np.ceil(LEAST_SIMILAR * n - 1e-9)) + 1 if n else 0
+                h = h[np.lexsort((_mix(h), level[_slots(h)]))[:take]].view(np.int64)
+                out.append((np.full(take, node[i]), np.full(take, part[i]), np.full(take, n), h))
+                held += take
+                if held >= STEP or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=names)
+                    out, held = [], 0
+
+    return sets.select("node", "part", "shingles").mapInArrow(first, "node long, part long, n long, shingle long")
+
+
+def _further_pairs(met: DataFrame, whole: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (center, node) that may be similar, of the nodes that met at a key of ``met`` (key, node, center) without being its center.
+
+    What links join already needs no pair. Nodes of a key that still lie in several components
+    are paired by their rarest shingles, which no similar pair fails to share; so all pairs at a
+    key are judged, and a passage of a large family makes no group.
+    """
+    parts = written(met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part")))
+    several = written(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key"))
+    left = written(parts.join(several, "key", "left_semi").select("node", "part"))
+    rare = written(_rarest(whole.join(written(left.distinct()), "node")))
+    # pairs inside the largest component at a shingle are those of copies: left out before rows meet
+    groups = rare.groupBy("shingle", "part").agg(F.count("*").alias("rows")).groupBy("shingle")
+    groups = written(groups.agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main"))
+    grouped = written(rare.join(groups, "shingle"))
+    a = grouped.where("part <> main").select("shingle", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
+    b = grouped.select("shingle", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), (F.col("part") == F.col("main")).alias("is_main"))
+    sized = F.least("na", "nb") >= LEAST_SIMILAR * F.greatest("na", "nb")
+    found = written(a.join(b, "shingle").where((F.col("pa") != F.col("pb")) & sized & (F.col("is_main") | (F.col("a") < F.col("b")))).select("a", "b"))
+    return written(found.select(F.least("a", "b").alias("center"), F.greatest("a", "b").alias("node")).distinct())
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of documents that links reach; a link is a similarity of five-word shingles of 0.8 or more.
 
     Candidates: a pair of that similarity differs in about 0.095 of the bits of a
     two-word-shingle signature. It shares the home anchor and the smallest shingles of some of
     the 48 tables with a chance above 0.99; there each signature is held against the one of the
-    smallest doc_id, so a group of n copies gives n - 1 links and not all pairs. Candidates
+    smallest doc_id, so a group of n copies gives n - 1 links and not all pairs. Those that this
+    leaves in several components are paired among each other by their rarest shingles. Candidates
     within MOST_DIFFERENT bits are then checked on their whole sets of shingles. Equal sets are one node.
     """
     lanes = [f"s{i}" for i in range(LANES)]
@@ -324,21 +393,26 @@ def similar(docs: DataFrame) -> DataFrame:
     keys = nodes.select("node", F.explode("keys").alias("key"))
     # an anchor with one signature links nothing; counts are small next to the keys
     centers = written(keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center"))
-    pairs = keys.join(centers, "key").where("node <> center").select("node", "center").distinct()
+    met = written(keys.join(centers, "key").where("node <> center"))
+    pairs = written(met.select("center", "node").distinct())
+    asked = pairs.select("node").union(pairs.select("center")).distinct()
+    whole = _among(docs, asked.withColumnRenamed("node", "doc_id")).mapInArrow(sets, "node long, d0 long, d1 long, shingles array<long>")
+    whole = written(whole.groupBy("node", "d0", "d1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
     nodes = nodes.drop("keys")
     other = nodes.select(F.col("node").alias("center"), *[F.col(c).alias("o" + c) for c in lanes])
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("o" + c))) for c in lanes[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("os0"))))
-    near = written(pairs.join(nodes, "node").join(other, "center").where(differ <= MOST_DIFFERENT).select("center", "node"))
 
-    asked = near.select("node").union(near.select("center")).distinct()
-    whole = _among(docs, asked.withColumnRenamed("node", "doc_id")).mapInArrow(sets, "node long, d0 long, d1 long, shingles array<long>")
-    whole = written(whole.groupBy("node", "d0", "d1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
-    both = near.join(whole, "node").join(whole.select(F.col("node").alias("center"), F.col("shingles").alias("others")), "center")
-    shared = both.select("center", "node", F.size(F.array_intersect("shingles", "others")).alias("n"), (F.size("shingles") + F.size("others")).alias("total"))
-    linked = shared.where(F.col("n") >= LEAST_SIMILAR * (F.col("total") - F.col("n"))).select(F.col("center").alias("a"), F.col("node").alias("b"))
-    # written here, as a distinct behind it would keep a hot center's join from being split
-    linked = written(linked)
-    labels = components(linked).withColumnsRenamed({"label": "component_id"})
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = written(pairs.join(nodes, "node").join(other, "center").where(differ <= MOST_DIFFERENT).select("center", "node"))
+        both = near.join(whole, "node").join(whole.select(F.col("node").alias("center"), F.col("shingles").alias("others")), "center")
+        shared = both.select("center", "node", F.size(F.array_intersect("shingles", "others")).alias("n"), (F.size("shingles") + F.size("others")).alias("total"))
+        alike = shared.where(F.col("n") >= LEAST_SIMILAR * (F.col("total") - F.col("n")))
+        # written here, as a distinct behind it would keep a hot center's join from being split
+        return written(alike.select(F.col("center").alias("a"), F.col("node").alias("b")))
+
+    first = linked(pairs)
+    further = linked(_further_pairs(met, whole, components(first)))
+    labels = components(first.union(further)).withColumnsRenamed({"label": "component_id"})
     named = written(nodes.join(labels, "node", "left").select("d0", "d1", F.coalesce("component_id", "node").alias("component_id")).distinct())
     return signed.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")
 

@@ -155,6 +155,19 @@ def test_similar_equals_brute_force(spark):
     assert len(got) == len(rows) and len(set(got.values())) <= 1.01 * len(set(want.values()))
 
 
+def test_similar_inside_a_family(spark):
+    """Near copies whose family, behind one long passage, has other members as centers of most keys."""
+    r = random.Random(12)
+    words = lambda n: ["".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(n)]
+    passage, rows = words(240), []
+    for g in range(300):
+        own = words(60)
+        rows += [(1000 + g, " ".join(passage + own)), (5000 - g, " ".join(passage + own[:20] + words(20) + own[40:]))]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 600 and all(v in (k, 6000 - k) for k, v in got.items())
+    assert sum(got[5000 - g] == 1000 + g for g in range(300)) >= 294
+
+
 def test_components_on_a_path(spark):
     e = [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(300)]
     got = simhash.components(spark.createDataFrame(e, "a long, b long")).collect()
