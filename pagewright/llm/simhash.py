@@ -177,9 +177,8 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The wide signature of ``similar``: words of 64 bits, tables of a Golay block of its bits each, and the
-#: bits that a candidate pair may differ in (a similarity of 0.8 differs in 24, deviation 5).
-LANES, TABLES, MOST_DIFFERENT = 4, 48, 44
+#: The wide signature of ``similar``: words of 64 bits, and tables of a Golay block of its bits each.
+LANES, TABLES = 4, 48
 #: Smallest shingles, by an order of its own each, that a pair must share besides a table's anchor.
 MINIMA = 2
 #: Words of a shingle and the least similarity (Jaccard, of the sets of shingles) of near-duplicates.
@@ -366,10 +365,9 @@ def similar(docs: DataFrame) -> DataFrame:
     two-word-shingle signature. It shares the home anchor and the smallest shingles of some of
     the 48 tables with a chance above 0.99; there each signature is held against the one of the
     smallest doc_id, so a group of n copies gives n - 1 links and not all pairs. Those that this
-    leaves in several components are paired among each other by their rarest shingles. Candidates
-    within MOST_DIFFERENT bits are then checked on their whole sets of shingles. Equal sets are one node.
+    leaves in several components are paired among each other by their rarest shingles. All candidates
+    are checked on their whole sets of shingles. Equal sets are one node.
     """
-    lanes = [f"s{i}" for i in range(LANES)]
     longs = lambda x: pa.array(np.ascontiguousarray(x).view("<i8"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +377,7 @@ def similar(docs: DataFrame) -> DataFrame:
             named = np.array([_digest(x) for x in found], dtype="<u8").reshape(-1, 2)
             signs = np.array([signature(w) for w in words], dtype="<u8").reshape(-1, LANES)
             keys = pa.array(list(home_keys(signs, found)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), longs(named[:, 0]), longs(named[:, 1]), *(longs(signs[:, i]) for i in range(LANES)), keys], names=["doc_id", "d0", "d1", *lanes, "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), longs(named[:, 0]), longs(named[:, 1]), keys], names=["doc_id", "d0", "d1", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rounds(batches):
@@ -387,9 +385,9 @@ def similar(docs: DataFrame) -> DataFrame:
             named = np.array([_digest(x) for x in found], dtype="<u8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), longs(named[:, 0]), longs(named[:, 1]), pa.array([x.view("<i8") for x in found], pa.list_(pa.int64()))], names=["node", "d0", "d1", "shingles"])
 
-    signed = written(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, d0 long, d1 long, " + ", ".join(f"{c} long" for c in lanes) + ", keys array<long>"))
+    signed = written(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, d0 long, d1 long, keys array<long>"))
     nodes = signed.where("doc_id IS NOT NULL").groupBy("d0", "d1")
-    nodes = written(nodes.agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in [*lanes, "keys"]]))
+    nodes = written(nodes.agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     # an anchor with one signature links nothing; counts are small next to the keys
     centers = written(keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center"))
@@ -399,12 +397,9 @@ def similar(docs: DataFrame) -> DataFrame:
     whole = _among(docs, asked.withColumnRenamed("node", "doc_id")).mapInArrow(sets, "node long, d0 long, d1 long, shingles array<long>")
     whole = written(whole.groupBy("node", "d0", "d1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
     nodes = nodes.drop("keys")
-    other = nodes.select(F.col("node").alias("center"), *[F.col(c).alias("o" + c) for c in lanes])
-    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col("o" + c))) for c in lanes[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col("os0"))))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        near = written(pairs.join(nodes, "node").join(other, "center").where(differ <= MOST_DIFFERENT).select("center", "node"))
-        both = near.join(whole, "node").join(whole.select(F.col("node").alias("center"), F.col("shingles").alias("others")), "center")
+        both = pairs.join(whole, "node").join(whole.select(F.col("node").alias("center"), F.col("shingles").alias("others")), "center")
         shared = both.select("center", "node", F.size(F.array_intersect("shingles", "others")).alias("n"), (F.size("shingles") + F.size("others")).alias("total"))
         alike = shared.where(F.col("n") >= LEAST_SIMILAR * (F.col("total") - F.col("n")))
         # written here, as a distinct behind it would keep a hot center's join from being split

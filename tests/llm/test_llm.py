@@ -168,6 +168,21 @@ def test_similar_inside_a_family(spark):
     assert sum(got[5000 - g] == 1000 + g for g in range(300)) >= 294
 
 
+def test_similar_finds_truncated_and_extended_copies(spark):
+    """Changes in one run of words flip more bits of a signature than scattered ones."""
+    r = random.Random(21)
+    words = lambda n: ["".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(n)]
+    rows = []
+    for g in range(600):
+        base = words(300)
+        copy = [base[:242], base + words(70), base[:100] + words(27) + base[127:]][g % 3]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 1200 and all(v // 2 == k // 2 for k, v in got.items())
+    found = sum(got[2 * g + 1] == 2 * g for g in range(600))
+    assert found >= 570, found
+
+
 def test_components_on_a_path(spark):
     e = [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(300)]
     got = simhash.components(spark.createDataFrame(e, "a long, b long")).collect()
