@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 #: The wide signature of ``similar``: words of 64 bits, and tables of a Golay block of its bits each.
-LANES, TABLES = 4, 48
+LANES, TABLES = 4, 64
 #: Smallest shingles, by an order of its own each, that a pair must share besides a table's anchor.
 MINIMA = 2
 #: Words of a shingle and the least similarity (Jaccard, of the sets of shingles) of near-duplicates.
@@ -363,7 +363,8 @@ def similar(docs: DataFrame) -> DataFrame:
 
     Candidates: a pair of that similarity differs in about 0.095 of the bits of a
     two-word-shingle signature. It shares the home anchor and the smallest shingles of some of
-    the 48 tables with a chance above 0.99; there each signature is held against the one of the
+    the 64 tables with a chance of about 0.99 (truncated, extended and block-replaced copies at just
+    0.8, of 300 words) or more (above 0.999 for scattered edits); there each signature is held against the one of the
     smallest doc_id, so a group of n copies gives n - 1 links and not all pairs. Those that this
     leaves in several components are paired among each other by their rarest shingles. All candidates
     are checked on their whole sets of shingles. Equal sets are one node.

@@ -183,6 +183,16 @@ def test_similar_finds_truncated_and_extended_copies(spark):
     assert found >= 570, found
 
 
+def test_truncated_copies_share_a_key():
+    r, missed = np.random.default_rng(7), 0
+    for _ in range(2000):
+        words = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+        both = [words, words[:241]]
+        keys = simhash.home_keys(np.array([simhash.signature(w) for w in both]), [simhash.shingle_set(w) for w in both])
+        missed += not (keys[0] == keys[1]).any()
+    assert missed <= 40, missed
+
+
 def test_components_on_a_path(spark):
     e = [(i * 7919 % 1009, (i + 1) * 7919 % 1009) for i in range(300)]
     got = simhash.components(spark.createDataFrame(e, "a long, b long")).collect()
