@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract: blank and the five ASCII controls from tab to return.
@@ -32,7 +33,8 @@ def scratch(spark: SparkSession) -> str:
 def written(df: DataFrame, at: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends there.
 
-    The files outlive lost executors. Whoever owns the shared folder clears it.
+    The files outlive lost executors. Tables that a result still reads stay until the shared
+    folder's owner clears it; ``Tables`` drops those that nothing reads any more.
     """
     spark = df.sparkSession
     at = at or scratch(spark)
@@ -40,6 +42,79 @@ def written(df: DataFrame, at: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+class Tables:
+    """Written tables of one operator below one folder, dropped together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.n = spark, scratch(spark), 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return written(df, f"{self.at}/{self.n}")
+
+    def drop(self) -> None:
+        """Only for tables whose readers have themselves been written: what is lost after this can't be read again."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if its rows are rows of files, else a written copy: each row then has a place that no scan changes."""
+    plan = docs._jdf.queryExecution().analyzed()
+    plain = plan.deterministic()
+    while plain and plan.children().size() == 1:
+        plain = plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "Repartition", "RepartitionByExpression")
+        plan = plan.children().head()
+    if plain and plan.children().isEmpty():
+        try:
+            docs.select(docs.metadataColumn("_metadata")["row_index"])
+            return docs
+        except AnalysisException:
+            pass
+    return written(docs)
+
+
+def place(docs: DataFrame) -> list[Column]:
+    """Two columns, ``file`` (hash of its path) and ``at`` (row in it), that name a row of a ``stable`` table at each scan.
+
+    Two of a million files have one hash with a chance of 3e-8.
+    """
+    meta = docs.metadataColumn("_metadata")
+    return [F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].alias("at")]
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """The rows of a ``stable`` table in one column ``doc``, so that no name in them can clash, with ``file`` and ``at``."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), *place(docs))
+
+
+def retexted(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``rows`` (doc, text): the new text, its n_chars, and the others as they were."""
+    number = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    new = {"text": F.col("text"), **number}
+    return rows.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
+
+
+def running(df: DataFrame, order: list[str], sums: list[str], rows: int, held: int = 200_000) -> DataFrame:
+    """``df`` (``rows`` rows) with ``rank`` (from 1) in ``order``, which is total, and ``before_x``, the sum of x over the rows before.
+
+    Above ``held`` rows in two steps: inside ranges of some ``held`` rows, then over the ranges' totals, so no task ranks a large table.
+    """
+    if rows <= held:
+        one = Window.orderBy(*order)
+        before = one.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", F.row_number().over(one).cast("long").alias("rank"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in sums])
+    n = rows // held + 1
+    cut = written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    totals = cut.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums])
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_range", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_b{c}") for c in ("_n", *[f"_t_{c}" for c in sums])])
+    inside = Window.partitionBy("_range").orderBy(*order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.withColumn("_r", F.row_number().over(inside)).withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums}).join(bases, "_range")
+    return out.select(*df.columns, (F.col("_b_n") + F.col("_r")).alias("rank"), *[(F.col(f"_b_t_{c}") + F.col(f"_i_{c}")).alias(f"before_{c}") for c in sums])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
