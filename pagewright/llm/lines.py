@@ -4,10 +4,8 @@ Lines are normalised and hashed; for each host (here: source) the distinct docum
 line are counted. Lines in more documents than the limit are boilerplate and are removed; a
 document that keeps too few of its words is rejected.
 
-Copies of one document must not look like boilerplate, so copies count as one document. A
-document half of whose words or more lie in often seen lines is taken for a copy and goes by the
-smallest hash among those lines, which near copies share; any other document goes by the
-smallest hash among its own lines.
+Copies of one document must not look like boilerplate, so documents are told apart by their
+texts: rows whose texts are identical without white space count as one document.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import SPACES, compact, let, written
+from pagewright.llm.common import SPACES, compact, let, place, retexted, stable, whole, written
 
 #: A line is boilerplate in a host if more distinct documents have it than both of these say.
 LEAST_LIMIT, HOST_SHARE = 20, 0.005
@@ -54,69 +52,76 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), "[0-9]", "0"))
 
 
+def _hash60(text: Column) -> Column:
+    """60 bits of the MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def line_hash(line: Column) -> Column:
-    """60 bits of the MD5 of the normalised line."""
-    return F.conv(F.substring(F.md5(normal_line(line)), 1, 15), 16, 10).cast("long")
+    return _hash60(normal_line(line))
 
 
 def _shape(docs: DataFrame) -> DataFrame:
-    """One scan: base counts and the (hash, words) of each line that has a word."""
-    rows = docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    """One scan: base counts, the text's identity and the (hash, words) of each line that has a word."""
+    rows = docs.select("doc_id", F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"), *place(docs))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     counted = let(lines, lambda x: F.struct(
         (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.transform(x, lambda y: F.struct(line_hash(y).alias("h"), F.size(_words(y)).alias("n"))).alias("lines")))
     of_words = let(_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
+    of_text = let(compact(F.col("text")), lambda t: F.struct(F.length(t).cast("long").alias("word_chars"), _hash60(t).alias("copy")))
     got = rows.select(
-        "row", "doc_id", "host",
-        of_words.alias("w"), counted.alias("l"),
-        F.length(compact(F.col("text"))).cast("long").alias("word_chars"),
+        "file", "at", "doc_id", "host",
+        of_words.alias("w"), counted.alias("l"), of_text.alias("t"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
-    got = got.select("row", "doc_id", "host", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.lines")
+    # numbered where it is written: the number is read from the table from now on, never made again
+    number = F.monotonically_increasing_id().alias("row")
+    got = got.select(number, "file", "at", "doc_id", "host", "t.copy", "w.n_words", "t.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.lines")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     return got.withColumn("base_failed", failed)
 
 
 def _frequent(shaped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the lines of all documents; host and hash of lines above the limit)."""
-    lines = shaped.select("row", F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host"), F.inline("lines"))
-    # a hot line is one row a task and document before anything moves; few lines are seen this often
-    seen = lines.select("host", "h", "row").distinct().groupBy("host", "h").agg(F.count("*").alias("rows"))
-    seen = written(seen.where(F.col("rows") > LEAST_LIMIT).select("host", "h", F.lit(True).alias("seen")))
-    marked = lines.join(seen, ["host", "h"], "left")
-    often_words = F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0))
-    copied, own = F.min(F.when(F.col("seen"), F.col("h"))), F.min(F.when(F.col("seen").isNull(), F.col("h")))
-    families = written(marked.groupBy("row", "host").agg(F.when(2 * often_words >= F.sum("n"), copied).otherwise(own).alias("family")))
-    whole = written(families.groupBy("host").agg(F.count_distinct("family").alias("families")))
-    counted = lines.join(seen, ["host", "h"]).select("row", "host", "h").join(families.select("row", "family"), "row")
-    counted = counted.groupBy("host", "h").agg(F.count_distinct("family").alias("documents"))
-    limit = F.greatest(F.lit(LEAST_LIMIT), F.col("families") * HOST_SHARE)
-    return lines, written(counted.join(whole, "host").where(F.col("documents") > limit).select("host", "h"))
+    host = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("host")
+    lines = shaped.select("row", host, F.inline("lines"))
+    # a line is one row a document and copies are one before anything is counted; both sums combine before they move
+    seen = shaped.select(host, "copy", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
+    seen = seen.groupBy("host", "h").agg(F.count("*").alias("documents")).where(F.col("documents") > LEAST_LIMIT)
+    hosts = shaped.where("n_words > 0").select(host, "copy").distinct().groupBy("host").agg(F.count("*").alias("of_host"))
+    often = seen.join(hosts, "host").where(F.col("documents") > F.col("of_host") * HOST_SHARE)
+    return lines, written(often.select("host", "h"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text, source, ...) with its counts, base_failed, n_left and kept.
-
-    Null text counts as empty, which fails the base rule; a null source is a host of its own.
-    Extra columns are ignored. ``n_left`` is the number of words outside boilerplate lines, and
-    ``row`` the row's number as scanned.
-    """
+def _judged(docs: DataFrame) -> DataFrame:
     shaped = written(_shape(docs))
     lines, often = _frequent(shaped)
     lost = lines.join(often, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("lost"), F.collect_set("h").alias("boilerplate"))
     out = shaped.drop("lines", "host").join(lost, "row", "left").withColumn("n_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
-    kept = ~F.col("base_failed") & (F.col("n_left") >= LEAST_LEFT * F.col("n_words"))
-    return out.withColumn("kept", kept).drop("lost")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= LEAST_LEFT * F.col("n_words")))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, text, source, ...): doc_id, the counts, base_failed, n_left and kept.
+
+    Null text counts as empty, which fails the base rule; a null source is a host of its own.
+    Repeated rows are one document for the counts of lines and get a row each; a line at a
+    limit stays. Extra columns are ignored, whatever their names; an empty table gives none.
+    ``n_left`` is the number of words outside boilerplate lines.
+    """
+    return _judged(stable(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept")
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept rows of ``docs`` without their boilerplate lines; n_chars follows the text."""
-    verdict = written(judge(docs).where("kept").select("row", "boilerplate"))
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(verdict, "row")
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("boilerplate", line_hash(x)), F.lit(False)))
-    text = F.when(F.col("boilerplate").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    """The kept rows of ``docs`` without their boilerplate lines; n_chars follows the text, other columns are unchanged.
+
+    Null and empty texts and null sources are judged as by ``judge``; repeated rows stay
+    repeated. Any names of columns are fine; an empty table stays empty.
+    """
+    docs = stable(docs)
+    verdict = written(_judged(docs).where("kept").select("file", "at", "boilerplate"))
+    rows = whole(docs).join(verdict, ["file", "at"])
+    left = F.filter(F.split("doc.text", "\n"), lambda x: ~F.coalesce(F.array_contains("boilerplate", line_hash(x)), F.lit(False)))
+    text = F.when(F.col("boilerplate").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
+    return retexted(rows.select("doc", text.alias("text")), docs)

@@ -27,7 +27,7 @@ def op2_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("row")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def _fold(n: int):
@@ -64,8 +64,7 @@ def op7_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = lines.judge(table(spark, sf_dir, "documents"))
-    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept")
+    return lines.judge(table(spark, sf_dir, "documents"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +140,9 @@ WITH d AS (
   FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), hashed AS (
-  SELECT *, ('0x' || substr(md5(norm), 1, 15))::BIGINT AS h FROM l
-), seen AS (
-  SELECT source, h FROM hashed GROUP BY source, h HAVING count(DISTINCT doc_id) > 20
-), family AS (
-  SELECT l.doc_id, CASE WHEN 2 * coalesce(sum(l.n) FILTER (s.h IS NOT NULL), 0) >= sum(l.n) THEN min(l.h) FILTER (s.h IS NOT NULL) ELSE min(l.h) FILTER (s.h IS NULL) END AS family
-  FROM hashed l LEFT JOIN seen s ON s.source = l.source AND s.h = l.h GROUP BY l.doc_id
+  SELECT l.*, md5(norm) AS h, md5(regexp_replace(d.text, '[\x20\x09-\x0D]', '', 'g')) AS copy FROM l JOIN d USING (doc_id)
 ), host AS (
-  SELECT source, count(DISTINCT family) AS families FROM hashed JOIN family USING (doc_id) GROUP BY source
+  SELECT source, count(DISTINCT copy) AS texts FROM hashed GROUP BY source
 ), base AS (
   SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -156,8 +150,8 @@ WITH d AS (
          coalesce(r.n, 0) AS n_repeat_words
   FROM d LEFT JOIN repeats r ON r.doc_id = d.doc_id
 ), often AS (
-  SELECT source, h FROM hashed JOIN seen USING (source, h) JOIN family USING (doc_id) JOIN host USING (source)
-  GROUP BY source, h, families HAVING count(DISTINCT family) > greatest(20, 0.005 * families)
+  SELECT source, h FROM hashed JOIN host USING (source)
+  GROUP BY source, h, texts HAVING count(DISTINCT copy) > greatest(20, 0.005 * texts)
 )
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f.base_failed,
        n_words - coalesce(x.n, 0) AS n_left,
