@@ -221,7 +221,7 @@ def test_exact_names_equal_texts(spark, odd, empty):
 
 @pytest.mark.parametrize("mixed", [True])
 def test_colliding_hashes_are_told_apart(spark, monkeypatch, mixed):
-    monkeypatch.setattr(exact.F, "xxhash64", lambda c: F.length(c).cast("long"))
+    monkeypatch.setattr(exact, "block_hash", lambda c: F.length(c).cast("long"))
     df = spark.createDataFrame([(1, "aa"), (2, "ab"), (3, "aa"), (4, "abc"), (5, "abd"), (6, "abd")], "doc_id long, text string")
     got = {x.doc_id: (x.keep_id, x.group_size) for x in exact.exact_duplicates(df, 2).collect()}
     assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1), 5: (5, 2), 6: (5, 2)}
@@ -323,11 +323,18 @@ def test_mix_is_whole_and_repeatable(spark, odd, empty, small):
     a, b = mixing.mix(docs).collect(), mixing.mix(docs.repartition(5)).collect()
     assert {(r.doc_id, r.taken) for r in a} == {(r.doc_id, r.taken) for r in b}
     assert all(0 <= r.taken <= 3 * r["size"] for r in a)
-    text = Counter()
-    for r in mixing.mixed(docs).collect():
+    text, whole, origin = Counter(), 0, {r.doc_id: r.text for r in docs.collect()}
+    rows = mixing.mixed(docs).collect()
+    for r in rows:
         text[r.doc_id] += len(r.text.encode().split())
-        assert r.n_chars == len(r.text)
+        assert r.n_chars == len(r.text) and r.text in origin[r.doc_id]
+        whole += r.text == origin[r.doc_id]
     assert {r.doc_id: r.taken for r in a if r.taken} == dict(text)
+    assert len(rows) - whole <= 2 * len({r.source for r in rows})  # two cut rows a shard at most; a source is one shard here
+    of, got = {r.doc_id: r.source for r in docs.collect()}, Counter()
+    for r in a:
+        got[of[r.doc_id], r.target] += r.taken
+    assert all(abs(t - n) <= 4 * mixing.BLOCK_WORDS for (_, t), n in got.items())  # a block for the quota, a last short block taken three times
     assert mixing.mix(odd).count() == 12 and mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
     assert mixing.mixed(odd).columns == odd.columns
 
@@ -348,6 +355,19 @@ def test_line_rules(spark, odd, empty, small):
     assert lines.judge(empty).count() == 0 and lines.clean(empty).columns == empty.columns
 
 
+def test_half_boilerplate_pages_lose_their_footer(spark):
+    """400 pages of one host, each more than half a footer of eight lines: the footer goes, the pages stay."""
+    r = random.Random(18)
+    body = lambda n: " ".join("".join(r.choices("etaoinshrd", k=6)) for _ in range(n))
+    footer = "\n".join(body(10) for _ in range(8))
+    own = {i: body(60) for i in range(400)}
+    df = spark.createDataFrame([(i, f"{x}\n{footer}", "a", 0) for i, x in own.items()], "doc_id long, text string, source string, n_chars long")
+    assert {x.doc_id: x.text for x in lines.clean(df).collect()} == own
+    assert all(x.kept and x.n_left == 60 and x.n_words == 140 for x in lines.judge(df).collect())
+    stubs = df.withColumn("text", F.concat(F.split("text", "\n")[0].substr(1, 60), F.lit("\n" + footer)))
+    assert not any(x.kept for x in lines.judge(stubs).collect())
+
+
 def test_boilerplate_goes_and_copies_stay(spark):
     r = random.Random(8)
     body = lambda n: " ".join("".join(r.choices("etaoinshrd", k=5)) for _ in range(n))
