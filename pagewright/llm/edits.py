@@ -4,6 +4,10 @@ A document is kept as its pre-tokens (the pieces that the tokenizer's pattern cu
 encoded on its own) under a segment tree that sums their characters and tokens. An edit finds
 its place by walking down the tree, cuts anew from a few pre-tokens before the edit until a cut
 falls on an old one behind it, encodes these pieces only and updates the sums above them.
+
+Special tokens of the vocabulary are pieces of their own: the text is parted at them before it is cut.
+``kept`` writes the leaves of a tree as two arrays beside the text, and ``applied`` reads them, so
+that a later edit encodes nothing but what it touches.
 """
 
 from __future__ import annotations
@@ -54,11 +58,28 @@ def redactions(text: str) -> list[Edit]:
 
 
 class Counts(dict):
-    """Tokens of a pre-token, encoded when first met."""
+    """Tokens of a pre-token, encoded when first met, and how a text is cut into them."""
 
     def __init__(self, path: str):
         super().__init__()
         self.encode = encoder(path).encode
+        added = encoder(path).tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+            raise ValueError("added tokens must stand for themselves, without the white space beside them")
+        self.specials = sorted((t.content for t in added), key=len, reverse=True)
+        #: Characters of the longest special token.
+        self.longest = max(map(len, self.specials), default=0)
+        self.special = regex.compile("|".join(map(regex.escape, self.specials)) or r"(?!)")
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text, special tokens among them."""
+        if not any(x in text for x in self.specials):
+            return _PATTERN.findall(text)
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [*_PATTERN.findall(text[at : m.start()]), m.group()]
+            at = m.end()
+        return out + _PATTERN.findall(text[at:])
 
     def __missing__(self, piece: str) -> int:
         n = len(self.encode([piece])[0]) // 4
@@ -76,14 +97,19 @@ class TokenTree:
     several after edits. Node i has the children 2i and 2i + 1.
     """
 
-    def __init__(self, text: str, counts: Counts):
-        self.counts, self.leaves = counts, [[x] for x in _PATTERN.findall(text)]
-        self.encoded = 0
+    def __init__(self, text: str, counts: Counts, kept: tuple[np.ndarray, np.ndarray] | None = None):
+        """From a text, or from a text and the characters and tokens of its pre-tokens as ``leaf_sums`` gives them."""
+        self.counts, self.encoded = counts, 0
+        if kept is None:
+            self.leaves = [[x] for x in counts.cut(text)]
+            leaf_sums = [len(x) for (x,) in self.leaves], [counts[x] for (x,) in self.leaves]
+        else:
+            ends = np.cumsum(kept[0]).tolist()
+            self.leaves, leaf_sums = [[text[a:b]] for a, b in zip([0, *ends], ends, strict=False)], kept
         self.size = 1 << max(0, len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), dtype=np.int64)
         if self.leaves:
-            self.sums[self.size : self.size + len(self.leaves), 0] = [len(x) for (x,) in self.leaves]
-            self.sums[self.size : self.size + len(self.leaves), 1] = [counts[x] for (x,) in self.leaves]
+            self.sums[self.size : self.size + len(self.leaves)] = np.transpose(leaf_sums)
         else:
             self.leaves = [[]]
         half = self.size
@@ -102,6 +128,14 @@ class TokenTree:
     def text(self) -> str:
         return "".join(x for leaf in self.leaves for x in leaf)
 
+    def leaf_sums(self) -> tuple[list[int], list[int]]:
+        """(characters, tokens) of each pre-token in order; those of leaves that no edit touched come from the tree."""
+        chars, tokens = [], []
+        for i, leaf in enumerate(self.leaves):
+            chars += map(len, leaf)
+            tokens += [int(self.sums[self.size + i, 1])] if len(leaf) == 1 else [self.counts[x] for x in leaf]
+        return chars, tokens
+
     def _find(self, at: int) -> tuple[int, int]:
         """(leaf, place of its start) for a character's place."""
         i, start = 1, 0
@@ -127,8 +161,9 @@ class TokenTree:
         if not delete and not insert:
             return
         first, start = self._find(max(0, at - 1))
-        back = 0
-        while first and back < BACK:
+        back, hidden = 0, self.counts.longest
+        # a special token that the edit completes begins so far before it at most
+        while first and (back < BACK or start > at - hidden):
             first -= 1
             start -= int(self.sums[first + self.size, 0])
             back += len(self.leaves[first])
@@ -149,15 +184,16 @@ class TokenTree:
                 k += 1
                 joints[n] = k
             window, whole = fixed + "".join(tail), k == len(self.leaves)
-            settled = _SETTLED.search(window)
+            # what may be the beginning of a special token at the window's end settles nothing
+            settled = _SETTLED.search(window[: max(0, len(window) - hidden)])
             limit = len(window) if whole else settled.start() if settled else -1
             cut, where = [], 0
-            for m in _PATTERN.finditer(window):
+            for piece in self.counts.cut(window):
                 if where in joints and where <= limit:
                     found = where
                     break
-                cut.append(m.group())
-                where = m.end()
+                cut.append(piece)
+                where += len(piece)
             else:
                 found = where if whole else None
             take *= 2
@@ -168,6 +204,12 @@ class TokenTree:
                 self._set(k, [], 0)
 
 
+def _edits(b: pa.RecordBatch, texts: list[str], find) -> list[list[Edit]]:
+    if find:
+        return [find(t) for t in texts]
+    return [[(e["at"], e["delete"], e["insert"] or "") for e in x or []] for x in b.column("edits").to_pylist()]
+
+
 def edited_counts(docs: DataFrame, tokenizer: str, find=None, with_text: bool = False) -> DataFrame:
     """Token counts of each whole text before and after its edits.
 
@@ -175,7 +217,8 @@ def edited_counts(docs: DataFrame, tokenizer: str, find=None, with_text: bool =
     and are made in their order, each on what the ones before left. A null text counts as
     empty, null edits as none. Columns: doc_id, n_tokens, n_edits, n_tokens_edited, n_chars,
     n_chars_edited, n_chars_encoded (cut and encoded again for the edits) and, if asked for,
-    text. Extra columns are ignored, repeated rows are counted one by one.
+    text. Extra columns are ignored, whatever their names, repeated rows are counted one by one,
+    and an empty table gives none. Counts are those of the tokenizers library on the whole text.
     """
     schema = "doc_id long, n_tokens long, n_edits int, n_tokens_edited long, n_chars long, n_chars_edited long, n_chars_encoded long" + ", text string" * with_text
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * with_text]
@@ -186,8 +229,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, find=None, with_text: bool =
         for b in rounds(batches):
             rows = []
             texts = [t or "" for t in b.column("text").to_pylist()]
-            given = [find(t) for t in texts] if find else [[(e["at"], e["delete"], e["insert"] or "") for e in x or []] for x in b.column("edits").to_pylist()]
-            for doc_id, text, edits in zip(b.column("doc_id").to_pylist(), texts, given, strict=True):
+            for doc_id, text, edits in zip(b.column("doc_id").to_pylist(), texts, _edits(b, texts, find), strict=True):
                 tree = TokenTree(text, counts)
                 before = tree.tokens
                 for e in edits:
@@ -198,7 +240,51 @@ def edited_counts(docs: DataFrame, tokenizer: str, find=None, with_text: bool =
     return docs.select("doc_id", "text", *[] if find else ["edits"]).mapInArrow(each, schema)
 
 
+def kept(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, text, chars and tokens (arrays, an entry for each pre-token) of each row: the leaves of its tree, to be written.
+
+    A null text counts as empty and has empty arrays. Extra columns are ignored, whatever their
+    names; repeated rows are kept one by one; an empty table gives none.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(tokenizer)
+        for b in rounds(batches):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            cuts = [counts.cut(t) for t in texts]
+            chars, tokens = [[len(x) for x in c] for c in cuts], [[counts[x] for x in c] for c in cuts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), *[pa.array(x, pa.list_(pa.int32())) for x in (chars, tokens)]], names=["doc_id", "text", "chars", "tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, text string, chars array<int>, tokens array<int>")
+
+
+def applied(trees: DataFrame, tokenizer: str, find=None) -> DataFrame:
+    """Rows of ``kept`` with their edits made: doc_id, text, chars, tokens, n_tokens and n_chars_encoded.
+
+    Edits are given as to ``edited_counts``. Nothing is encoded but pre-tokens that the edits
+    touch and those beside them; the result can be written and edited again.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(tokenizer)
+        for b in rounds(batches):
+            rows = []
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            leaves = [[np.asarray(x or [], dtype=np.int64) for x in b.column(c).to_pylist()] for c in ("chars", "tokens")]
+            for text, chars, tokens, edits in zip(texts, *leaves, _edits(b, texts, find), strict=True):
+                tree = TokenTree(text, counts, (chars, tokens))
+                for e in edits:
+                    tree.edit(*e)
+                rows.append((tree.text(), *tree.leaf_sums(), tree.tokens, tree.encoded))
+            types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=["doc_id", "text", "chars", "tokens", "n_tokens", "n_chars_encoded"])
+
+    got = trees.select("doc_id", "text", "chars", "tokens", *[] if find else ["edits"])
+    return got.mapInArrow(each, "doc_id long, text string, chars array<int>, tokens array<int>, n_tokens long, n_chars_encoded long")
+
+
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with the column ``edits`` from rows (doc_id, seq, at, delete, insert), in order of seq."""
+    """``docs`` with the column ``edits`` from rows (doc_id, seq, at, delete, insert), in order of seq; edits without a doc_id are left out."""
     listed = F.transform(F.sort_array(F.collect_list(F.struct("seq", "at", "delete", "insert"))), lambda e: F.struct(e["at"].alias("at"), e["delete"].alias("delete"), e["insert"].alias("insert")))
     return docs.join(edits.groupBy("doc_id").agg(listed.alias("edits")), "doc_id", "left")
