@@ -25,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import written
+from pagewright.llm.common import Tables, written
 from pagewright.llm.tokens import rounds
 
 SEED = 42
 #: (length, generator polynomial, covering radius, first bit) of each block's code.
 BLOCKS = ((23, 0b110001110101, 3, 0), (23, 0b110001110101, 3, 23), (15, 0b10011, 1, 46))
 REACH = 2
+#: Home fingerprints in a task's hash table, about 50 bytes each.
+HOMES_HELD = 1_000_000
 #: Shingles whose bits are counted at once.
 STEP = 1 << 14
 
@@ -127,7 +129,10 @@ def links(nodes: DataFrame) -> DataFrame:
     homes = nodes.select("fp").mapInArrow(at_home, "anchor long, home long")
     replicas = nodes.select("fp").mapInArrow(covered, "anchor long, fp long")
     near = (F.col("home") < F.col("fp")) & (F.bit_count(F.col("home").bitwiseXOR(F.col("fp"))) <= REACH)
-    # a hash table of the homes, which are one row a fingerprint; replicas stream past unsorted
+    # a hash table of the homes, one row a fingerprint and so many a task at most; replicas stream past unsorted
+    parts = nodes.count() // HOMES_HELD + 1
+    if parts > int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        homes, replicas = homes.repartition(parts, "anchor"), replicas.repartition(parts, "anchor")
     met = replicas.join(homes.hint("shuffle_hash"), "anchor").where(near)
     return met.select(F.col("home").alias("a"), F.col("fp").alias("b"))
 
@@ -140,21 +145,25 @@ def components(edges: DataFrame) -> DataFrame:
     rounds grow with the logarithm of a component's width. Every round is a table in the
     shared folder: a join's hot side can be split, and lost executors cost one round.
     """
-    left = written(edges.select("a", "b").where("a <> b").distinct())
+    held = Tables(edges.sparkSession)
+    left = held.written(edges.select("a", "b").where("a <> b").distinct())
     labels = None
     while True:
+        now = Tables(edges.sparkSession)
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).union(left.select("b", "a"))
-        near = written(ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")))
+        near = now.written(ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("to")))
         jump = near.join(near.select(F.col("node").alias("to"), F.col("to").alias("further")), "to").select("node", F.col("further").alias("to"))
-        parents = written(jump)
+        parents = now.written(jump)
         if labels is None:
             labels = parents.withColumnRenamed("to", "label")
         else:
             moved = labels.join(parents.withColumnRenamed("node", "label"), "label", "left")
-            labels = written(moved.select("node", F.coalesce("to", "label").alias("label")))
+            labels = now.written(moved.select("node", F.coalesce("to", "label").alias("label")))
         at_a = left.join(parents.withColumnRenamed("node", "a"), "a").select("b", F.col("to").alias("x"))
         mapped = at_a.join(parents.withColumnRenamed("node", "b"), "b").select(F.col("x").alias("a"), F.col("to").alias("b"))
-        left = written(mapped.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left = now.written(mapped.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        held.drop()
+        held = now
         if not left.limit(1).count():
             return labels
 
@@ -297,7 +306,7 @@ def _slots(shingles: np.ndarray) -> np.ndarray:
 
 
 def _rarest(sets: DataFrame) -> DataFrame:
-    """(node, part, n, shingle): the rarest shingles of each row of ``sets`` (node, part, shingles), and n, the number it has.
+    """(node, part, n, pos, shingle): the rarest shingles of each row of ``sets`` (node, part, shingles), their places from 1 on, and n, the number it has.
 
     Two sets of n and m shingles that are LEAST_SIMILAR share that part of the larger one at
     least; so in any one order of all shingles the first they share is among the first n - ceil(0.8 n) + 1
@@ -318,7 +327,7 @@ def _rarest(sets: DataFrame) -> DataFrame:
     level[got.column("slot").to_numpy()] = np.minimum(255, 6 * np.log2(got.column("n").to_numpy()))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "part", "n", "shingle"]
+        names = ["node", "part", "n", "pos", "shingle"]
         for b in batches:
             node, part = b.column("node").to_numpy(), b.column("part").to_numpy()
             out, held = [], 0
@@ -327,35 +336,43 @@ def _rarest(sets: DataFrame) -> DataFrame:
                 n = len(h)
                 take = n - int(np.ceil(LEAST_SIMILAR * n - 1e-9)) + 1 if n else 0
                 h = h[np.lexsort((_mix(h), level[_slots(h)]))[:take]].view(np.int64)
-                out.append((np.full(take, node[i]), np.full(take, part[i]), np.full(take, n), h))
+                out.append((np.full(take, node[i]), np.full(take, part[i]), np.full(take, n), np.arange(1, take + 1), h))
                 held += take
                 if held >= STEP or i + 1 == b.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=names)
                     out, held = [], 0
 
-    return sets.select("node", "part", "shingles").mapInArrow(first, "node long, part long, n long, shingle long")
+    return sets.select("node", "part", "shingles").mapInArrow(first, "node long, part long, n long, pos long, shingle long")
 
 
-def _further_pairs(met: DataFrame, whole: DataFrame, labels: DataFrame) -> DataFrame:
+def _further_pairs(met: DataFrame, whole: DataFrame, labels: DataFrame, held: Tables) -> DataFrame:
     """Pairs (center, node) that may be similar, of the nodes that met at a key of ``met`` (key, node, center) without being its center.
 
     What links join already needs no pair. Nodes of a key that still lie in several components
     are paired by their rarest shingles, which no similar pair fails to share; so all pairs at a
-    key are judged, and a passage of a large family makes no group.
+    key are judged. At the first shingle that a pair shares, what is left of either set bounds
+    what they can share at all; so one of the two has it among its first ninth and a bit
+    (0.1 / 0.9 at 0.8), and a passage that a large family shares with too little else makes no pair.
     """
-    parts = written(met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part")))
-    several = written(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key"))
-    left = written(parts.join(several, "key", "left_semi").select("node", "part"))
-    rare = written(_rarest(whole.join(written(left.distinct()), "node")))
+    parts = held.written(met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part")))
+    several = held.written(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key"))
+    left = held.written(parts.join(several, "key", "left_semi").select("node", "part"))
+    rare = _rarest(whole.join(held.written(left.distinct()), "node"))
+    least = LEAST_SIMILAR / (1 + LEAST_SIMILAR)
+    rare = held.written(rare.withColumn("early", F.col("pos") <= (1 - 2 * least) * F.col("n") + 1 + 1e-6))
     # pairs inside the largest component at a shingle are those of copies: left out before rows meet
-    groups = rare.groupBy("shingle", "part").agg(F.count("*").alias("rows")).groupBy("shingle")
-    groups = written(groups.agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main"))
-    grouped = written(rare.join(groups, "shingle"))
-    a = grouped.where("part <> main").select("shingle", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
-    b = grouped.select("shingle", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), (F.col("part") == F.col("main")).alias("is_main"))
-    sized = F.least("na", "nb") >= LEAST_SIMILAR * F.greatest("na", "nb")
-    found = written(a.join(b, "shingle").where((F.col("pa") != F.col("pb")) & sized & (F.col("is_main") | (F.col("a") < F.col("b")))).select("a", "b"))
-    return written(found.select(F.least("a", "b").alias("center"), F.greatest("a", "b").alias("node")).distinct())
+    groups = rare.groupBy("shingle", "part").agg(F.count("*").alias("rows"), F.max("early").alias("early")).groupBy("shingle")
+    groups = groups.agg(F.max_by("part", F.struct("rows", "part")).alias("main"), F.count("*").alias("parts"), F.max("early").alias("early"))
+    grouped = held.written(rare.join(held.written(groups.where("parts > 1 AND early").select("shingle", "main")), "shingle"))
+    grouped = grouped.withColumn("is_main", F.col("part") == F.col("main")).drop("main")
+    a = grouped.where("early").select("shingle", "is_main", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"), F.col("pos").alias("ia"))
+    b = grouped.select("shingle", F.col("is_main").alias("b_main"), F.col("early").alias("b_early"), F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
+    rest = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    may = (F.col("pa") != F.col("pb")) & (F.least("na", "nb") >= LEAST_SIMILAR * F.greatest("na", "nb")) & (rest >= least * (F.col("na") + F.col("nb")) - 1e-6)
+    others = a.where("NOT is_main").join(b, "shingle").where(may & (F.col("b_main") | ~F.col("b_early") | (F.col("a") < F.col("b"))))
+    mains = a.where("is_main").join(b.where("NOT b_main AND NOT b_early"), "shingle").where(may)
+    found = held.written(others.select("a", "b").union(mains.select("a", "b")))
+    return held.written(found.select(F.least("a", "b").alias("center"), F.greatest("a", "b").alias("node")).distinct())
 
 
 def similar(docs: DataFrame) -> DataFrame:
@@ -368,6 +385,10 @@ def similar(docs: DataFrame) -> DataFrame:
     smallest doc_id, so a group of n copies gives n - 1 links and not all pairs. Those that this
     leaves in several components are paired among each other by their rarest shingles. All candidates
     are checked on their whole sets of shingles. Equal sets are one node.
+
+    Null and wordless texts are similar to each other only; repeated rows and equal texts have
+    one component. Rows without a doc_id get a row like any other but link nothing. A text of fewer than five
+    words is one shingle. Extra columns are ignored, whatever their names; an empty table gives none.
     """
     longs = lambda x: pa.array(np.ascontiguousarray(x).view("<i8"))
 
@@ -387,16 +408,17 @@ def similar(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), longs(named[:, 0]), longs(named[:, 1]), pa.array([x.view("<i8") for x in found], pa.list_(pa.int64()))], names=["node", "d0", "d1", "shingles"])
 
     signed = written(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, d0 long, d1 long, keys array<long>"))
+    held = Tables(docs.sparkSession)
     nodes = signed.where("doc_id IS NOT NULL").groupBy("d0", "d1")
-    nodes = written(nodes.agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    nodes = held.written(nodes.agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     # an anchor with one signature links nothing; counts are small next to the keys
-    centers = written(keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center"))
-    met = written(keys.join(centers, "key").where("node <> center"))
-    pairs = written(met.select("center", "node").distinct())
+    centers = held.written(keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center"))
+    met = held.written(keys.join(centers, "key").where("node <> center"))
+    pairs = held.written(met.select("center", "node").distinct())
     asked = pairs.select("node").union(pairs.select("center")).distinct()
     whole = _among(docs, asked.withColumnRenamed("node", "doc_id")).mapInArrow(sets, "node long, d0 long, d1 long, shingles array<long>")
-    whole = written(whole.groupBy("node", "d0", "d1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
+    whole = held.written(whole.groupBy("node", "d0", "d1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
     nodes = nodes.drop("keys")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -404,16 +426,21 @@ def similar(docs: DataFrame) -> DataFrame:
         shared = both.select("center", "node", F.size(F.array_intersect("shingles", "others")).alias("n"), (F.size("shingles") + F.size("others")).alias("total"))
         alike = shared.where(F.col("n") >= LEAST_SIMILAR * (F.col("total") - F.col("n")))
         # written here, as a distinct behind it would keep a hot center's join from being split
-        return written(alike.select(F.col("center").alias("a"), F.col("node").alias("b")))
+        return held.written(alike.select(F.col("center").alias("a"), F.col("node").alias("b")))
 
     first = linked(pairs)
-    further = linked(_further_pairs(met, whole, components(first)))
+    further = linked(_further_pairs(met, whole, components(first), held))
     labels = components(first.union(further)).withColumnsRenamed({"label": "component_id"})
     named = written(nodes.join(labels, "node", "left").select("d0", "d1", F.coalesce("component_id", "node").alias("component_id")).distinct())
+    held.drop()
     return signed.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of similar ones: that with the smallest doc_id. Rows without a doc_id stay."""
+    """``docs`` with one document of each group of similar ones: that with the smallest doc_id.
+
+    Rows without a doc_id stay; rows that share a doc_id stay or go together. Columns come back
+    unchanged, whatever their names; an empty table stays empty.
+    """
     gone = similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
