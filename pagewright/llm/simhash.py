@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import Tables, written
+from pagewright.llm.common import Tables, place, stable, whole, written
 from pagewright.llm.tokens import rounds
 
 SEED = 42
@@ -192,6 +192,9 @@ LANES, TABLES = 4, 64
 MINIMA = 2
 #: Words of a shingle and the least similarity (Jaccard, of the sets of shingles) of near-duplicates.
 SHINGLE, LEAST_SIMILAR = 5, 0.8
+#: A sketch holds four bits of each of the TABLES * MINIMA smallest shingles in this many longs. Sketches of a pair
+#: of 0.8 agree in 104 of 128 places, with a deviation of 4.4; fewer than these 80 have a chance of 3e-8.
+SKETCH, LEAST_AGREED = TABLES * MINIMA // 16, 80
 #: Bits of the filter that leaves texts of no candidate where they lie, and bits an id: 8 MB however many ids there are.
 FILTER_BITS, FILTER_HASHES = 1 << 26, 3
 #: Counters of shingles by which the rarest of a set are told.
@@ -253,8 +256,8 @@ def _orders() -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 63, TABLES * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def home_keys(signatures: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """For each document and table: the home anchor of its signature (a row of LANES words) with MINIMA of its shingles, hashed.
+def home_keys(signatures: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, sketch). For each document and table: the home anchor of its signature (a row of LANES words) with MINIMA of its shingles, hashed.
 
     A code of 23 bits has 4,096 anchors, too few for a large corpus on its own; with the
     shingles only documents that share some text meet, however many there are.
@@ -271,34 +274,48 @@ def home_keys(signatures: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     key = _mix(anchor + (np.arange(TABLES, dtype=np.uint64) << np.uint64(n)))
     for k in range(MINIMA):
         key = _mix(key + least[:, k::MINIMA])
-    return key.view(np.int64)
+    bits = (_mix(least) & np.uint64(15)).astype(np.uint8)
+    return key.view(np.int64), np.ascontiguousarray(bits[:, ::2] | bits[:, 1::2] << 4).view("<i8")
+
+
+def _agreed(one: str, other: str) -> Column:
+    """Places in which the sketches in columns ``one``0.. and ``other``0.. agree."""
+    apart = F.lit(0)
+    for k in range(SKETCH):
+        d = F.col(f"{one}{k}").bitwiseXOR(F.col(f"{other}{k}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        apart = apart + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return F.lit(16 * SKETCH) - apart
 
 
 def _filter_places(ids: np.ndarray) -> np.ndarray:
     return _mix(ids.view(np.uint64)[:, None] + np.arange(1, FILTER_HASHES + 1, dtype=np.uint64)) % np.uint64(FILTER_BITS)
 
 
-def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text) whose doc_id is in ``ids`` (doc_id); a Bloom filter keeps most other texts from being moved.
+def _among(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and text of the rows of the ``stable`` table ``docs`` that ``rows`` (file, at, node) names; a Bloom filter keeps most other texts from being moved.
 
-    Far above ten million ids the filter is full and all texts move; the rows are the same.
+    Far above ten million rows the filter is full and all texts move; the result is the same.
     """
+    name = F.xxhash64("file", "at").alias("name")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = _filter_places(b.column("doc_id").to_numpy()).ravel()
+            p = _filter_places(b.column("name").to_numpy()).ravel()
             yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["word", "bits"])
 
-    words = ids.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = rows.select(name).mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     held = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     held[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = _filter_places(b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
-            yield b.filter(pa.array((held[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).all(axis=1)))
+            p = _filter_places(b.column("name").to_numpy())
+            yield b.filter(pa.array((held[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).all(axis=1))).drop_columns(["name"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(passed, "doc_id long, text string").join(ids, "doc_id", "left_semi")
+    texts = docs.select(*place(docs), "text").select("file", "at", "text", name)
+    return texts.mapInArrow(passed, "file long, at long, text string").join(rows.select("file", "at", "node"), ["file", "at"]).select("node", "text")
 
 
 def _slots(shingles: np.ndarray) -> np.ndarray:
@@ -345,8 +362,15 @@ def _rarest(sets: DataFrame) -> DataFrame:
     return sets.select("node", "part", "shingles").mapInArrow(first, "node long, part long, n long, pos long, shingle long")
 
 
-def _further_pairs(met: DataFrame, whole: DataFrame, labels: DataFrame, held: Tables) -> DataFrame:
-    """Pairs (center, node) that may be similar, of the nodes that met at a key of ``met`` (key, node, center) without being its center.
+def _unsettled(met: DataFrame, labels: DataFrame, held: Tables) -> DataFrame:
+    """(node, part): the nodes of keys of ``met`` (key, node, center) whose nodes, the center aside, lie in several components."""
+    parts = held.written(met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part")))
+    several = held.written(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key"))
+    return held.written(parts.join(several, "key", "left_semi").select("node", "part").distinct())
+
+
+def _further_pairs(sets: DataFrame, held: Tables) -> DataFrame:
+    """Pairs (center, node) that may be similar, of ``sets`` (node, part, shingles): nodes that met at a key without being its center.
 
     What links join already needs no pair. Nodes of a key that still lie in several components
     are paired by their rarest shingles, which no similar pair fails to share; so all pairs at a
@@ -354,10 +378,7 @@ def _further_pairs(met: DataFrame, whole: DataFrame, labels: DataFrame, held: Ta
     what they can share at all; so one of the two has it among its first ninth and a bit
     (0.1 / 0.9 at 0.8), and a passage that a large family shares with too little else makes no pair.
     """
-    parts = held.written(met.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part")))
-    several = held.written(parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key"))
-    left = held.written(parts.join(several, "key", "left_semi").select("node", "part"))
-    rare = _rarest(whole.join(held.written(left.distinct()), "node"))
+    rare = _rarest(sets)
     least = LEAST_SIMILAR / (1 + LEAST_SIMILAR)
     rare = held.written(rare.withColumn("early", F.col("pos") <= (1 - 2 * least) * F.col("n") + 1 + 1e-6))
     # pairs inside the largest component at a shingle are those of copies: left out before rows meet
@@ -387,10 +408,16 @@ def similar(docs: DataFrame) -> DataFrame:
     are checked on their whole sets of shingles. Equal sets are one node.
 
     Null and wordless texts are similar to each other only; repeated rows and equal texts have
-    one component. Rows without a doc_id get a row like any other but link nothing. A text of fewer than five
+    one component. Rows without a doc_id link nothing; they have the component of an equal text, else null. A text of fewer than five
     words is one shingle. Extra columns are ignored, whatever their names; an empty table gives none.
     """
+    return _similar(stable(docs)).select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame) -> DataFrame:
+    """file, at, doc_id and component_id of each row of a ``stable`` table."""
     longs = lambda x: pa.array(np.ascontiguousarray(x).view("<i8"))
+    sketch = [f"s{k}" for k in range(SKETCH)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rounds(batches):
@@ -398,42 +425,58 @@ def similar(docs: DataFrame) -> DataFrame:
             found = [shingle_set(w) for w in words]
             named = np.array([_digest(x) for x in found], dtype="<u8").reshape(-1, 2)
             signs = np.array([signature(w) for w in words], dtype="<u8").reshape(-1, LANES)
-            keys = pa.array(list(home_keys(signs, found)), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), longs(named[:, 0]), longs(named[:, 1]), keys], names=["doc_id", "d0", "d1", "keys"])
+            keys, sketches = home_keys(signs, found)
+            made = [longs(named[:, 0]), longs(named[:, 1]), pa.array(list(map(len, found)), pa.int64()), pa.array(list(keys), pa.list_(pa.int64())), *[longs(sketches[:, k]) for k in range(SKETCH)]]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("file", "at", "doc_id")), *made], names=["file", "at", "doc_id", "d0", "d1", "n", "keys", *sketch])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rounds(batches):
-            found = [shingle_set(_hashed(t)) for t in b.column("text").to_pylist()]
-            named = np.array([_digest(x) for x in found], dtype="<u8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), longs(named[:, 0]), longs(named[:, 1]), pa.array([x.view("<i8") for x in found], pa.list_(pa.int64()))], names=["node", "d0", "d1", "shingles"])
+            found = [shingle_set(_hashed(t)).view("<i8") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    signed = written(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, d0 long, d1 long, keys array<long>"))
+    texts = docs.select(*place(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = written(texts.mapInArrow(each, "file long, at long, doc_id long, d0 long, d1 long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in sketch)))
     held = Tables(docs.sparkSession)
-    nodes = signed.where("doc_id IS NOT NULL").groupBy("d0", "d1")
-    nodes = held.written(nodes.agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    # of equal sets that of the smallest doc_id is the node; rows that share a doc_id share the node
+    first = signed.where("doc_id IS NOT NULL").groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "file", "at")).alias("f"))
+    first = held.written(first.select("d0", "d1", F.col("f.doc_id").alias("node"), "f.file", "f.at"))
+    nodes = signed.drop("d0", "d1", "doc_id").join(first.select("file", "at", "node"), ["file", "at"])
+    nodes = held.written(nodes)
     keys = nodes.select("node", F.explode("keys").alias("key"))
     # an anchor with one signature links nothing; counts are small next to the keys
     centers = held.written(keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("key", "center"))
     met = held.written(keys.join(centers, "key").where("node <> center"))
     pairs = held.written(met.select("center", "node").distinct())
-    asked = pairs.select("node").union(pairs.select("center")).distinct()
-    whole = _among(docs, asked.withColumnRenamed("node", "doc_id")).mapInArrow(sets, "node long, d0 long, d1 long, shingles array<long>")
-    whole = held.written(whole.groupBy("node", "d0", "d1").agg(F.first("shingles").alias("shingles")).select("node", "shingles"))
-    nodes = nodes.drop("keys")
-
-    def linked(pairs: DataFrame) -> DataFrame:
+    # pairs far from similar are told by their sketches, before any text moves
+    sketches = nodes.select("node", "n", *sketch)
+    both = pairs.join(sketches, "node").join(sketches.select(F.col("node").alias("center"), F.col("n").alias("m"), *[F.col(c).alias(f"o{c}") for c in sketch]), "center")
+    near = (F.least("n", "m") >= LEAST_SIMILAR * F.greatest("n", "m")) & (_agreed("s", "os") >= LEAST_AGREED)
+    near = held.written(both.where(near).select("center", "node").distinct())
+    rows = nodes.select("file", "at", "node")
+    whole_ = held.written(_among(docs, rows.join(_ends(near), "node")).mapInArrow(sets, "node long, shingles array<long>"))
+
+    def linked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
         both = pairs.join(whole, "node").join(whole.select(F.col("node").alias("center"), F.col("shingles").alias("others")), "center")
         shared = both.select("center", "node", F.size(F.array_intersect("shingles", "others")).alias("n"), (F.size("shingles") + F.size("others")).alias("total"))
         alike = shared.where(F.col("n") >= LEAST_SIMILAR * (F.col("total") - F.col("n")))
         # written here, as a distinct behind it would keep a hot center's join from being split
         return held.written(alike.select(F.col("center").alias("a"), F.col("node").alias("b")))
 
-    first = linked(pairs)
-    further = linked(_further_pairs(met, whole, components(first), held))
-    labels = components(first.union(further)).withColumnsRenamed({"label": "component_id"})
-    named = written(nodes.join(labels, "node", "left").select("d0", "d1", F.coalesce("component_id", "node").alias("component_id")).distinct())
+    first_links = linked(near, whole_)
+    labels = components(first_links)
+    left = _unsettled(met, labels, held)
+    others = held.written(_among(docs, rows.join(left.select("node").distinct(), "node")).mapInArrow(sets, "node long, shingles array<long>"))
+    further = _further_pairs(others.join(left, "node"), held)
+    further = linked(further, others.join(_ends(further), "node", "left_semi"))
+    labels = components(first_links.union(further)).withColumnsRenamed({"label": "component_id"})
+    named = first.join(labels, "node", "left").select("d0", "d1", F.coalesce("component_id", "node").alias("component_id"))
+    named = written(named)
     held.drop()
-    return signed.select("doc_id", "d0", "d1").join(named, ["d0", "d1"]).select("doc_id", "component_id")
+    return signed.select("file", "at", "doc_id", "d0", "d1").join(named, ["d0", "d1"], "left").select("file", "at", "doc_id", "component_id")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select("node").union(pairs.select("center")).distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -442,5 +485,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without a doc_id stay; rows that share a doc_id stay or go together. Columns come back
     unchanged, whatever their names; an empty table stays empty.
     """
-    gone = similar(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    docs = stable(docs)
+    gone = _similar(docs).where("doc_id <> component_id").select("file", "at")
+    return whole(docs).join(gone, ["file", "at"], "left_anti").select("doc.*")
