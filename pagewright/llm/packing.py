@@ -97,7 +97,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, w
     """Tokens of each document with an end id, cut where it is longer than ``capacity``.
 
     A null text counts as empty: one piece that holds the end id. The first piece of a cut
-    document takes the odd length. Other columns of ``docs`` aren't read. Columns: doc_id,
+    document takes the odd length. Other columns of ``docs`` aren't read; repeated rows are
+    documents of their own; an empty table gives none. Columns: doc_id,
     piece, start, length, ids_crc32 and, if asked for, ids.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -126,34 +127,37 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, w
 def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
     """``items`` (doc_id, piece, length, ...) with sequence_id and offset; lengths from 1 to the capacity.
 
-    Extra columns are kept. Repeated rows are pieces of their own. An empty table gives none.
+    Extra columns are kept, whatever their names; only a sequence_id or offset of the input is
+    replaced. Repeated rows are pieces of their own, pieces of one length are ranked by doc_id and piece,
+    null first. An empty table gives none.
     """
     spark = items.sparkSession
     items = written(items)
     shards = max(LEAST_SHARDS, -(-items.count() // PIECES_PER_SHARD))
-    items = items.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    counts = items.groupBy("length", "_shard").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "_shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    # one column for the row itself, so that no name in it clashes with those used here
+    row = F.struct(*[items[f"`{c}`"] for c in items.columns if c not in ("sequence_id", "offset")]).alias("item")
+    shard = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int").alias("shard")
+    items = items.select(row, F.col("length").cast("long").alias("length"), "doc_id", "piece", shard)
+    counts = items.groupBy("length", "shard").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("length", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # at most `capacity` rows come to the driver, whatever the number of pieces
-    histogram = {r["length"]: r["_n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("_n")).collect()}
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps = spark.sparkContext.broadcast(plan(histogram, capacity))  # bounded by the capacity, not by the pieces
-    rank = F.row_number().over(Window.partitionBy("length", "_shard").orderBy("doc_id", "piece")) - 1
-    ranked = items.withColumn("_rank", rank).join(bases, ["length", "_shard"]).withColumn("_rank", F.col("_rank") + F.col("_base")).select(*[c for c in items.columns if c != "_shard"], "_rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank") + ", sequence_id long, offset long"
+    rank = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece")) - 1
+    ranked = items.withColumn("rank", rank).join(bases, ["length", "shard"]).select("item", "length", (F.col("rank") + F.col("base")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = steps.value
         keys = p[:, 0] << 44 | p[:, 1]
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "_rank"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
             step = p[np.searchsorted(keys, length << 44 | rank, side="right") - 1]
             i = rank - step[:, 1]
-            cols = [batch.column(c) for c in batch.schema.names if c != "_rank"]
-            names = [c for c in batch.schema.names if c != "_rank"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(step[:, 3] + i // step[:, 2]), pa.array(step[:, 4] + i % step[:, 2] * length)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(step[:, 3] + i // step[:, 2]), pa.array(step[:, 4] + i % step[:, 2] * length)], names=["item", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    schema = f"item {ranked.schema['item'].dataType.simpleString()}, sequence_id long, offset long"
+    return ranked.mapInArrow(place, schema).select("item.*", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

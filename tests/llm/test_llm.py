@@ -497,6 +497,27 @@ def test_ranking(spark, odd, empty):
     assert ranking.rank(empty, labels).count() == 0
 
 
+CLASHES = ["row", "file", "at", "doc", "copy", "parts", "boilerplate", "size", "key", "shard", "runs", "run", "h1", "h2", "listed", "most", "item", "rank", "length", "_metadata"]
+
+
+@pytest.mark.parametrize("stage", [lines.clean, exact.keep_one, simhash.keep_one, mixing.mixed])
+def test_clashing_columns_come_back_on_a_shuffled_input(spark, small, stage):
+    """Each value of a clashing column names its row; whatever rows a stage returns, they are whole rows of the input."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHES])
+    plain = Counter(r.doc_id for r in stage(docs.select("doc_id", "text", "lang", "source", "n_chars")).collect())
+    for df in (docs, docs.orderBy(F.xxhash64("doc_id"))):
+        out = stage(df)
+        rows = out.collect()
+        assert out.columns == docs.columns and Counter(r.doc_id for r in rows) == plain
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHES) and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_packed_rows_keep_clashing_columns(spark):
+    items = spark.createDataFrame([(i, 0, 3 + i % 5, f"s{i}", f"r{i}", f"n{i}") for i in range(40)], "doc_id long, piece int, length long, _shard string, rank string, base string")
+    rows = packing.pack(items, 16).collect()
+    assert len(rows) == 40 and all((r._shard, r["rank"], r.base) == (f"s{r.doc_id}", f"r{r.doc_id}", f"n{r.doc_id}") for r in rows)
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     assert simhash.near_duplicates(odd).count() == 12 and simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).count() == 0 and simhash.keep_one(odd).columns == odd.columns
