@@ -121,7 +121,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     docs = stable(docs)
     verdict = written(_judged(docs).where("kept").select("file", "at", "boilerplate"))
-    rows = whole(docs).join(verdict, ["file", "at"])
+    rows = whole(docs).join(verdict.hint("merge"), ["file", "at"])  # a verdict for each kept row: never broadcast, so the plan is one at every size
     left = F.filter(F.split("doc.text", "\n"), lambda x: ~F.coalesce(F.array_contains("boilerplate", line_hash(x)), F.lit(False)))
     text = F.when(F.col("boilerplate").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
     return retexted(rows.select("doc", text.alias("text")), docs)

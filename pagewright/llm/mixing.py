@@ -186,7 +186,8 @@ def mixed(docs: DataFrame) -> DataFrame:
         return F.zip_with(edge("begin", "end", "begin"), edge("end", "begin", "end"), lambda x, y: F.struct(x.alias("begin"), y.alias("end")))
 
     parts = parts.select("file", "at", "size", F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), F.col("most")), runs)).alias("runs"))
-    rows = whole(docs).join(written(parts), ["file", "at"]).select("doc", "size", F.explode("runs").alias("run"))
+    # a row for each document taken: never broadcast, so the plan is one at every size
+    rows = whole(docs).join(written(parts).hint("merge"), ["file", "at"]).select("doc", "size", F.explode("runs").alias("run"))
     pieces = F.regexp_extract_all(F.col("doc.text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     begin, end = F.col("run.begin"), F.col("run.end")
     cut = F.array_join(F.slice(pieces, (begin + 1).cast("int"), (end - begin).cast("int")), "")
