@@ -113,16 +113,20 @@ def resolve_labels(pages: DataFrame, page_labels: DataFrame) -> DataFrame:
     return m.select("book", method.alias("method"), offset.alias("offset"))
 
 
-def printed_pages(pages: DataFrame, numbering: DataFrame) -> DataFrame:
-    """Each page's label: its own folio, else from the offset, else its place in brackets; its place alone where nothing is known."""
+def printed_pages(pages: DataFrame, numbering: DataFrame, page_labels: DataFrame) -> DataFrame:
+    """Each page's label: the catalogue's where it counts; else its own folio, else from the offset, else its
+    place in brackets; its place alone where nothing is known."""
     own = F.col("pdf_index") - F.col("offset")
     label = (
-        F.when(F.col("method") == "fallback_sequential", (F.col("pdf_index") + 1).cast("string"))
+        F.when(F.col("method") == "pdf_page_labels", F.trim("_label"))
+        .when(F.col("method") == "fallback_sequential", (F.col("pdf_index") + 1).cast("string"))
         .when(F.col("folio").isNotNull(), F.col("folio"))
         .when(own >= 1, own.cast("string"))
         .otherwise(F.concat(F.lit("["), (F.col("pdf_index") + 1).cast("string"), F.lit("]")))
     )
-    return pages.join(numbering, "book").withColumn("printed_page", label).withColumn("is_front_matter", ~F.rlike(label, F.lit(_DIGITS)))
+    labels = page_labels.select("book", "pdf_index", F.col("label").alias("_label"))
+    rows = pages.join(numbering, "book").join(labels, ["book", "pdf_index"], "left").withColumn("printed_page", label).drop("_label")
+    return rows.withColumn("is_front_matter", ~F.rlike("printed_page", F.lit(_DIGITS)))
 
 
 def index_ratio(lines: Column) -> Column:
@@ -131,9 +135,15 @@ def index_ratio(lines: Column) -> Column:
 
 
 def by_printed(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (book, label) with the first page in file order of that label, compared trimmed and in lower case; null if none."""
-    first = pages.groupBy("book", F.lower(F.trim("printed_page")).alias("_label")).agg(F.min_by(F.struct(*[c for c in pages.columns if c != "book"]), "pdf_index").alias("page"))
-    return wanted.withColumn("_label", F.lower(F.trim("label"))).join(first, ["book", "_label"], "left").drop("_label")
+    """``wanted`` (book, label) with the first page in file order of that label, compared trimmed and in lower case; null if none.
+
+    Places are found on three narrow columns of the wanted labels; lines move only for the pages found.
+    """
+    asked = wanted.withColumn("_label", F.lower(F.trim("label")))
+    places = pages.select("book", "pdf_index", F.lower(F.trim("printed_page")).alias("_label")).join(asked.select("book", "_label").distinct(), ["book", "_label"], "left_semi")
+    first = places.groupBy("book", "_label").agg(F.min("pdf_index").alias("pdf_index"))
+    found = pages.join(first, ["book", "pdf_index"]).select("book", "_label", F.struct(*[c for c in pages.columns if c != "book"]).alias("page"))
+    return asked.join(found, ["book", "_label"], "left").drop("_label")
 
 
 def line(lines: Column, n: Column) -> Column:
@@ -182,6 +192,13 @@ def chapters_heading(pages: DataFrame, totals: DataFrame) -> DataFrame:
     return _ranges(marks.select("book", F.substring(F.trim("_h"), 1, 80).alias("title"), F.col("pdf_index").alias("start"), F.col("pdf_index").alias("ord")), totals)
 
 
+def choose_chapters(outlined: DataFrame, headed: DataFrame, totals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chapters, method of each book): those of the outline if it has any, else those of headings, else none."""
+    books = totals.select("book").join(outlined.select("book", F.lit(True).alias("_o")).distinct(), "book", "left").join(headed.select("book", F.lit(True).alias("_h")).distinct(), "book", "left")
+    method = F.when(F.col("_o"), "pdf_outline").when(F.col("_h"), "heading_regex").otherwise("none")
+    return outlined.unionByName(headed.join(outlined.select("book").distinct(), "book", "left_anti")), books.select("book", method.alias("method"))
+
+
 def assign_chapters(pages: DataFrame, chapters: DataFrame) -> DataFrame:
     """Each page's last chapter whose range holds it, -1 where none does.
 

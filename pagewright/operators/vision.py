@@ -22,8 +22,17 @@ def parse(raw: Column) -> Column:
 
 
 def clean_items(raw: DataFrame) -> DataFrame:
-    """Items of each answer (image_hash, pdf_index, raw) in order; blank ones go, kinds and blanks are made regular."""
-    rows = raw.select("image_hash", "pdf_index", F.explode(parse(F.col("raw"))["pages"]).alias("p")).select("image_hash", "pdf_index", F.posexplode("p.items").alias("ord", "it"))
+    """Items of each answer (image_hash, pdf_index, raw) in order; blank ones go, kinds and blanks are made regular.
+
+    An answer may cover several pages: an entry's items go to the page it names (a number from 1 on), and to the
+    answer's own page where it names none. Of two entries for a page the later one counts.
+    """
+    named = F.trim(F.coalesce("p.page", F.lit("")))
+    page = F.coalesce(F.when(F.rlike(named, F.lit("^[0-9]{1,9}$")), named.cast("int") - 1), F.col("asked")).alias("pdf_index")
+    entries = raw.select("image_hash", F.col("pdf_index").alias("asked"), F.posexplode(parse(F.col("raw"))["pages"]).alias("entry", "p"))
+    entries = entries.select("image_hash", "asked", page, "entry", "p")
+    last = F.max("entry").over(Window.partitionBy("image_hash", "asked", "pdf_index"))
+    rows = entries.withColumn("_last", last).where("entry = _last").select("image_hash", "pdf_index", F.posexplode("p.items").alias("ord", "it"))
     text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("it.text", F.lit(""))), r"\s*\n\s*", " "), r"[ \t]{2,}", " "))
     kind = F.lower(F.trim(F.coalesce("it.type", F.lit("speech"))))
     return rows.select(
@@ -63,9 +72,16 @@ def pending(images: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known, new.groupBy("image_hash").agg(F.min("pdf_index").alias("pdf_index"))
 
 
-def batches(new: DataFrame, each: int) -> DataFrame:
-    """Requests of ``each`` images in page order: (batch, images). Places come from counts by page range, not from one window."""
-    return new.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("pdf_index")) - 1) / each)).groupBy("batch").agg(F.count("*").alias("images"))
+def batches(new: DataFrame, each: int, key: str = "pdf_index") -> DataFrame:
+    """Requests of ``each`` rows in order of ``key``: (batch, images). Places come from counts of at most 4,097 ranges
+    of the key and places inside a range, so no window holds the table."""
+    ends = new.agg(F.min(key), F.max(key)).first()
+    width = 1 if ends[0] is None else (ends[1] - ends[0]) // 4096 + 1
+    d = new.select(key, F.expr(f"`{key}` div {width}L").alias("r"))
+    sums = d.groupBy("r").agg(F.count("*").alias("n"))
+    base = F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = d.withColumn("i", F.row_number().over(Window.partitionBy("r").orderBy(key))).join(sums.withColumn("base", base), "r")
+    return placed.groupBy(F.expr(f"(base + i - 1) div {each}").alias("batch")).agg(F.count("*").alias("images"))
 
 
 def _base(member: Column) -> Column:

@@ -14,6 +14,7 @@ from pagewright.operators import limits as L
 from pagewright.operators import pages as PG
 from pagewright.operators import retrieval as R
 from pagewright.operators import routing as Q
+from pagewright.operators import status as ST
 from pagewright.operators import summaries as M
 from pagewright.operators import vision as G
 from pagewright.plans import binding as B
@@ -156,10 +157,11 @@ QUERIES["label_source"] = resolve_labels
 ORACLE_SQL["label_source"] = ORACLE_SQL["resolve_labels"]
 
 
-@query("printed_page", "SELECT book, pdf_index, CASE WHEN is_front_matter AND pdf_index % 3 <> 0 THEN '[' || (pdf_index + 1) || ']' ELSE printed_page END AS printed_page, is_front_matter FROM book_pages", _PAGES)
+@query("printed_page", "SELECT book, pdf_index, CASE WHEN CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT) % 2 = 0 THEN printed_page WHEN is_front_matter AND pdf_index % 3 <> 0 THEN '[' || (pdf_index + 1) || ']' ELSE printed_page END AS printed_page, is_front_matter FROM book_pages", _PAGES)
 def printed_page(spark, sf):
     pages = _paged(spark, sf)
-    return PG.printed_pages(pages, PG.resolve_labels(pages, B.page_labels(spark, sf))).select("book", "pdf_index", "printed_page", "is_front_matter")
+    labels = B.page_labels(spark, sf)
+    return PG.printed_pages(pages, PG.resolve_labels(pages, labels), labels).select("book", "pdf_index", "printed_page", "is_front_matter")
 
 
 @query("front_matter", "SELECT book, count(*) FILTER (is_front_matter) AS front, count(*) FILTER (NOT is_front_matter) AS body FROM book_pages GROUP BY book", _PAGES)
@@ -226,6 +228,17 @@ def chapters_heading(spark, sf):
     return PG.chapters_heading(headed, B.totals(spark, sf))
 
 
+@query("chapter_method", """SELECT book, n, CASE n % 3 WHEN 0 THEN 'pdf_outline' WHEN 1 THEN 'heading_regex' ELSE 'none' END AS method, coalesce(CASE n % 3 WHEN 0 THEN c - 1 WHEN 1 THEN c END, 0) AS chapters
+  FROM (SELECT book, CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT) AS n, count(*) AS c FROM chapters GROUP BY book)""", _PAGES)
+def chapter_method(spark, sf):
+    """A third of the books has an outline, a third headings only, and a third neither."""
+    n = F.regexp_extract("book", "([0-9]+)$", 1).cast("int")
+    headed = chapters_heading(spark, sf).where(n % 3 != 2)
+    found, method = PG.choose_chapters(chapters_outline(spark, sf).where(n % 3 == 0), headed, B.totals(spark, sf))
+    counts = found.groupBy("book").agg(F.count("*").alias("chapters"))
+    return method.join(counts, "book", "left").select("book", n.alias("n"), "method", F.coalesce("chapters", F.lit(0)).alias("chapters"))
+
+
 @query("assign_chapters", """SELECT p.book, p.pdf_index, CAST(coalesce(max(c.id), 0) - 1 AS INT) AS chapter_id FROM book_pages p LEFT JOIN chapters c ON c.book = p.book AND p.pdf_index BETWEEN c."start" AND c."end" GROUP BY ALL""", _PAGES)
 def assign_chapters(spark, sf):
     return PG.assign_chapters(B.book_pages(spark, sf).drop("chapter_id"), chapters_outline(spark, sf)).select("book", "pdf_index", "chapter_id")
@@ -601,14 +614,8 @@ def archive_align(spark, sf):
 
 @query("batch_plan", "SELECT batch, count(*) AS images FROM (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM documents) GROUP BY batch")
 def batch_plan(spark, sf):
-    """Four pages a request; places come from counts of id ranges, so no window holds the whole table."""
-    from pyspark.sql import Window
-
-    d = B.table(spark, sf, "documents").select("doc_id", F.expr("doc_id div 1000").alias("r"))
-    sums = d.groupBy("r").agg(F.count("*").alias("n"))
-    base = F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = d.withColumn("i", F.row_number().over(Window.partitionBy("r").orderBy("doc_id"))).join(sums.withColumn("base", base), "r")
-    return placed.groupBy(F.expr("(base + i - 1) div 4").alias("batch")).agg(F.count("*").alias("images"))
+    """Four pages a request."""
+    return G.batches(B.table(spark, sf, "documents").select("doc_id"), 4, "doc_id")
 
 
 # ---------------------------------------------------------------- limiter, status, checks
@@ -672,6 +679,41 @@ def coverage_checks(spark, sf):
     return B.book_pages(spark, sf).groupBy("book").agg(F.count_if(~F.col("is_front_matter") & blank).alias("empty_body"), (F.count_if(F.col("chapter_id") >= 0) / F.count("*")).alias("in_chapter"))
 
 
+@query("collection_name", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'book_coding' WHEN 1 THEN 'book_novel' WHEN 2 THEN 'book_manga' ELSE 'book_coding' END AS name FROM documents")
+def collection_name(spark, sf):
+    kind = F.get(F.array(F.lit("Coding"), F.lit("NOVEL"), F.lit("manga"), F.lit("atlas")), (F.col("doc_id") % 4).cast("int"))
+    return B.table(spark, sf, "documents").select("doc_id", ST.collection_name(kind).alias("name"))
+
+
+@query("escape_html", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&#39;'), chr(34), '&quot;') AS safe FROM pages")
+def escape_html(spark, sf):
+    return B.table(spark, sf, "pages").select("page_id", ST.escaped(F.col("html")).alias("safe"))
+
+
+@query("build_estimate", "SELECT book, count(*) * 60 // 10 AS seconds FROM chapters GROUP BY book", _PAGES)
+def build_estimate(spark, sf):
+    return B.chapters(spark, sf).groupBy("book").agg(F.count("*").alias("n")).select("book", ST.worst_seconds(F.col("n"), F.lit(10)).alias("seconds"))
+
+
+@query("history_block", f"SELECT conv_id, CASE WHEN history = '' THEN '' ELSE 'Earlier turns:' || chr(10) || history || chr(10) END AS block FROM ({ORACLE_SQL['history_window']})")
+def history_block(spark, sf):
+    return history_window(spark, sf).select("conv_id", ST.history_block(F.col("history")).alias("block"))
+
+
+@query("ingest_message", """SELECT book, 'Read ' || total || ' pages into ' || n || ' chunks (' || CASE WHEN CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT) % 2 = 0 THEN 'pdf_page_labels' ELSE 'footer_regex_offset' END
+  || ', offset 3). Summaries of ' || c || ' chapters: ' || c || ' new, 0 reused.' AS message
+  FROM totals JOIN (SELECT book, count(*) AS n FROM chunks GROUP BY book) USING (book) JOIN (SELECT book, count(*) AS c FROM chapters GROUP BY book) USING (book)""", _PAGES + "," + _CHUNKS, True)
+def ingest_message(spark, sf):
+    chapters = B.chapters(spark, sf).groupBy("book").agg(F.count("*").alias("chapters"))
+    books = B.totals(spark, sf).withColumnRenamed("total", "pages").join(corpus_count(spark, sf), "book").join(resolve_labels(spark, sf), "book").join(chapters, "book")
+    return ST.ingest_message(books.withColumn("built", F.col("chapters")).withColumn("reused", F.lit(0)))
+
+
+@query("session_state", "SELECT user_id AS session, event_type AS book, arg_max(props, event_id) AS state FROM events GROUP BY user_id, event_type")
+def session_state(spark, sf):
+    return ST.latest_state(B.table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("book"), F.col("event_id").alias("seq"), F.col("props").alias("state")))
+
+
 @query("diagnose_hits", """SELECT b.item_id, count(c.chunk) AS hits, count(c.chunk) FILTER (c.is_front_matter OR c.is_index) AS excluded FROM benchmark b LEFT JOIN chunks c ON c.book = 'src' || (b.item_id % 20) AND contains(lower(c.body), lower(left(b.text, 30))) GROUP BY b.item_id""", _PAGES + "," + _CHUNKS, True)
 def diagnose_hits(spark, sf):
     q = _questions(spark, sf).select(F.col("query_id").alias("item_id"), "book", F.lower(F.substring("text", 1, 30)).alias("lit"))

@@ -48,10 +48,13 @@ def members(spark: SparkSession, path: str, with_bytes: bool = False) -> DataFra
                 name = os.path.basename(name)
                 if not name.lower().endswith(ARCHIVES):
                     raise ValueError(f"not a zip archive: {name}")
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in sorted((m for m in z.namelist() if m.lower().endswith(IMAGES)), key=str.lower):
-                        data = z.read(m)
-                        rows.append((name, m, *dimensions(data), *[data] * with_bytes))
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for m in sorted((m for m in z.namelist() if m.lower().endswith(IMAGES)), key=str.lower):
+                            data = z.read(m)
+                            rows.append((name, m, *dimensions(data), *[data] * with_bytes))
+                except zipfile.BadZipFile:
+                    continue
             yield pd.DataFrame(rows, columns=["archive", "member", "width", "height", *["bytes"] * with_bytes])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, schema)
@@ -61,3 +64,12 @@ def in_order(archives: DataFrame) -> DataFrame:
     """Archives by leading number, those without last, then by name."""
     lead = F.coalesce(F.nullif(F.regexp_extract("archive", r"^\s*([0-9]+)", 1), F.lit("")).cast("long"), F.lit(1_000_000_000))
     return archives.orderBy(lead, F.lower("archive"))
+
+
+def write_manifest(manifest: DataFrame, at: str) -> None:
+    """The pages of archives as lines of JSON, in ranges of page order."""
+    manifest.repartitionByRange("pdf_page").sortWithinPartitions("pdf_page").write.mode("overwrite").json(at)
+
+
+def read_manifest(spark: SparkSession, at: str) -> DataFrame:
+    return spark.read.schema("pdf_page long, issue string, source_image string, from_spread boolean, declared_page int").json(at)

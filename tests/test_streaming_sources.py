@@ -60,3 +60,29 @@ def test_archive_members(spark, tmp_path):
 def test_settings():
     s = Settings.read({"CHUNK_CHARS": "100", "HEADER_ZONE": "x", "HYBRID_RETRIEVAL": "No", "REWRITE_FOLLOWUPS": "on"})
     assert (s.chunk_chars, s.header_zone, s.hybrid_retrieval, s.rewrite_followups) == (100, 0.08, False, True)
+
+
+def test_corrupt_archives_give_no_rows(spark, tmp_path):
+
+
+    (tmp_path / "bad.cbz").write_bytes(b"not a zip at all")
+    with zipfile.ZipFile(tmp_path / "good.cbz", "w") as z:
+        z.writestr("a.png", b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (7).to_bytes(4, "big") + (9).to_bytes(4, "big"))
+    assert [tuple(r) for r in archives.members(spark, str(tmp_path)).collect()] == [("good.cbz", "a.png", 7, 9)]
+
+
+def test_answers_on_several_pages_and_their_cache(spark, tmp_path):
+    from pagewright.operators import vision
+    from pagewright.streaming import readings
+
+    raw = '{"pages":[{"page":"3","items":[{"text":"a"},{"text":"b"}]},{"page":"4","items":[{"text":"c"}]},{"page":"","items":[{"text":"d"}]},{"page":"4","items":[{"text":"e"}]}]}'
+    df = spark.createDataFrame([("h", 0, raw)], "image_hash string, pdf_index int, raw string")
+    got = {r.pdf_index: r.lines for r in vision.lines(vision.clean_items(df)).collect()}
+    assert got == {2: ["unknown: a", "unknown: b"], 3: ["unknown: e"], 0: ["unknown: d"]}
+    at = str(tmp_path / "cache")
+    assert readings.load(spark, at).count() == 0
+    write = readings.writer(at)
+    for number in (1, 1, 2):
+        write(df.select("image_hash", F.concat("raw", F.lit(f" {number}")).alias("raw")), number)
+    cache = readings.load(spark, at)
+    assert cache.count() == 2 and readings.latest(cache).collect()[0].raw.endswith(" 2")
