@@ -38,13 +38,23 @@ def op4_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Fixed rules, host and path.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: The list that the cascade encodes: hosts of the corpus with one of these in their name.
+#: The list has the hosts of the corpus with one of these in their name, and those of which the rules block this share of the pages or more.
 LISTED_TERMS = ("adult", "ads-", "bets", "casino", "pills", "spam")
+BLOCKED_SHARE = 0.5
+
+
+def listed_hosts(pages: DataFrame) -> DataFrame:
+    """The blocklist that the pages themselves give, a table of hosts."""
+    host = urls.host(F.col("url"))
+    _, verdict = urls.rule_verdict(F.col("host"), F.col("path"), URL_RULES)
+    parsed = pages.select(host.alias("host"), urls.path(F.col("url")).alias("path"))
+    counts = parsed.groupBy("host").agg(F.count_if(verdict == "block").alias("blocked"), F.count("*").alias("n"))
+    return counts.where(F.rlike("host", F.lit("|".join(LISTED_TERMS))) | (F.col("blocked") >= BLOCKED_SHARE * F.col("n"))).select("host")
 
 
 def op5_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = F.rlike("host", F.lit("|".join(LISTED_TERMS)))
-    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, listed)
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, URL_RULES, listed_hosts(pages))
 
 
 def op6_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,9 +127,10 @@ WITH p AS (
   SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
   FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
 )
-SELECT p.page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(host, 'adult|ads-|bets|casino|pills|spam') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT p.page_id, p.host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit ON fit.page_id = p.page_id
+JOIN (SELECT host, regexp_matches(host, 'adult|ads-|bets|casino|pills|spam') OR count(*) FILTER (verdict = 'block') >= 0.5 * count(*) AS listed
+      FROM p LEFT JOIN fit ON fit.page_id = p.page_id GROUP BY host) h ON h.host = p.host
 """
 
 _OP8 = r"""

@@ -1,6 +1,6 @@
 """URL filters: rules on host and path, and a Bloom filter cascade for the hosts that no rule fits.
 
-A cascade is exact for every key of the universe it was built over. Its first level encodes the
+The list is a table of keys. A cascade is exact for every key of the universe it was built over. Its first level encodes the
 listed keys, the next the other keys that the first lets through by mistake, the next the listed
 keys that this one lets through, and so on until nobody passes by mistake. The universe here is
 every host of the corpus, so a verdict needs no join with the list.
@@ -90,32 +90,37 @@ def member(levels: list[tuple[int, int, np.ndarray]], h1: np.ndarray, h2: np.nda
     return out
 
 
-def _hashed(df: DataFrame, key: str, shards: int) -> DataFrame:
-    df = df.withColumn("h1", F.xxhash64(key)).withColumn("h2", F.xxhash64(F.lit(7), key))
+def _hashed(df: DataFrame, shards: int) -> DataFrame:
+    df = df.withColumn("h1", F.xxhash64("key")).withColumn("h2", F.xxhash64(F.lit(7), "key"))
     return df.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
 
 
-def cascades(universe: DataFrame, key: str, listed: Column, shards: int) -> DataFrame:
-    """shard, level, hashes, size, bits over the distinct ``key`` values of ``universe``."""
+def cascades(universe: DataFrame, shards: int) -> DataFrame:
+    """shard, level, hashes, size, bits over ``universe`` (distinct key, listed)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         levels = build_levels(pdf.h1.to_numpy(), pdf.h2.to_numpy(), pdf.listed.to_numpy(dtype=bool))
         return pd.DataFrame([(pdf.shard.iloc[0], i, *x) for i, x in enumerate(levels)], columns=["shard", "level", "hashes", "size", "bits"])
 
-    keys = _hashed(universe.select(key, F.coalesce(listed, F.lit(False)).alias("listed")), key, shards)
-    return keys.select("shard", "h1", "h2", "listed").groupBy("shard").applyInPandas(build, "shard int, level int, hashes int, size long, bits binary")
+    return _hashed(universe, shards).select("shard", "h1", "h2", "listed").groupBy("shard").applyInPandas(build, "shard int, level int, hashes int, size long, bits binary")
 
 
-def with_membership(rows: DataFrame, key: str, listed: Column, shard_keys: int = SHARD_KEYS, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """``rows`` with a boolean ``listed``: whether ``key`` is among the keys for which ``listed`` holds.
+def with_membership(rows: DataFrame, key: str, listed: DataFrame, shard_keys: int = SHARD_KEYS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """``rows`` with a boolean ``listed``: whether the string ``key`` is among those of ``listed``, a table of one column.
 
-    ``listed`` is a condition on the key alone; null means no. Any keys do: null is never
-    listed, ties and repeated rows get the same answer, an empty table gives none.
+    The list is joined once, with the distinct keys, when cascades are built; rows meet cascades
+    only, a pass of at most ``pass_bytes`` at a time, whose result is written before the next is loaded. Null is never
+    listed, repeated rows and listed keys that no row has change nothing, an empty table gives none. Columns
+    come back unchanged whatever their names, but for one named listed, which is replaced.
     """
     spark = rows.sparkSession
-    universe = written(rows.where(F.col(key).isNotNull()).select(key).distinct())
+    columns = [c for c in rows.columns if c != "listed"]
+    rows = rows.select(F.struct(*[rows[f"`{c}`"] for c in columns]).alias("item"), rows[f"`{key}`"].alias("key"))
+    names = listed.select(listed[f"`{listed.columns[0]}`"].alias("key")).where("key IS NOT NULL").distinct().withColumn("listed", F.lit(True))
+    universe = rows.where("key IS NOT NULL").select("key").distinct().join(names, "key", "left")
+    universe = written(universe.select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
     shards = max(1, -(-universe.count() // shard_keys))
-    made = written(cascades(universe, key, listed, shards))
+    made = written(cascades(universe, shards))
     sizes = {r[0]: r[1] for r in made.groupBy("shard").agg(F.sum(F.octet_length("bits")).alias("b")).collect()}
     passes, held = [[0, 0]], 0
     for s in range(shards):
@@ -123,8 +128,11 @@ def with_membership(rows: DataFrame, key: str, listed: Column, shard_keys: int =
             passes.append([s, s])
             held = 0
         passes[-1][1], held = s + 1, held + sizes.get(s, 0)
-    hashed, columns = _hashed(rows, key, shards), rows.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", listed boolean"
+    # rows without a key go with the first shard
+    hashed = _hashed(rows, shards).withColumn("shard", F.when(F.col("key").isNull(), 0).otherwise(F.col("shard")))
+    if len(passes) > 1:
+        hashed = written(hashed)
+    schema = f"item {hashed.schema['item'].dataType.simpleString()}, listed boolean"
     out = None
     for a, b in passes:
         part = made.where(F.col("shard").between(a, b - 1)).orderBy("shard", "level").collect()  # at most pass_bytes
@@ -141,19 +149,23 @@ def with_membership(rows: DataFrame, key: str, listed: Column, shard_keys: int =
                 for s in np.unique(shard):
                     at = np.flatnonzero(shard == s)
                     found[at] = member(ready.get(int(s), []), h1[at], h2[at])
-                found &= ~batch.column(key).is_null().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found)], names=[*columns, "listed"])
+                found &= ~batch.column("key").is_null().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(found)], names=["item", "listed"])
 
         done = hashed.where(F.col("shard").between(a, b - 1)).mapInArrow(judge, schema)
+        if len(passes) > 1:
+            done = written(done)
+            sent.unpersist()
         out = done if out is None else out.unionByName(done)
-    return out
+    return out.select("item.*", "listed")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: Column) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame) -> DataFrame:
     """page_id, host, path, rule and verdict of each row of ``pages`` (page_id, url, ...).
 
     A null url and one without ``://`` have empty host and path, which no rule fits. ``listed``
-    is a condition on ``host``. Extra columns are ignored.
+    is a table of hosts. Extra columns are ignored, whatever their names, repeated rows are judged
+    alike, and an empty table gives none. Of rules that fit, the longest wins.
     """
     parsed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
