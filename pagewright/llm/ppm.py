@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.tokens import rounds
@@ -24,6 +24,8 @@ from pagewright.llm.tokens import rounds
 ORDER = 4
 #: The sample: at most so many documents of a language, in the order of a hash of their ids, each of at most so many bytes.
 TRAIN_DOCUMENTS, TRAIN_BYTES = 400, 1 << 16
+#: Languages learned at most.
+MOST_LANGUAGES = 200
 #: Distinct grams whose code lengths a worker remembers.
 GRAMS_HELD = 1_000_000
 #: Grams of one step; a long text takes several.
@@ -114,28 +116,33 @@ class Coder:
         return out
 
 
-def train(docs: DataFrame, order: int = ORDER, documents: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[Tree]]:
+def train(docs: DataFrame, order: int = ORDER, documents: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES, languages: int = MOST_LANGUAGES) -> tuple[list[str], list[Tree]]:
     """Languages and their trees from rows of ``docs`` (doc_id, text, lang); rows with a null are left out.
 
-    The sample is bounded by the two limits, so the trees are too: a few MB for each language.
+    The sample is bounded by the limits, so the trees are too: a few MB for each language. Of more
+    than ``languages`` the most frequent are learned, ties by code point. Rows that share doc_id and lang count as
+    one, with the least of their texts. Extra columns are ignored; from an empty table nothing is learned.
     """
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.octet_length("text") <= most_bytes)
-    # the smallest hashes of each language: a cut at twice the expected one first, so that no task ranks a whole language
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("_n"))
-    near = usable.select("doc_id", "lang", place.alias("_at")).join(sizes, "lang").where(F.col("_at").cast("double") * F.col("_n") < float(1 << 40) * (2 * documents + 100))
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_at", "doc_id")))
-    chosen = ranked.where(F.col("_r") <= documents)
-    ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})  # bounded: `documents` a language
-    if not ids:
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.octet_length("text") <= most_bytes).select("doc_id", "lang", "text")
+    # one row a language, and no more than `languages` of them, come to the driver
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    if not sizes:
         return [], []
+    # the smallest hashes of each language: all rows below a cut at twice the expected one are candidates, wherever they lie
+    cuts = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(1 << 40) * (2 * documents + 100) / r["n"])])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    near = usable.select("doc_id", "lang", place.alias("at")).where(F.col("at").cast("double") < F.element_at(cuts, F.col("lang"))).distinct()
+    # bounded: about 2 * `documents` + 100 ids a language, each once however often it is repeated
+    best: dict[str, list] = {}
+    for r in near.collect():
+        best.setdefault(r["lang"], []).append((r["at"], r["doc_id"]))
+    wanted = {lang: [i for _, i in sorted(x)[:documents]] for lang, x in best.items()}
+    ids = sorted({i for x in wanted.values() for i in x})
+    rows = usable.where(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     # sorted: the trees don't depend on the order in which the sample arrives
-    rows = sorted(usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").collect())
-    texts: dict[str, list[str]] = {}
-    for _, lang, text in rows:
-        texts.setdefault(lang, []).append(text)
-    langs = sorted(texts)
-    return langs, [Tree(texts[x], order) for x in langs]
+    found = {(r["lang"], r["doc_id"]): r["text"] for r in rows}
+    langs = sorted(wanted)
+    return langs, [Tree([found[x, i] for i in sorted(wanted[x])], order) for x in langs]
 
 
 def identify(docs: DataFrame, langs: list[str], trees: list[Tree], order: int = ORDER) -> DataFrame:
@@ -143,7 +150,8 @@ def identify(docs: DataFrame, langs: list[str], trees: list[Tree], order: int =
 
     ``und`` with score 0 if the text is null or has no letter, or no language was learned. The
     score is the winner's share of the probability that the code lengths stand for. Equal
-    lengths go to the first language in order. Extra columns are ignored.
+    lengths go to the first language in order. Extra columns are ignored, repeated rows are judged
+    alike, very long texts are coded whole in steps, and an empty table gives none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the training sample
 

@@ -318,13 +318,16 @@ def test_cascade_is_exact(flags, seed):
 def test_urls_in_shards_and_passes(spark):
     rows = [(i, f"http://h{i % 500}.org/x") for i in range(3000)] + [(9001, None), (9002, "nonsense"), (9003, "HTTP://WWW.Example.com/en/1?q"), (9004, "ftp://a.net"), (9005, "x://B.net/es/")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", urls.host(F.col("url"))).withColumn("listed_", F.lit(1))
-    got = urls.with_membership(df, "host", F.rlike("host", F.lit("^h[0-9]*7\\.")), shard_keys=40, pass_bytes=300).collect()
+    blocked = spark.createDataFrame([(f"h{i}7.org",) for i in ["", *range(60)]] + [("elsewhere.org",), (None,), ("h7.org",)], "name string")
+    clash = df.withColumn("h1", F.lit("x")).withColumn("key", F.lit("y")).withColumn("listed", F.lit("z"))
+    got = urls.with_membership(clash, "host", blocked, shard_keys=40, pass_bytes=300).collect()
+    assert all(r.h1 == "x" and r.key == "y" for r in got)
     assert len(got) == len(rows) and all(r.listed == (r.host.startswith("h") and r.host.split(".")[0].endswith("7")) for r in got)
-    judged = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, queries.URL_RULES, F.lit(False)).collect()}
+    judged = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, queries.URL_RULES, blocked.limit(0)).collect()}
     assert judged[9001] == judged[9002] == ("", "", None, "allow")
     assert judged[9003] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
     assert judged[9004] == ("a.net", "", None, "allow") and judged[9005] == ("b.net", "/es/", "net/es/", "block")
-    assert urls.judge(df.where("false"), queries.URL_RULES, F.lit(True)).count() == 0
+    assert urls.judge(df.where("false"), queries.URL_RULES, blocked).count() == 0
 
 
 def brute_lague(votes, seats):
@@ -476,6 +479,45 @@ def test_tree_codes_are_prefix_lengths():
     assert c.lengths(["abra", ""])[:, 0] == pytest.approx([alone, 0.0], rel=1e-5)
 
 
+def brute_bits(train_texts, text, order):
+    """Partial matching by method C with plain dictionaries, a byte at a time."""
+    seen = {}
+    for t in train_texts:
+        data = b"\n" * order + t.lower().encode()
+        for i in range(order, len(data)):
+            for k in range(order + 1):
+                seen.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    data, total = b"\n" * order + text.lower().encode(), 0.0
+    for i in range(order, len(data)):
+        for k in range(order, -1, -1):
+            after = seen.get(data[i - k : i])
+            if after is None:
+                continue
+            mass = sum(after.values()) + len(after)
+            if data[i] in after:
+                total -= np.log2(after[data[i]] / mass)
+                break
+            total -= np.log2(len(after) / mass)
+        else:
+            total += 8
+    return total
+
+
+def test_code_lengths_equal_plain_partial_matching():
+    r = random.Random(41)
+    texts = lambda n: ["".join(r.choices("abcé d.", k=r.randint(0, 80))) for _ in range(n)]
+    samples = [texts(12), texts(3), ["Only one."]]
+    asked = [*texts(20), "", "zzz Ünseen", "abc " * 50]
+    got = ppm.Coder([ppm.Tree(x, 3) for x in samples], 3).lengths(asked)
+    assert got == pytest.approx(np.array([[brute_bits(x, t, 3) for x in samples] for t in asked]), rel=1e-5, abs=1e-6)
+
+
+def test_training_sample_is_bounded_by_repeats(spark):
+    df = spark.createDataFrame([(i % 7, f"text {i % 7} {i % 3}", "en") for i in range(300)] + [(100 + i, "autre texte", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
+    langs, trees = ppm.train(df, documents=4, languages=3)
+    assert langs == ["en", "l0", "l1"] and len(trees) == 3
+
+
 def test_languages(spark, small, odd, empty):
     got = QUERIES["op7_ppm_language"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count()
