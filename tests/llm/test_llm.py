@@ -560,6 +560,26 @@ def test_packed_rows_keep_clashing_columns(spark):
     assert len(rows) == 40 and all((r._shard, r["rank"], r.base) == (f"s{r.doc_id}", f"r{r.doc_id}", f"n{r.doc_id}") for r in rows)
 
 
+def test_ranking_equals_a_plain_gradient_fit():
+    """Weights against gradient steps on the same preference pairs, written out one by one."""
+    rng = np.random.default_rng(5)
+    n = len(ranking.FEATURES)
+    good = np.arange(120) < 70
+    x = rng.normal(size=(120, n)) + np.outer(good, np.linspace(-0.4, 0.4, n))
+    model = ranking.Ranking(x, good, partners=6, seed=3)
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    a, b, draw = z[good], z[~good], np.random.default_rng(3)
+    mates = a[draw.integers(len(a), size=len(b) * 6)]
+    pairs = [(mates[i], b[i // 6]) for i in range(len(mates))]
+    w = np.zeros(n)
+    d = np.array([p - q for p, q in pairs])
+    for _ in range(20_000):
+        w += 0.2 * ((d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) - ranking.RIDGE * w)
+    assert model.w == pytest.approx(w, abs=2e-3)
+    s = z @ w
+    assert (model.scores(x) >= ranking.CUT).sum() == (s >= np.quantile(s, 1 - good.mean())).sum()
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     assert simhash.near_duplicates(odd).count() == 12 and simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).count() == 0 and simhash.keep_one(odd).columns == odd.columns
