@@ -19,6 +19,7 @@ from pagewright.operators import summaries as M
 from pagewright.operators import vision as G
 from pagewright.plans import binding as B
 from pagewright.sources import html as H
+from pagewright.sources.tables import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -291,24 +292,24 @@ def _corpus(spark, sf):
     return B.chunks(spark, sf).where("NOT is_index")
 
 
+def _index(spark, sf, embedder=R.HASHED):
+    """The searchable chunks, analysed and written once for all that a query asks of them."""
+    return kept(R.index(_corpus(spark, sf).select("book", "chunk", "pdf_index", "chapter_id", "text"), embedder))
+
+
 def _questions(spark, sf):
     return B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("book"), "text")
 
 
 @query("bm25_stats", "SELECT book, n, round(avgdl, 6) AS avgdl FROM stats", _PAGES + "," + _CHUNKS + "," + _BM25, True)
 def bm25_stats(spark, sf):
-    return R.bm25_stats(_corpus(spark, sf)).withColumn("avgdl", F.round("avgdl", 6))
-
-
-def _lexical(spark, sf):
-    c = _corpus(spark, sf)
-    posts = R.postings(c).persist()  # read by the frequencies and again by the scores; spills to disk
-    return R.bm25_topk(posts, R.bm25_stats(c), _questions(spark, sf))
+    return R.bm25_stats(R.index(_corpus(spark, sf))).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("bm25_topk", "SELECT query_id, chunk, rank, score FROM lex", _PAGES + "," + _CHUNKS + "," + _BM25, True)
 def bm25_topk(spark, sf):
-    return _lexical(spark, sf).select("query_id", "chunk", "rank", "score")
+    index = _index(spark, sf, None)
+    return R.bm25_topk(R.postings(index), R.bm25_stats(index), _questions(spark, sf)).select("query_id", "chunk", "rank", "score")
 
 
 @query("dense_topk", """SELECT query_id, chunk, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM (
@@ -324,20 +325,10 @@ _EMBED = """list_transform(range(64), lambda b: coalesce(list_sum(list_transform
 @query("hash_embed", f"""SELECT item_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN round(x / n, 6) ELSE 0.0 END) AS v FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (
   SELECT item_id, {_EMBED.format('ts')} AS v FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ts FROM benchmark)))""")
 def hash_embed(spark, sf):
-    v = B.table(spark, sf, "benchmark").select("item_id", R.hash_embed(F.col("text")).alias("v"))
+    v = B.table(spark, sf, "benchmark").select("item_id", R.HASHED.passages(F.col("text")).alias("v"))
     return v.select("item_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
-def _dense(spark, sf):
-    v = _corpus(spark, sf).select("book", "chunk", R.hash_embed(F.col("text")).alias("vector"))
-    q = _questions(spark, sf).select("query_id", "book", R.hash_embed(F.col("text")).alias("vector"))
-    return R.dense_topk(v, q, scope=("book",))
-
-
-def _fused(spark, sf, k: int = P.RETRIEVAL_K):
-    return R.fuse(_dense(spark, sf), _lexical(spark, sf), k)
-
-
 _HYBRID = f"""
 vec AS (SELECT book, chunk, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0.0 END) AS v FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT book, chunk, {_EMBED.format('ts')} AS v FROM toks))),
 qvec AS (SELECT query_id, book, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0.0 END) AS v FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT query_id, book, {_EMBED.format('ts')} AS v FROM (SELECT *, regexp_extract_all(lower(text), '[a-z0-9'']+') AS ts FROM questions)))),
@@ -350,17 +341,18 @@ _ALL = _PAGES + "," + _CHUNKS + "," + _BM25 + "," + _HYBRID
 
 @query("rrf_fusion", "SELECT query_id, chunk, rank, score FROM top", _ALL, True)
 def rrf_fusion(spark, sf):
-    return _fused(spark, sf).select("query_id", "chunk", "rank", "score")
+    return R.search(_index(spark, sf), _questions(spark, sf))[0].select("query_id", "chunk", "rank", "score")
 
 
 @query("rrf_promoted", "SELECT t.query_id, count(*) FILTER (d.chunk IS NULL) AS promoted FROM top t LEFT JOIN (SELECT * FROM dense WHERE rank <= 12) d ON d.query_id = t.query_id AND d.chunk = t.chunk GROUP BY t.query_id", _ALL, True)
 def rrf_promoted(spark, sf):
-    return R.promoted(_fused(spark, sf), _dense(spark, sf))
+    return R.promoted(*R.search(_index(spark, sf), _questions(spark, sf)))
 
 
 @query("context_block", "SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN chunks USING (chunk) GROUP BY query_id", _ALL, True)
 def context_block(spark, sf):
-    return R.context(_fused(spark, sf), _corpus(spark, sf))
+    index = _index(spark, sf)
+    return R.context(R.search(index, _questions(spark, sf))[0], index)
 
 
 QUERIES["semantic_context"] = context_block
@@ -372,13 +364,8 @@ ORACLE_SQL["semantic_context"] = ORACLE_SQL["context_block"]
     SELECT query_id, chunk, rank, rank AS d, NULL AS l FROM (SELECT query_id, chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM (SELECT query_id, vec.chunk, round(list_dot_product(vec.v, qvec.v), 6) AS score FROM vec JOIN qvec ON qvec.book = vec.book JOIN chunks c ON c.chunk = vec.chunk WHERE c.chapter_id = 1)) WHERE rank <= 40
     UNION ALL SELECT query_id, chunk, rank, NULL, rank FROM (SELECT query_id, lex.chunk, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM lex JOIN chunks c ON c.chunk = lex.chunk WHERE c.chapter_id = 1)) GROUP BY ALL)) WHERE rank <= 12""", _ALL, True)
 def hybrid_chapter(spark, sf):
-    from pyspark.sql import Window
-
-    c = _corpus(spark, sf).where("chapter_id = 1")
-    q = _questions(spark, sf).select("query_id", "book", R.hash_embed(F.col("text")).alias("vector"))
-    dense = R.dense_topk(c.select("book", "chunk", R.hash_embed(F.col("text")).alias("vector")), q, scope=("book",))
-    scoped = _lexical(spark, sf).join(c.select("chunk"), "chunk", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    return R.fuse(dense, scoped).select("query_id", "chunk", "rank")
+    asked = _questions(spark, sf).withColumn("chapter_id", F.lit(1))
+    return R.search(_index(spark, sf), asked, by_chapter=True)[0].select("query_id", "chunk", "rank")
 
 
 _GOLD = """gold AS (SELECT DISTINCT b.item_id AS query_id, p.book, p.pdf_index FROM benchmark b JOIN book_pages p ON p.book = 'src' || (b.item_id % 20) AND contains(p.text, b.text)),
@@ -389,7 +376,8 @@ ranks AS (SELECT g.query_id, h.rank FROM (SELECT DISTINCT query_id FROM gold) g
 def _ranks(spark, sf):
     pages = B.book_pages(spark, sf).select("book", "pdf_index", F.array_join("lines", "\n").alias("t"))
     gold = _questions(spark, sf).join(pages, "book").where(F.contains("t", F.col("text"))).select("query_id", "book", "pdf_index").distinct()
-    ranked = _fused(spark, sf).join(_corpus(spark, sf).select("chunk", "book", "pdf_index"), "chunk")
+    index = _index(spark, sf)
+    ranked = R.search(index, _questions(spark, sf))[0].join(index.select("chunk", "book", "pdf_index"), "chunk")
     return R.rank_of_hit(ranked, gold)
 
 
@@ -751,19 +739,26 @@ def chapter_context(spark, sf):
 
 @query("answer_dispatch")
 def answer_dispatch(spark, sf):
-    from pagewright.plans.dispatch import dispatch
+    from pagewright.plans.dispatch import dispatch, routed
 
     given = spark.createDataFrame([(f"q{i:03d}", q) for i, q in enumerate(B.QUESTIONS)], "question_id string, question string")
     books = B.totals(spark, sf).select("book")
     asked = books.withColumn("q", F.explode(F.array(*[F.struct(F.lit(f"q{i:03d}").alias("question_id"), F.lit(q).alias("question")) for i, q in enumerate(B.QUESTIONS)]))).select("q.question_id", "book", "q.question")
-    corpus = _corpus(spark, sf)
-    search = asked.select(F.concat_ws("/", "question_id", "book").alias("query_id"), "book", F.col("question").alias("text"))
-    dense = R.dense_topk(corpus.select("book", "chunk", R.hash_embed(F.col("text")).alias("vector")), search.select("query_id", "book", R.hash_embed(F.col("text")).alias("vector")), scope=("book",))
-    lexical = R.bm25_topk(R.postings(corpus), R.bm25_stats(corpus), search)
-    context = R.context(R.fuse(dense, lexical), corpus).withColumn("x", F.split("query_id", "/")).select(F.get("x", F.lit(0)).alias("question_id"), F.get("x", F.lit(1)).alias("book"), "context")
+    index, chapters = _index(spark, sf), B.chapters(spark, sf)
+    key = F.concat_ws("/", "question_id", "book").alias("query_id")
+
+    def passages(of: DataFrame, k: int, by_chapter: bool = False) -> DataFrame:
+        found = R.context(R.search(index, of, k, by_chapter=by_chapter)[0], index).withColumn("x", F.split("query_id", "/"))
+        return found.select(F.get("x", F.lit(0)).alias("question_id"), F.get("x", F.lit(1)).alias("book"), "context")
+
+    of = kept(routed(asked, chapters))
+    said = ["query_id", "book", F.col("question").alias("text")]
+    near = passages(of.where("kind = 'semantic' OR kind = 'chapter' AND chapter_id IS NULL").select(key, "*").select(said), P.RETRIEVAL_K)
+    wide = passages(of.where("kind = 'global'").select(key, "*").select(said), P.GLOBAL_K)
+    inside = passages(of.where("kind = 'chapter' AND chapter_id IS NOT NULL").select(key, "*").select(*said, "chapter_id"), P.RETRIEVAL_K, True)
     s = _summaries(spark, sf)
     history = given.where("false").select("question_id", F.col("question").alias("answer"))
-    return dispatch(asked, B.book_pages(spark, sf), B.chapters(spark, sf), s, M.rollup(s), context, history)
+    return dispatch(of, B.book_pages(spark, sf), s, M.rollup(s), near, wide, inside, history)
 
 
 _DIAG = f"""
@@ -786,8 +781,8 @@ def diagnose_verdict(spark, sf):
     q = _questions(spark, sf).withColumnRenamed("query_id", "item_id")
     literal = F.substring("text", 1, 30)
     target = q.select("item_id", "book", F.lower(literal).alias("lit")).join(usable, "book").where(F.contains(F.lower("body"), F.col("lit"))).select("item_id", "pdf_index").distinct()
-    v = usable.select("book", "chunk", R.hash_embed(F.col("text")).alias("vector"))
-    asked = lambda text, k: q.select(F.struct("item_id", F.lit(k).alias("k")).alias("query_id"), "book", R.hash_embed(text).alias("vector"))
+    v = usable.select("book", "chunk", R.HASHED.passages(F.col("text")).alias("vector"))
+    asked = lambda text, k: q.select(F.struct("item_id", F.lit(k).alias("k")).alias("query_id"), "book", R.HASHED.questions(text).alias("vector"))
     near = R.dense_topk(v, asked(F.col("text"), 0).unionByName(asked(literal, 1)), 25, ("book",)).where((F.col("query_id.k") == 0) | (F.col("rank") <= 8))
     hit = near.select("query_id.item_id", "query_id.k", "chunk", "rank").join(usable.select("chunk", "pdf_index"), "chunk").join(target, ["item_id", "pdf_index"])
     found = hit.groupBy("item_id").agg(F.min(F.when(F.col("k") == 0, F.col("rank"))).alias("rank"), F.bool_or(F.col("k") == 1).alias("own"))

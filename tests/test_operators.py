@@ -1,10 +1,12 @@
 """Fixed cases of the operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import chunks, conversation, limits, pages, routing, vision
 from pagewright.plans import binding as B
+from pagewright.operators import retrieval as R
 
 ROUTES = {
     "What does page 34 line 5 say?": ("page_line", 34, 5, None, None),
@@ -117,3 +119,40 @@ def test_vision_text(spark):
     got = {r.pdf_index: r.lines for r in vision.pages(raw, vision.clean_items(raw)).collect()}
     assert got[0] == ["Ann: Hello there", "[sfx] BOOM"] and got[1] == ["[caption] Later that day", "Bob: Run"]
     assert got[2] == [] and got[3] == ["unknown (thinking): Hm"] and got[4] == ["[sfx] CRASH"] and got[5] == []
+
+
+def test_dense_topk_in_blocks_equals_brute_force(spark, monkeypatch):
+    """Ties go to the smaller chunk, scopes must agree, zero vectors score 0, and blocks change nothing."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, (300, 8)).astype(float)
+    x[::7] = 0
+    rows = [(i, f"b{i % 3}", [float(v) for v in x[i]]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "chunk int, book string, vector array<double>").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", b, v) for i, b, v in rows[:23]] + [("none", None, rows[0][2])], "query_id string, book string, vector array<double>")
+    want = set()
+    for i, b, v in rows[:23]:
+        near = sorted((-round(float(np.dot(v, u)), 6), c) for c, d, u in rows if d == b)[:6]
+        want |= {(f"q{i}", c, r) for r, (_, c) in enumerate(near, 1)}
+    got = lambda: {(r.query_id, r.chunk, r["rank"]) for r in R.dense_topk(vectors, asked, 6, ("book",)).collect()}
+    assert got() == want
+    monkeypatch.setattr(R, "QUERY_BLOCK", 8)
+    assert got() == want
+    assert R.dense_topk(vectors, asked.where("false"), 6, ("book",)).count() == 0
+
+
+def test_index_counts_terms(spark):
+    rows = [("b", "c0", "It's it's a A a"), ("b", "c1", ""), ("b", "c2", None), ("b", "c3", "?!")]
+    got = {r.chunk: r for r in R.index(spark.createDataFrame(rows, "book string, chunk string, text string"), R.HASHED).collect()}
+    assert {t.term: t.tf for t in got["c0"].terms} == {"it's": 2, "a": 3} and got["c0"].dl == 5
+    assert all(got[c].dl == 0 and got[c].terms == [] and not any(got[c].vector) for c in ("c1", "c2", "c3"))
+    assert sum(v * v for v in got["c0"].vector) == pytest.approx(1)
+
+
+def test_search_inside_a_chapter(spark):
+    rows = [("b", f"c{i}", i // 3, f"common words {'rare' if i in (1, 7) else 'plain'} n{i}") for i in range(9)]
+    index = R.index(spark.createDataFrame(rows, "book string, chunk string, chapter_id int, text string"), R.HASHED)
+    asked = spark.createDataFrame([("q", "b", 2, "rare")], "query_id string, book string, chapter_id int, text string")
+    found = [r.chunk for r in R.search(index, asked, 3, by_chapter=True)[0].orderBy("rank").collect()]
+    assert found[0] == "c7" and set(found) == {"c6", "c7", "c8"}
+    dense = R.search(index, asked, 2, hybrid=False, by_chapter=True)[0]
+    assert dense.count() == 2
