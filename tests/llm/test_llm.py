@@ -580,6 +580,55 @@ def test_ranking_equals_a_plain_gradient_fit():
     assert (model.scores(x) >= ranking.CUT).sum() == (s >= np.quantile(s, 1 - good.mean())).sum()
 
 
+def test_ranking_on_words_is_the_minimum_of_the_pairs_loss():
+    """Texts of one shape that differ in words: the slope of the loss, pair by pair on dense rows, is nil at the fit."""
+    rng = np.random.default_rng(8)
+    good = np.arange(80) < 45
+    texts = [" ".join(rng.choice(["ant", "bee", "cat", "dog", "eel"] if g else ["cat", "dog", "eel", "fox", "gnu"], 12)) for g in good]
+    counts = [ranking.grams(t, ranking._Hashes()) for t in texts]
+    dense = np.zeros((80, ranking.WIDTH))
+    for row, (at, n), text in zip(dense, counts, texts):
+        assert n.sum() == 23  # twelve words and eleven pairs
+        row[at] = np.log1p(n.astype(float)) / np.sqrt((np.log1p(n.astype(float)) ** 2).sum())
+    x = rng.normal(size=(80, len(ranking.FEATURES)))
+    grams = ranking.Grams(counts, block=7)
+    model = ranking.Ranking(x, good, partners=4, seed=2, grams=grams)
+    every = np.hstack([np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8), dense])
+    u = np.concatenate([model.w, model.v])
+    a, b = every[good], every[~good]
+    mates = np.random.default_rng(2).integers(len(a), size=len(b) * 4)
+    d = np.array([a[m] - b[i // 4] for i, m in enumerate(mates)])
+    assert np.abs((d / (1 + np.exp(d @ u))[:, None]).mean(axis=0) - ranking.RIDGE * u).max() < 1e-5
+    assert ((every @ u >= np.quantile(every @ u, 1 - good.mean())) == good).mean() > 0.95
+    assert grams.times(model.v) == pytest.approx(dense @ model.v, abs=1e-5) and np.abs(model.v).max() > 0.1
+
+
+def test_ranking_query_equals_a_fit_in_memory(spark, small):
+    """Scores of the whole table against a model fitted on rows that were collected and sorted here."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    known = spark.read.parquet(f"{small}/labels.parquet").where("crc32(cast(doc_id AS string)) % 5 <> 0").selectExpr("doc_id", "quality AS label")
+    rows = sorted(tuple(r) for r in docs.join(known, "doc_id").select(F.xxhash64("doc_id"), "doc_id", "label", F.coalesce("text", F.lit(""))).collect())
+
+    def seen(texts):
+        return np.array([ranking.features(t) for t in texts]), ranking.Grams([ranking.grams(t, ranking._Hashes()) for t in texts])
+
+    x, grams = seen([r[3] for r in rows])
+    model = ranking.Ranking(x, np.array([r[2] == 1 for r in rows]), grams=grams)
+    all_rows = docs.collect()
+    want = {r.doc_id: s for r, s in zip(all_rows, model.scores(*seen([r.text or "" for r in all_rows])))}
+    got = QUERIES["op10_bradley_terry"](spark, small).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, abs=1e-6) and len(got) == len(all_rows)
+
+
+def test_ranking_of_an_id_that_many_rows_share(spark):
+    """What is learned from stays within its bound of rows, however often an id comes back."""
+    docs = spark.createDataFrame([(i % 2, f"word{i} " * 3) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, label int")
+    model = ranking.train(docs, labels, rows=50)
+    assert model.threshold == 0.0 and not model.v.any()  # the first 50 rows are of one id, hence of one label
+    assert ranking.train(docs, labels, rows=400).v.any() and ranking.rank(docs, labels).count() == 400
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     assert simhash.near_duplicates(odd).count() == 12 and simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).count() == 0 and simhash.keep_one(odd).columns == odd.columns
