@@ -28,11 +28,16 @@ def token_bucket(requests: DataFrame, per_minute: int, capacity: int = 1) -> Dat
 
 
 def stats(granted: DataFrame) -> DataFrame:
-    return granted.groupBy("key").agg(F.count("*").alias("requests"), F.count_if(F.col("wait") > 0).alias("throttled"), F.sum("wait").alias("total_wait"))
+    """What each key did: requests, those that waited, microseconds waited in all, and, where ``granted`` has an ``error`` column, quota errors."""
+    quota = [F.count_if(is_quota(F.col("error"))).alias("quota_errors")] if "error" in granted.columns else []
+    return granted.groupBy("key").agg(F.count("*").alias("requests"), F.count_if(F.col("wait") > 0).alias("throttled"), F.sum("wait").alias("total_wait"), *quota)
+
+
+def is_quota(message: Column) -> Column:
+    return F.contains(message, F.lit(P.QUOTA_MARKS[0])) | F.contains(message, F.lit(P.QUOTA_MARKS[1]))
 
 
 def retry_delay(message: Column, attempt: Column) -> Column:
     """Seconds to wait after a quota error: what the message asks plus one, else 5 * 2**attempt, at most 65; null for other errors."""
-    quota = F.contains(message, F.lit(P.QUOTA_MARKS[0])) | F.contains(message, F.lit(P.QUOTA_MARKS[1]))
     told = F.coalesce(*[F.nullif(F.regexp_extract(message, p, 1), F.lit("")).cast("double") for p in P.RETRY_DELAYS])
-    return F.when(quota, F.least(F.coalesce(told + 1, 5 * F.pow(F.lit(2.0), attempt)), F.lit(65.0)))
+    return F.when(is_quota(message), F.least(F.coalesce(told + 1, 5 * F.pow(F.lit(2.0), attempt)), F.lit(65.0)))

@@ -61,6 +61,12 @@ def pages(raw: DataFrame, items: DataFrame) -> DataFrame:
     return every.join(lines(items), "pdf_index", "left").select("pdf_index", (F.col("pdf_index") + 1).cast("string").alias("printed_page"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))
 
 
+def top_speakers(pages_: DataFrame, most: int = 10) -> DataFrame:
+    """(speaker, n) of the names before the colon of page lines, most lines first; bracketed kinds of lines have none."""
+    said = pages_.select(F.explode("lines").alias("line")).where(F.contains("line", F.lit(":")) & ~F.startswith("line", F.lit("[")))
+    return said.groupBy(F.trim(F.substring_index("line", ":", 1)).alias("speaker")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "speaker").limit(most)
+
+
 def sounds_only(lines_: Column) -> Column:
     return (F.size(lines_) > 0) & F.forall(lines_, lambda x: F.startswith(x, F.lit("[sfx]")))
 

@@ -63,6 +63,45 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("chunk", F.concat_ws("/", "book", F.lpad(F.col("pdf_index").cast("string"), 9, "0"), F.lpad(F.col("line_start").cast("string"), 9, "0")))
 
 
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer to the image of each document: its lines as items, in a fence, within prose, bare, or none at all.
+
+    Every fourth answer names its page twice, the first time with a draft; every third names no page.
+    """
+    d = table(spark, sf_dir, "documents")
+    i = lambda k, *values: F.get(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int"))
+    item = lambda t, at: F.struct((at % 3 + 1).alias("panel"), i(at + F.col("doc_id"), "speech", "THOUGHT", " caption ", "sfx", "shout").alias("type"), i(at, "", " Ann ", "Bob").alias("speaker"), F.when(at % 2 == 0, F.replace(t, F.lit(" "), F.lit("  "))).otherwise(F.concat(F.lit(" "), t, F.lit(" "))).alias("text"))
+    page = F.when(F.col("doc_id") % 3 == 0, "").otherwise((F.col("doc_id") + 1).cast("string"))
+    entry = F.struct(page.alias("page"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), item).alias("items"))
+    draft = F.struct(page.alias("page"), F.array(F.struct(F.lit(1).alias("panel"), F.lit("speech").alias("type"), F.lit("").alias("speaker"), F.lit("draft").alias("text"))).alias("items"))
+    answer = F.to_json(F.struct(F.when(F.col("doc_id") % 4 == 0, F.array(draft, entry)).otherwise(F.array(entry)).alias("pages")))
+    k = F.col("doc_id") % 6
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Sure! "), answer, F.lit(" Done."))).when(k == 2, "no json here").when(k == 4, "").otherwise(answer)
+    return d.select(F.sha2("text", 256).alias("image_hash"), F.col("doc_id").cast("int").alias("pdf_index"), raw.alias("raw"))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each source, an image for each of its documents: single pages, spreads with and without two numbers, scans, covers, strangers.
+
+    Half of the archives of odd sources are strangers, so no name prevails there; every fifth archive has no number of its own.
+    """
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), F.expr("doc_id div 20").alias("k"))
+    number = F.regexp_extract("source", "([0-9]*)$", 1)
+    v, odd = F.col("k") % 10, F.coalesce(F.nullif(number, F.lit("")).cast("int"), F.lit(0)) % 2 == 1
+    digits = lambda k: F.lpad((k % 10000).cast("string"), 4, "0")
+    plain = F.concat("source", F.lit(" "), digits(F.col("k") + 1))
+    inner = F.concat(F.lit("v"), F.expr("k div 10000").cast("string"), F.lit("/"))
+    name = (
+        F.when((v >= 8) | odd & (v >= 5), F.concat(inner, F.lit("zz"), F.col("k").cast("string"), F.lit("zone.jpg")))
+        .when(v == 0, F.concat(inner, plain, F.lit("_"), digits(F.col("k") + 2), F.lit(".jpg")))
+        .when(v == 3, F.concat(inner, plain, F.lit(" (scan).jpg")))
+        .when(v == 4, F.concat(F.lit("c"), F.col("k").cast("string"), F.lit("/"), "source", F.lit("-000.jpg")))
+        .otherwise(F.concat(inner, plain, F.lit(".jpg")))
+    )
+    archive = F.concat(F.when((number == "") | (number.cast("int") % 5 == 0), "").otherwise(F.concat(number, F.lit(" "))), "source", F.lit(".cbz"))
+    return d.select(archive.alias("archive"), name.alias("member"), F.when(v == 0, 1600).when(v == 1, 1500).when(v == 2, 1300).otherwise(800).alias("width"), F.lit(1200).alias("height"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 

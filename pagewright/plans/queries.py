@@ -532,46 +532,63 @@ def book_rollup(spark, sf):
     return M.rollup(_summaries(spark, sf)).select("book", "chapters", "hash")
 
 
+@query("overview_build", r"""SELECT roll.book, array_to_string(list_filter(regexp_split_to_array(joined, '\s+'), lambda w: w <> '')[1:40], ' ') AS overview,
+  (SELECT count(*) FROM summ WHERE summ.book = roll.book AND chapter_id % 2 = 1) + (CASE WHEN length(roll.book) % 2 = 0 THEN 0 ELSE 1 END) AS built,
+  (SELECT count(*) FROM summ WHERE summ.book = roll.book AND chapter_id % 2 = 0) + (CASE WHEN length(roll.book) % 2 = 0 THEN 1 ELSE 0 END) AS reused FROM roll""", _PAGES + "," + _SUMMARY)
+def overview_build(spark, sf):
+    """The cache holds chapters of even number and the overviews of books whose names are of even length."""
+    rows = _summaries(spark, sf)
+    texts = rows.withColumn("hash", M.content_hash(F.col("text"))).withColumn("reused", F.col("chapter_id") % 2 == 0)
+    joined = M.rollup(rows)
+    return M.overview(joined, texts, joined.where("length(book) % 2 = 0").select("book", "hash"))
+
+
 @query("global_context", "SELECT book, joined AS context FROM roll", _PAGES + "," + _SUMMARY)
 def global_context(spark, sf):
     return M.rollup(_summaries(spark, sf)).select("book", F.col("joined").alias("context"))
 
 
 # ---------------------------------------------------------------- vision and archives
-def _raw(spark):
-    return spark.createDataFrame(list(B.VISION_RAW), "image_hash string, pdf_index int, raw string")
+_ITEMS = r"""
+read AS (SELECT doc_id, sha256(text) AS image_hash, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id % 6 NOT IN (2, 4)),
+every AS (SELECT doc_id, image_hash, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM read),
+items AS (SELECT image_hash, CAST(doc_id AS INT) AS pdf_index, CAST(i AS INT) AS ord, CAST(i % 3 + 1 AS INT) AS panel, ['speech', 'thought', 'caption', 'sfx', 'speech'][(i + doc_id) % 5 + 1] AS type,
+  ['', 'Ann', 'Bob'][i % 3 + 1] AS speaker, trim(regexp_replace(trim(l), '[ \t]{2,}', ' ', 'g')) AS text FROM every WHERE trim(l) <> ''),
+seen AS (SELECT pdf_index, list(CASE type WHEN 'caption' THEN '[caption] ' || text WHEN 'sfx' THEN '[sfx] ' || text
+  WHEN 'thought' THEN CASE speaker WHEN '' THEN 'unknown' ELSE speaker END || ' (thinking): ' || text ELSE CASE speaker WHEN '' THEN 'unknown' ELSE speaker END || ': ' || text END ORDER BY ord) AS lines FROM items GROUP BY pdf_index),
+vision AS (SELECT CAST(doc_id AS INT) AS pdf_index, CAST(doc_id + 1 AS VARCHAR) AS printed_page, coalesce(lines, []) AS lines FROM documents LEFT JOIN seen ON seen.pdf_index = doc_id)
+"""
 
 
-@query("json_lenient")
+@query("json_lenient", "SELECT sha256(text) AS image_hash, CAST(doc_id AS INT) AS pdf_index, doc_id % 6 NOT IN (2, 4) AS parsed FROM documents")
 def json_lenient(spark, sf):
-    return _raw(spark).select("image_hash", "pdf_index", G.parse(F.col("raw"))["pages"].isNotNull().alias("parsed"))
+    return B.readings(spark, sf).select("image_hash", "pdf_index", G.parse(F.col("raw"))["pages"].isNotNull().alias("parsed"))
 
 
-@query("vision_items")
+@query("vision_items", "SELECT * FROM items", _ITEMS)
 def vision_items(spark, sf):
-    return G.clean_items(_raw(spark))
+    return G.clean_items(B.readings(spark, sf))
 
 
-@query("vision_lines")
+@query("vision_lines", "SELECT * FROM seen", _ITEMS)
 def vision_lines(spark, sf):
-    return G.lines(G.clean_items(_raw(spark)))
+    return G.lines(G.clean_items(B.readings(spark, sf)))
 
 
-@query("vision_pages")
+@query("vision_pages", "SELECT * FROM vision", _ITEMS)
 def vision_pages(spark, sf):
-    raw = _raw(spark)
+    raw = B.readings(spark, sf)
     return G.pages(raw, G.clean_items(raw))
 
 
-@query("sfx_only")
+@query("sfx_only", "SELECT pdf_index, len(lines) > 0 AND len(list_filter(lines, lambda x: NOT starts_with(x, '[sfx]'))) = 0 AS is_sfx_only FROM vision", _ITEMS)
 def sfx_only(spark, sf):
     return vision_pages(spark, sf).select("pdf_index", G.sounds_only(F.col("lines")).alias("is_sfx_only"))
 
 
-@query("top_speakers", "SELECT speaker, count(*) AS n FROM (SELECT trim(string_split(line, ':')[1]) AS speaker FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(line, ':') AND NOT starts_with(line, '[')) GROUP BY speaker ORDER BY n DESC, speaker LIMIT 10")
+@query("top_speakers", "SELECT trim(string_split(line, ':')[1]) AS speaker, count(*) AS n FROM (SELECT unnest(lines) AS line FROM vision) WHERE contains(line, ':') AND NOT starts_with(line, '[') GROUP BY ALL ORDER BY n DESC, speaker LIMIT 10", _ITEMS)
 def top_speakers(spark, sf):
-    lines = B.table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.contains("line", F.lit(":")) & ~F.startswith("line", F.lit("[")))
-    return lines.groupBy(F.trim(F.substring_index("line", ":", 1)).alias("speaker")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "speaker").limit(10)
+    return G.top_speakers(vision_pages(spark, sf))
 
 
 @query("vision_delta", "SELECT image_hash, count(*) AS images FROM (SELECT sha256(text) AS image_hash, doc_id FROM documents) WHERE doc_id % 3 <> 0 AND image_hash NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY image_hash")
@@ -581,23 +598,40 @@ def vision_delta(spark, sf):
     return images.where("pdf_index % 3 <> 0").join(new.select("image_hash"), "image_hash").groupBy("image_hash").agg(F.count("*").alias("images"))
 
 
-def _members(spark):
-    return spark.createDataFrame(list(B.ARCHIVE_MEMBERS), "archive string, member string, width int, height int")
+_MEMBERS = r"""
+am0 AS (SELECT coalesce(source, 'none') AS source, doc_id // 20 AS k, doc_id // 20 % 10 AS v, regexp_extract(coalesce(source, 'none'), '([0-9]*)$', 1) AS num FROM documents),
+am1 AS (SELECT *, 'v' || (k // 10000) || '/' AS dir, source || ' ' || lpad(CAST((k + 1) % 10000 AS VARCHAR), 4, '0') AS p, coalesce(CAST(nullif(num, '') AS INT), 0) % 2 = 1 AS odd FROM am0),
+am AS (SELECT CASE WHEN num = '' OR CAST(nullif(num, '') AS INT) % 5 = 0 THEN '' ELSE num || ' ' END || source || '.cbz' AS archive,
+  CASE WHEN v >= 8 OR odd AND v >= 5 THEN dir || 'zz' || k || 'zone.jpg' WHEN v = 0 THEN dir || p || '_' || lpad(CAST((k + 2) % 10000 AS VARCHAR), 4, '0') || '.jpg'
+    WHEN v = 3 THEN dir || p || ' (scan).jpg' WHEN v = 4 THEN 'c' || k || '/' || source || '-000.jpg' ELSE dir || p || '.jpg' END AS member,
+  CASE v WHEN 0 THEN 1600 WHEN 1 THEN 1500 WHEN 2 THEN 1300 ELSE 800 END AS width, 1200 AS height FROM am1),
+nm AS (SELECT *, regexp_replace(string_split(member, '/')[-1], '\.[^.]*$', '') AS base FROM am),
+np AS (SELECT *, trim(regexp_replace(base, '\s*\(.*?\)\s*$', '')) AS plain FROM nm),
+ns AS (SELECT *, lower(trim(regexp_replace(plain, '[0-9]{1,4}[a-z]?(_[0-9]{1,4})?$', ''))) AS stem FROM np),
+share AS (SELECT archive, stem, count(*) AS n, sum(count(*)) OVER (PARTITION BY archive) AS total, row_number() OVER (PARTITION BY archive ORDER BY count(*) DESC, length(min(lower(member)))) AS place FROM ns GROUP BY archive, stem),
+own AS (SELECT ns.* FROM ns JOIN (SELECT * FROM share WHERE place = 1) s ON s.archive = ns.archive WHERE NOT (total >= 4 AND n >= 0.6 * total) OR s.stem = ns.stem),
+dp AS (SELECT *, CAST(nullif(regexp_extract(plain, '([0-9]{1,4})_[0-9]{1,4}$', 1), '') AS INT) AS pair, CAST(nullif(regexp_extract(plain, '([0-9]{1,4})$', 1), '') AS INT) AS single FROM own
+  WHERE NOT regexp_matches(trim(string_split(base, '-')[-1]), '(?i)^0+[a-z]?(\s*\(.*\))?$') AND NOT regexp_matches(base, '(?i)cover|wraparound')),
+sp AS (SELECT *, width > height AND (pair IS NOT NULL OR width / height > 1.15) AS spread FROM dp),
+hv AS (SELECT archive, member, spread, 0 AS half, CASE WHEN spread THEN pair ELSE coalesce(pair, single) END AS declared FROM sp UNION ALL SELECT archive, member, spread, 1, pair + 1 FROM sp WHERE spread),
+man AS (SELECT row_number() OVER (ORDER BY coalesce(CAST(nullif(regexp_extract(archive, '^\s*([0-9]+)', 1), '') AS BIGINT), 1000000000), lower(archive), lower(member), half) AS pdf_page,
+  regexp_replace(archive, '\.[^.]*$', '') AS issue, string_split(member, '/')[-1] AS source_image, spread AS from_spread, declared AS declared_page FROM hv)
+"""
 
 
-@query("archive_dominant")
+@query("archive_dominant", "SELECT archive, member, width, height FROM own", _MEMBERS)
 def archive_dominant(spark, sf):
-    return G.dominant(_members(spark))
+    return G.dominant(B.members(spark, sf))
 
 
-@query("archive_pages")
+@query("archive_pages", "SELECT * FROM man", _MEMBERS)
 def archive_pages(spark, sf):
-    return G.manifest(_members(spark))
+    return G.manifest(B.members(spark, sf))
 
 
-@query("archive_align")
+@query("archive_align", "SELECT count(*) FILTER (declared_page = pdf_page) AS aligned, count(declared_page) AS declared FROM man", _MEMBERS)
 def archive_align(spark, sf):
-    return G.alignment(G.manifest(_members(spark)))
+    return G.alignment(G.manifest(B.members(spark, sf)))
 
 
 @query("batch_plan", "SELECT batch, count(*) AS images FROM (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch FROM documents) GROUP BY batch")
@@ -621,9 +655,11 @@ def token_bucket(spark, sf):
     return _granted(spark, sf).select("key", "seq", "granted", "wait")
 
 
-@query("bucket_stats", "SELECT key, count(*) AS requests, count(*) FILTER (granted > arrival) AS throttled, CAST(sum(granted - arrival) AS BIGINT) AS total_wait FROM g GROUP BY key", _BUCKET)
+@query("bucket_stats", "SELECT key, count(*) AS requests, count(*) FILTER (granted > arrival) AS throttled, CAST(sum(granted - arrival) AS BIGINT) AS total_wait, count(*) FILTER (seq % 7 = 0) AS quota_errors FROM g GROUP BY key", _BUCKET)
 def bucket_stats(spark, sf):
-    return L.stats(_granted(spark, sf))
+    """Every seventh request came back with a quota error, every fifth with another one."""
+    error = F.when(F.col("seq") % 7 == 0, "429 retry in 3s").when(F.col("seq") % 5 == 0, "500 broken")
+    return L.stats(_granted(spark, sf).withColumn("error", error))
 
 
 @query("retry_delay", f"""SELECT message, attempt, CASE WHEN contains(message, '429') OR contains(message, 'RESOURCE_EXHAUSTED') THEN least(coalesce(
@@ -633,10 +669,11 @@ def retry_delay(spark, sf):
     return e.select("message", "attempt", L.retry_delay(F.col("message"), F.col("attempt")).alias("wait"))
 
 
-@query("book_status", "SELECT b.book, count(*) AS pages, count(*) FILTER (len(lines) > 0) AS pages_with_text, count(DISTINCT chapter_id) AS chapters, any_value(n) AS chunks FROM book_pages b JOIN (SELECT book, count(*) AS n FROM chunks GROUP BY book) c ON c.book = b.book GROUP BY b.book", _PAGES + "," + _CHUNKS, True)
+@query("book_status", """SELECT b.book, count(*) AS pages, count(*) FILTER (len(lines) > 0) AS pages_with_text, count(DISTINCT chapter_id) AS chapters, any_value(n) AS chunks,
+  arg_min(doc_id, pdf_index) AS first_source, any_value(words) AS overview_words
+  FROM book_pages b JOIN (SELECT book, count(*) AS n FROM chunks GROUP BY book) c ON c.book = b.book LEFT JOIN (SELECT book, len(list_filter(regexp_split_to_array(joined, '\\s+'), lambda x: x <> '')) AS words FROM roll) r ON r.book = b.book GROUP BY b.book""", _PAGES + "," + _CHUNKS + "," + _SUMMARY, True)
 def book_status(spark, sf):
-    g = B.book_pages(spark, sf).groupBy("book").agg(F.count("*").alias("pages"), F.count_if(F.size("lines") > 0).alias("pages_with_text"), F.count_distinct("chapter_id").alias("chapters"))
-    return g.join(corpus_count(spark, sf), "book")
+    return ST.book_status(B.book_pages(spark, sf), corpus_count(spark, sf), M.rollup(_summaries(spark, sf)))
 
 
 @query("index_report", """SELECT book, count(*) FILTER (is_front_matter) AS front, count(*) FILTER (NOT is_front_matter) AS body, min(len(lines)) FILTER (NOT is_front_matter) AS least, max(len(lines)) FILTER (NOT is_front_matter) AS most,
@@ -661,10 +698,12 @@ def roundtrip(spark, sf):
     return back.select("book", "pdf_index", (F.col("page.pdf_index") == F.col("pdf_index")).alias("same"))
 
 
-@query("coverage_checks", r"""SELECT book, count(*) FILTER (NOT is_front_matter AND len(list_filter(lines, lambda x: trim(x) <> '')) = 0) AS empty_body, count(*) FILTER (chapter_id >= 0) / count(*) AS in_chapter FROM book_pages GROUP BY book""", _PAGES)
+@query("coverage_checks", r"""SELECT book, empty_body, in_chapter, empty_body <= greatest(5, body // 25) AS few_empty, in_chapter >= 0.8 AS most_in_chapters, bare AS bare_chapters, thin AS thin_summaries FROM
+  (SELECT book, count(*) FILTER (NOT is_front_matter AND len(list_filter(lines, lambda x: trim(x) <> '')) = 0) AS empty_body, count(*) FILTER (NOT is_front_matter) AS body, count(*) FILTER (NOT is_front_matter AND chapter_id >= 0) / count(*) FILTER (NOT is_front_matter) AS in_chapter FROM book_pages GROUP BY book)
+  JOIN (SELECT book, count(*) FILTER (blank) AS bare FROM (SELECT book, chapter_id, bool_and(len(list_filter(lines, lambda x: trim(x) <> '')) = 0) AS blank FROM book_pages GROUP BY book, chapter_id) GROUP BY book) USING (book)
+  JOIN (SELECT book, count(*) FILTER (len(list_filter(regexp_split_to_array(summary, '\s+'), lambda x: x <> '')) <= 30) AS thin FROM summ GROUP BY book) USING (book)""", _PAGES + "," + _SUMMARY)
 def coverage_checks(spark, sf):
-    blank = F.size(F.filter("lines", lambda x: F.trim(x) != "")) == 0
-    return B.book_pages(spark, sf).groupBy("book").agg(F.count_if(~F.col("is_front_matter") & blank).alias("empty_body"), (F.count_if(F.col("chapter_id") >= 0) / F.count("*")).alias("in_chapter"))
+    return ST.coverage(B.book_pages(spark, sf), _summaries(spark, sf))
 
 
 @query("collection_name", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'book_coding' WHEN 1 THEN 'book_novel' WHEN 2 THEN 'book_manga' ELSE 'book_coding' END AS name FROM documents")
