@@ -135,11 +135,6 @@ ARCHIVE_MEMBERS = (
     ("1 Alpha.cbz", "Alpha 01-004 (scan).jpg", 800, 1200), ("1 Alpha.cbz", "Alpha 01-005.jpg", 1210, 1200), ("Gamma.cbz", "cover.jpg", 800, 1200), ("Gamma.cbz", "g1.jpg", 800, 1200),
 )
 
-ERRORS = (
-    ("429 retry in 12.5s", 0), ("RESOURCE_EXHAUSTED", 0), ("RESOURCE_EXHAUSTED", 2), ("429", 5), ("429 'retryDelay': '33s'", 1), ("429 retry in 400s", 1), ("500 broken", 0),
-)
-
-
 def sql_values(rows: tuple, names: str) -> str:
     """``rows`` as a SQL relation for the oracle."""
     quoted = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"

@@ -662,11 +662,18 @@ def bucket_stats(spark, sf):
     return L.stats(_granted(spark, sf).withColumn("error", error))
 
 
-@query("retry_delay", f"""SELECT message, attempt, CASE WHEN contains(message, '429') OR contains(message, 'RESOURCE_EXHAUSTED') THEN least(coalesce(
-  CAST(nullif(regexp_extract(message, 'retry in ([0-9.]+)s', 1), '') AS DOUBLE) + 1, CAST(nullif(regexp_extract(message, '''retryDelay'': ''([0-9]+)s''', 1), '') AS DOUBLE) + 1, 5 * pow(2, attempt)), 65.0) END AS wait FROM {B.sql_values(B.ERRORS, 'message, attempt')}""")
+@query("retry_delay", """SELECT seq, message, attempt, CASE WHEN contains(message, '429') OR contains(message, 'RESOURCE_EXHAUSTED') THEN least(coalesce(
+  CAST(nullif(regexp_extract(message, 'retry in ([0-9.]+)s', 1), '') AS DOUBLE) + 1, CAST(nullif(regexp_extract(message, '''retryDelay'': ''([0-9]+)s''', 1), '') AS DOUBLE) + 1, 5 * pow(2, attempt)), 65.0) END AS wait
+  FROM (SELECT event_id AS seq, CAST(event_id // 4 % 5 AS INT) AS attempt, CASE event_id % 4 WHEN 0 THEN '429 retry in ' || (event_id % 90) || '.5s' WHEN 1 THEN 'RESOURCE_EXHAUSTED'
+    WHEN 2 THEN '429 ''retryDelay'': ''' || (event_id % 80) || 's''' ELSE '500 broken' END AS message FROM events)""")
 def retry_delay(spark, sf):
-    e = spark.createDataFrame(list(B.ERRORS), "message string, attempt int")
-    return e.select("message", "attempt", L.retry_delay(F.col("message"), F.col("attempt")).alias("wait"))
+    seq = F.col("event_id")
+    message = (
+        F.when(seq % 4 == 0, F.concat(F.lit("429 retry in "), (seq % 90).cast("string"), F.lit(".5s"))).when(seq % 4 == 1, "RESOURCE_EXHAUSTED")
+        .when(seq % 4 == 2, F.concat(F.lit("429 'retryDelay': '"), (seq % 80).cast("string"), F.lit("s'"))).otherwise("500 broken")
+    )
+    e = B.table(spark, sf, "events").select(seq.alias("seq"), message.alias("message"), F.expr("cast(event_id div 4 % 5 as int)").alias("attempt"))
+    return e.withColumn("wait", L.retry_delay(F.col("message"), F.col("attempt")))
 
 
 @query("book_status", """SELECT b.book, count(*) AS pages, count(*) FILTER (len(lines) > 0) AS pages_with_text, count(DISTINCT chapter_id) AS chapters, any_value(n) AS chunks,

@@ -86,3 +86,76 @@ def test_answers_on_several_pages_and_their_cache(spark, tmp_path):
         write(df.select("image_hash", F.concat("raw", F.lit(f" {number}")).alias("raw")), number)
     cache = readings.load(spark, at)
     assert cache.count() == 2 and readings.latest(cache).collect()[0].raw.endswith(" 2")
+
+
+def test_calls_are_tried_again_on_quota_errors_only():
+    from pagewright.operators import models
+
+    slept, left = [], ["429 retry in 2.5s", "RESOURCE_EXHAUSTED"]
+
+    def call():
+        if left:
+            raise RuntimeError(left.pop(0))
+        return "done"
+
+    passes = []
+    assert models.retried(call, lambda: passes.append(1), slept.append) == "done" and slept == [3.5, 10.0] and len(passes) == 3
+
+    def fail(text):
+        raise RuntimeError(text)
+
+    for text, waits in (("429", [5.0, 10.0, 20.0]), ("500 broken", [])):
+        slept.clear()
+        with pytest.raises(RuntimeError, match=text):
+            models.retried(lambda t=text: fail(t), sleep=slept.append)
+        assert slept == waits
+    now = [0.0]
+    throttle = models.paced(30, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    times = [(throttle(), now[0])[1] for _ in range(3)]
+    assert times == [0.0, 2.0, 4.0]
+
+
+def test_wait_equals_the_column(spark):
+    from pagewright.operators import limits, models
+
+    rows = [(m, a) for m in ("429 retry in 12.5s", "RESOURCE_EXHAUSTED", "429 'retryDelay': '33s'", "429 retry in 400s", "500 broken") for a in range(5)]
+    got = spark.createDataFrame(rows, "m string, a int").select("m", "a", limits.retry_delay(F.col("m"), F.col("a")).alias("w")).collect()
+    assert [r.w for r in got] == [models.wait_seconds(*r[:2]) for r in got]
+
+
+def test_follow_ups_are_rewritten_by_a_model(spark):
+    from pagewright.operators import models
+
+    rows = [("a", "What about her sister?", "Reader: Who is Ann?"), ("b", "What about her sister?", "Reader: Who is Ann?"), ("c", "What is a while loop in Python?", "Reader: hi"), ("d", "and then?", None), ("e", "and then?", "Reader: x"), ("f", None, None)]
+    q = spark.createDataFrame(rows, "question_id string, question string, history string")
+    got = {r.question_id: r.asked for r in models.rewritten(q, lambda p, _: '"Who is the sister of Ann?"\nmore' if "sister" in p else "  ", 600_000).collect()}
+    assert got == {"a": "Who is the sister of Ann?\"", "b": "Who is the sister of Ann?\"", "c": rows[2][1], "d": "and then?", "e": "and then?", "f": None}
+
+
+def test_files_are_parsed_into_lines_and_pages_rendered(spark, tmp_path):
+    from pagewright.operators import models
+
+    (tmp_path / "my book.txt").write_text("one\ntwo\f\fthree")
+    (tmp_path / "other.txt").write_text("\n")
+    (tmp_path / "empty.txt").write_text("")
+    lines = models.parsed(spark, str(tmp_path), models.plain_text)
+    assert [(r.book, r.pdf_index, r.text) for r in lines.orderBy("book", "pdf_index", "seq").collect()] == [("my book", 0, "one"), ("my book", 0, "two"), ("my book", 1, ""), ("my book", 2, "three"), ("other", 0, ""), ("other", 0, "")]
+    assert models.parsed(spark, str(tmp_path), models.plain_text, max_pages=1).select("book", "pdf_index").distinct().count() == 2
+    assert models.parsed(spark, str(tmp_path), lambda _: iter([(10.0, [])])).where("text IS NULL").count() == 2
+    pages = spark.createDataFrame([("b", 0, b"x"), ("b", 1, b"x")], "book string, pdf_index int, content binary")
+    images = models.rendered(pages, lambda data, page, edge, quality: data * (page + 1) + f" {edge} {quality}".encode(), 100, 80).orderBy("pdf_index").collect()
+    assert [bytes(r.image) for r in images] == [b"x 100 80", b"xx 100 80"] and images[0].image_hash != images[1].image_hash
+    sizes = spark.createDataFrame([(3000, 1500), (10, 4000)], "w int, h int").select(*models.fitted(F.col("w"), F.col("h"), 1000), models.halves(F.col("w"), 0.1)).collect()
+    assert [tuple(r)[:2] for r in sizes] == [(1000, 500), (3, 1000)] and [tuple(p) for p in sizes[0][2]] == [(0, 1650), (1350, 3000)]
+
+
+def test_requests_hold_text_and_images(spark):
+    import base64
+    import json
+
+    from pagewright.operators import models
+
+    image = bytes(range(256))
+    row = spark.createDataFrame([("p. 3", [image]), ("p. 4", None)], "pages string, images array<binary>").select(models.message(models.reading_prompt(F.col("pages")), F.col("images")).alias("m")).collect()
+    parts = json.loads(row[0].m)
+    assert parts[0]["value"].endswith("p. 3") and base64.b64decode(parts[1]["value"].split(",")[1]) == image and len(json.loads(row[1].m)) == 1
