@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pagewright.llm import edits, exact, lines, mixing, packing, ppm, queries, ranking, simhash, store, tokens, urls
-from pagewright.llm.common import scratch
+from pagewright.llm.common import scratch, written
 from pagewright.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, hash string, h string, key string, level string, name string"
@@ -643,3 +643,84 @@ def test_pipeline(spark, small):
         assert out.columns == docs.columns, name
         docs = out
     assert C.run(spark, small).count() > 0
+
+
+def test_each_stage_equals_brute_force(spark):
+    """The pipeline on 1,000 documents, each stage held against a plain version on what the stage before it left."""
+    import corpus_pipeline as C
+
+    sf, got = "/root/testdata/sf0.01", {}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    for name, stage in C.STAGES:
+        docs = written(stage(spark, docs, sf))
+        got[name] = docs.collect()
+    text = lambda rs: Counter((r.doc_id, r.text) for r in rs)
+
+    # lines by distinct documents of a host, then the base rule and what is left
+    bare = lambda r: "".join((r.text or "").translate(dict.fromkeys(map(ord, " \t\n\v\f\r"))))
+    normal = lambda x: "".join("0" if c in "0123456789" else c for c in " ".join(x.encode().decode().split())).lower()
+    with_line, of_host = {}, {}
+    for r in rows:
+        of_host.setdefault(r.source, set()).update({bare(r)} - {""})
+        for x in {normal(x) for x in (r.text or "").split("\n") if x.encode().split()}:
+            with_line.setdefault((r.source, x), set()).add(bare(r))
+    often = {k for k, v in with_line.items() if len(v) > 20 and len(v) > 0.005 * len(of_host[k[0]])}
+    want = Counter()
+    for r in rows:
+        n, *_, repeated = brute_rules(r.text)
+        left = [x for x in (r.text or "").split("\n") if (r.source, normal(x)) not in often]
+        if n >= 50 and 100 * repeated <= 50 * n and sum(len(x.encode().split()) for x in left) >= 0.3 * n:
+            want[r.doc_id, "\n".join(left)] += 1
+    assert text(got["quality_rules"]) == want and len(want) < len(rows)
+
+    best = {}
+    for r in got["quality_rules"]:
+        best[bare(r)] = min(best.get(bare(r), (1, 0, "")), (-len(r.text), r.doc_id, r.text))
+    assert text(got["exact_dedup"]) == Counter(x[1:] for x in best.values())
+
+    sets = {}
+    for r in got["exact_dedup"]:
+        w = r.text.encode().lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    group = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            small_, large = sorted((len(sets[a]), len(sets[b])))
+            if a < b and group[a] != group[b] and 5 * small_ >= 4 * large and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if c == old else c for d, c in group.items()}
+    stays = {d for d, c in group.items() if d == c}
+    assert text(got["near_dedup"]) == Counter((r.doc_id, r.text) for r in got["exact_dedup"] if r.doc_id in stays) and len(stays) < len(sets)
+
+    before, words, share = {r.doc_id: r for r in got["near_dedup"]}, Counter(), Counter()
+    for r in got["mix_sources"]:
+        assert r.text in before[r.doc_id].text and r.source == before[r.doc_id].source
+        words[r.doc_id] += len(r.text.encode().split())
+        share[r.source] += len(r.text.encode().split())
+    sizes = Counter()
+    for r in got["near_dedup"]:
+        sizes[r.source] += len(r.text.encode().split())
+    target = brute_targets(dict(sizes))
+    assert all(abs(share[s] - target[s]) <= 4 * mixing.BLOCK_WORDS for s in sizes)
+    assert all(words[d] <= 3 * len(before[d].text.encode().split()) for d in words)
+
+    encode = tokens.encoder(tokenizer_path("byte_bpe_50k.json")).encode
+    ids = {}
+    for r in got["mix_sources"]:
+        ids.setdefault(r.doc_id, []).append(np.frombuffer(encode([r.text])[0] + b"\2\0\0\0", "<u4"))
+    for r in got["pack_sequences"]:
+        assert any(zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.start + r.length <= len(x) for x in ids[r.doc_id])
+    lengths = [r.length for r in got["pack_sequences"]]
+    assert sum(lengths) == sum(len(x) for xs in ids.values() for x in xs) and max(lengths) <= 1024
+    bins: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(bins, n)
+        room = bins.pop(at) if at < len(bins) else 1024
+        bisect.insort(bins, room - n)
+    places = {}
+    for r in got["pack_sequences"]:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(places) == len(bins)
+    for own in places.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))]
