@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import edits, exact, lines, mixing, packing, ppm, ranking, simhash, store, urls
+from pagewright.llm import balls, edits, exact, licenses, lines, mixing, packing, ppm, ranking, resample, simhash, store, urls
 from pagewright.llm.common import scratch, table
 
 
@@ -88,6 +88,18 @@ def op10_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", (_fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_ball_k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.clusters(table(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op12_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_csr_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_edit_token_counts": op1_edit_token_counts,
     "op2_simhash_anchors": op2_simhash_anchors,
@@ -99,6 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_frequency": op8_line_frequency,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_bradley_terry": op10_bradley_terry,
+    "op11_ball_k_means": op11_ball_k_means,
+    "op12_license_templates": op12_license_templates,
+    "op13_csr_resampling": op13_csr_resampling,
 }
 
 _OP3 = r"""
@@ -172,4 +187,65 @@ JOIN (SELECT doc_id, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 LEFT JOIN (SELECT l.doc_id, sum(l.n)::BIGINT AS n FROM hashed l JOIN often o ON o.source = l.source AND o.h = l.h GROUP BY 1) x ON x.doc_id = b.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_block_naming": _OP3, "op5_bloom_cascade": _OP5, "op8_line_frequency": _OP8}
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    """Every vector against every centroid, round by round."""
+    near = "a{r} AS MATERIALIZED (SELECT vec_id, q, (m).n AS cluster, (m).d AS distance FROM (SELECT v.vec_id, v.q, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i]))), 'n': n}}) AS m FROM v, c{r} c GROUP BY v.vec_id, v.q))"
+    mean = "c{s} AS MATERIALIZED (SELECT n, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (SELECT cluster, list((t - ((t % w) + w) % w) // w ORDER BY i) AS q FROM (SELECT cluster, i, sum(x)::BIGINT AS t, count(*) AS w FROM (SELECT cluster, unnest(q) AS x, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = c.n)"
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [mean.format(r=r, s=r + 1), near.format(r=r + 1)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS n, q FROM (SELECT q, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT {k})
+), {", ".join(steps)}
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.n = cluster
+"""
+
+
+#: A-Z in lower case, then runs of digits, ASCII letters and all characters beyond ASCII.
+_TEXT_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _op12() -> str:
+    by_label: dict[str, list[str]] = {}
+    for label, template in licenses.TEMPLATES:
+        by_label.setdefault(label, []).append(licenses.pattern(template))
+    own = ", ".join(f"CASE WHEN regexp_matches(s, ' (?:{'|'.join(p)})') THEN '{label}' END" for label, p in by_label.items())
+    stands = lambda phrase: " AND ".join(f"w[i + {n}] = '{x}'" for n, x in enumerate(phrase.split(), 1))
+    return f"""
+WITH t AS (SELECT doc_id, {_TEXT_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, list_transform(range(len(w)), lambda i: CASE {" ".join(f"WHEN {stands(x)} THEN '{label}'" for label, x in licenses.PHRASES)} END) AS b FROM t),
+f AS (SELECT doc_id, len(w) AS n_words, list_filter(range(len(w)), lambda i: b[i + 1] IS NOT NULL) AS places, list_distinct(list_filter(b, lambda x: x IS NOT NULL)) AS basic, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM p)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(list_sort(basic), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(basic, own))), ',') AS labels, CASE WHEN len(own) > 0 THEN 1.0::DOUBLE WHEN len(basic) > 0 THEN 0.5 ELSE 0.0 END AS score
+FROM f
+"""
+
+
+_OP13 = f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+), d AS (SELECT row_number() OVER () AS row, doc_id, {_TEXT_WORDS} AS w FROM documents),
+e AS (SELECT unnest({_TEXT_WORDS}) AS word FROM benchmark),
+dw AS (SELECT row, unnest(w) AS word FROM d),
+vocabulary AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295], list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT))), lambda c, x: xor(t[xor(c % 256, x) + 1], c // 256)), 4294967295) % 10000 AS bucket
+  FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM e)), crc
+), s AS (SELECT bucket, count(*) AS s FROM dw JOIN vocabulary USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM e JOIN vocabulary USING (word) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT row, sum(gain)::BIGINT AS weight FROM dw JOIN vocabulary USING (word) JOIN g USING (bucket) GROUP BY row),
+x AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w ON w.row = d.row),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM y WHERE n_features >= 20)
+SELECT y.doc_id, n_features, weight, score, rank FROM y LEFT JOIN (SELECT * FROM z WHERE rank <= (SELECT 10 * count(*) // 100 FROM z)) z ON z.doc_id = y.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_block_naming": _OP3, "op5_bloom_cascade": _OP5, "op8_line_frequency": _OP8, "op11_ball_k_means": _op11(), "op12_license_templates": _op12(), "op13_csr_resampling": _OP13,
+}
