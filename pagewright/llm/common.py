@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,14 +59,26 @@ class Tables:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def stable(docs: DataFrame) -> DataFrame:
-    """``docs`` itself if its rows are rows of files, else a written copy: each row then has a place that no scan changes."""
+def _files_once(docs: DataFrame, leaf) -> bool:
+    """Whether the scan ``leaf`` of ``docs`` lists each of its files once: read twice, two rows would share a place."""
+    try:
+        listed = len(leaf.relation().location().inputFiles())
+    except Py4JError:  # not a scan of files
+        return False
+    return len(docs._jdf.inputFiles()) == listed  # distinct ones
+
+
+def stable(docs: DataFrame, moved: bool = True) -> DataFrame:
+    """``docs`` itself if its rows are rows of files and no file is read twice, else a written copy: each row then has a place of its own that no scan changes.
+
+    Without ``moved`` rows that are dealt anew behind the scan are written too: a task that is tried again then meets its rows in the same order.
+    """
     plan = docs._jdf.queryExecution().analyzed()
     plain = plan.deterministic()
     while plain and plan.children().size() == 1:
-        plain = plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "Repartition", "RepartitionByExpression")
+        plain = plan.nodeName() in ("Project", "Filter", "SubqueryAlias", *("Repartition", "RepartitionByExpression") * moved)
         plan = plan.children().head()
-    if plain and plan.children().isEmpty():
+    if plain and plan.children().isEmpty() and _files_once(docs, plan):
         try:
             docs.select(docs.metadataColumn("_metadata")["row_index"])
             return docs

@@ -207,7 +207,7 @@ class TokenTree:
 def _edits(b: pa.RecordBatch, texts: list[str], find) -> list[list[Edit]]:
     if find:
         return [find(t) for t in texts]
-    return [[(e["at"], e["delete"], e["insert"] or "") for e in x or []] for x in b.column("edits").to_pylist()]
+    return [[(e["at"], e["delete"] or 0, e["insert"] or "") for e in x or [] if e is not None and e["at"] is not None] for x in b.column("edits").to_pylist()]
 
 
 def edited_counts(docs: DataFrame, tokenizer: str, find=None, with_text: bool = False) -> DataFrame:
@@ -215,7 +215,8 @@ def edited_counts(docs: DataFrame, tokenizer: str, find=None, with_text: bool =
 
     Edits come from ``find(text)`` or from a column ``edits``, array<struct<at, delete, insert>>,
     and are made in their order, each on what the ones before left. A null text counts as
-    empty, null edits as none. Columns: doc_id, n_tokens, n_edits, n_tokens_edited, n_chars,
+    empty, null edits as none; an edit that is null or has no ``at`` is none either, a null ``delete``
+    deletes nothing and a null ``insert`` inserts nothing. Columns: doc_id, n_tokens, n_edits, n_tokens_edited, n_chars,
     n_chars_edited, n_chars_encoded (cut and encoded again for the edits) and, if asked for,
     text. Extra columns are ignored, whatever their names, repeated rows are counted one by one,
     and an empty table gives none. Counts are those of the tokenizers library on the whole text.
@@ -285,6 +286,6 @@ def applied(trees: DataFrame, tokenizer: str, find=None) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """``docs`` with the column ``edits`` from rows (doc_id, seq, at, delete, insert), in order of seq; edits without a doc_id are left out."""
+    """``docs`` with the column ``edits`` from rows (doc_id, seq, at, delete, insert), in order of seq (null first); edits without a doc_id are left out, and null fields mean what they do to ``edited_counts``."""
     listed = F.transform(F.sort_array(F.collect_list(F.struct("seq", "at", "delete", "insert"))), lambda e: F.struct(e["at"].alias("at"), e["delete"].alias("delete"), e["insert"].alias("insert")))
     return docs.join(edits.groupBy("doc_id").agg(listed.alias("edits")), "doc_id", "left")

@@ -96,8 +96,8 @@ def exact_duplicates(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 
     Texts are equal if they are identical without the white space of the contracts; null counts
     as empty, and empty texts are equal. Of a group the row with the most code points stays,
-    then the smallest doc_id (null last), then the first row, so repeated rows leave one. Extra
-    columns are ignored, whatever their names; an empty table gives none.
+    then the smallest doc_id (null last), then the first row, so repeated rows leave one; rows of
+    a file that is read twice are repeated rows. Extra columns are ignored, whatever their names; an empty table gives none.
     """
     return _judged(stable(docs), size).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -105,7 +105,7 @@ def exact_duplicates(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one that ``exact_duplicates`` keeps; its columns unchanged.
 
-    Null and empty texts are one group; of repeated rows one stays. Any names of columns are fine; an empty table stays empty.
+    Null and empty texts are one group; of repeated rows, also those of a file that is read twice, one stays. Any names of columns are fine; an empty table stays empty.
     """
     docs = stable(docs)
     gone = _judged(docs, size).where("NOT kept").select("file", "at")

@@ -116,12 +116,12 @@ def judge(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """The kept rows of ``docs`` without their boilerplate lines; n_chars follows the text, other columns are unchanged.
 
-    Null and empty texts and null sources are judged as by ``judge``; repeated rows stay
-    repeated. Any names of columns are fine; an empty table stays empty.
+    Null and empty texts and null sources are judged as by ``judge``; repeated rows, also those of a
+    file that is read twice, stay repeated. Any names of columns are fine; an empty table stays empty.
     """
     docs = stable(docs)
     verdict = written(_judged(docs).where("kept").select("file", "at", "boilerplate"))
-    rows = whole(docs).join(verdict.hint("merge"), ["file", "at"])  # a verdict for each kept row: never broadcast, so the plan is one at every size
+    rows = whole(docs).join(verdict, ["file", "at"])
     left = F.filter(F.split("doc.text", "\n"), lambda x: ~F.coalesce(F.array_contains("boilerplate", line_hash(x)), F.lit(False)))
     text = F.when(F.col("boilerplate").isNull(), F.col("doc.text")).otherwise(F.array_join(left, "\n"))
     return retexted(rows.select("doc", text.alias("text")), docs)

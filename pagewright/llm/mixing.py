@@ -155,7 +155,7 @@ def mix(docs: DataFrame) -> DataFrame:
     ``taken`` counts the words of the document in the mix, repeats included, at most three
     times its size. Null and wordless texts have size 0 and give nothing; null is a source of its own, last in
     order. An empty table gives none; extra columns are ignored, whatever their names; repeated
-    rows are documents of their own. Equal quotients go to the first source in order. The choice
+    rows, also those of a file that is read twice, are documents of their own. Equal quotients go to the first source in order. The choice
     depends on the seed and the rows only, and for rows that share doc_id and size on their places in the files.
     """
     placed = written(_placed(stable(docs)))
@@ -186,8 +186,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         return F.zip_with(edge("begin", "end", "begin"), edge("end", "begin", "end"), lambda x, y: F.struct(x.alias("begin"), y.alias("end")))
 
     parts = parts.select("file", "at", "size", F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), F.col("most")), runs)).alias("runs"))
-    # a row for each document taken: never broadcast, so the plan is one at every size
-    rows = whole(docs).join(written(parts).hint("merge"), ["file", "at"]).select("doc", "size", F.explode("runs").alias("run"))
+    rows = whole(docs).join(written(parts), ["file", "at"]).select("doc", "size", F.explode("runs").alias("run"))
     pieces = F.regexp_extract_all(F.col("doc.text"), F.lit(r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1))
     begin, end = F.col("run.begin"), F.col("run.end")
     cut = F.array_join(F.slice(pieces, (begin + 1).cast("int"), (end - begin).cast("int")), "")

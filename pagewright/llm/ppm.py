@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pagewright.llm.tokens import rounds
 
 ORDER = 4
-#: The sample: at most so many documents of a language, in the order of a hash of their ids, each of at most so many bytes.
-TRAIN_DOCUMENTS, TRAIN_BYTES = 400, 1 << 16
-#: Languages learned at most.
-MOST_LANGUAGES = 200
+#: The sample: at most so many documents of a language, the first characters of each, and characters of all languages together.
+TRAIN_DOCUMENTS, TRAIN_CHARS, TRAIN_TOTAL = 400, 1 << 16, 1 << 26
+#: Documents of the sample are cut shorter than this only where a language has one.
+LEAST_CHARS = 1000
 #: Distinct grams whose code lengths a worker remembers.
 GRAMS_HELD = 1_000_000
 #: Grams of one step; a long text takes several.
@@ -116,33 +116,49 @@ class Coder:
         return out
 
 
-def train(docs: DataFrame, order: int = ORDER, documents: int = TRAIN_DOCUMENTS, most_bytes: int = TRAIN_BYTES, languages: int = MOST_LANGUAGES) -> tuple[list[str], list[Tree]]:
+def shares(languages: int, documents: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS, total: int = TRAIN_TOTAL) -> tuple[int, int]:
+    """Documents of a language and characters of a document in the sample, so that all languages together stay within ``total`` characters.
+
+    Many languages first shorten their documents to LEAST_CHARS, then have fewer of them, one at least.
+    """
+    documents = max(1, min(documents, total // (LEAST_CHARS * max(1, languages))))
+    return documents, max(1, min(chars, total // (documents * max(1, languages))))
+
+
+def train(docs: DataFrame, order: int = ORDER, documents: int = TRAIN_DOCUMENTS, chars: int = TRAIN_CHARS, total: int = TRAIN_TOTAL) -> tuple[list[str], list[Tree]]:
     """Languages and their trees from rows of ``docs`` (doc_id, text, lang); rows with a null are left out.
 
-    The sample is bounded by the limits, so the trees are too: a few MB for each language. Of more
-    than ``languages`` the most frequent are learned, ties by code point. Rows that share doc_id and lang count as
-    one, with the least of their texts. Extra columns are ignored; from an empty table nothing is learned.
+    Every language is learned. Its sample is ``documents`` rows in the order of a hash of their ids, and of each row's text the
+    first ``chars`` characters; where languages are many both shrink (``shares``), so that the texts at the driver have
+    no more than ``total`` characters and the trees are bounded too. Rows that share doc_id and lang count as one, with the
+    least of their texts. Extra columns are ignored; from an empty table nothing is learned.
     """
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(F.octet_length("text") <= most_bytes).select("doc_id", "lang", "text")
-    # one row a language, and no more than `languages` of them, come to the driver
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    spark = docs.sparkSession
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    # a row a language
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()
     if not sizes:
         return [], []
+    documents, chars = shares(len(sizes), documents, chars, total)
     # the smallest hashes of each language: all rows below a cut at twice the expected one are candidates, wherever they lie
-    cuts = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(1 << 40) * (2 * documents + 100) / r["n"])])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    near = usable.select("doc_id", "lang", place.alias("at")).where(F.col("at").cast("double") < F.element_at(cuts, F.col("lang"))).distinct()
+    cuts = spark.createDataFrame([(r["lang"], float(1 << 40) * (2 * documents + 100) / r["n"]) for r in sizes], "lang string, cut double")
+    near = usable.select("doc_id", "lang", place.alias("at")).join(F.broadcast(cuts), "lang").where(F.col("at") < F.col("cut"))  # a row a language
     # bounded: about 2 * `documents` + 100 ids a language, each once however often it is repeated
     best: dict[str, list] = {}
-    for r in near.collect():
+    for r in near.select("lang", "at", "doc_id").distinct().collect():
         best.setdefault(r["lang"], []).append((r["at"], r["doc_id"]))
-    wanted = {lang: [i for _, i in sorted(x)[:documents]] for lang, x in best.items()}
-    ids = sorted({i for x in wanted.values() for i in x})
-    rows = usable.where(F.col("doc_id").isin(ids)).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    last = [(lang, sorted(x)[:documents][-1][0]) for lang, x in best.items()]
+    wanted = spark.createDataFrame(last, "lang string, last long")
+    short = F.substring("text", 1, chars)
+    sample = usable.select("doc_id", "lang", place.alias("at"), short.alias("text")).join(F.broadcast(wanted), "lang").where("at <= last")
+    rows = sample.groupBy("lang", "at", "doc_id").agg(F.min("text").alias("text")).collect()
     # sorted: the trees don't depend on the order in which the sample arrives
-    found = {(r["lang"], r["doc_id"]): r["text"] for r in rows}
-    langs = sorted(wanted)
-    return langs, [Tree([found[x, i] for i in sorted(wanted[x])], order) for x in langs]
+    found: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["doc_id"])):
+        found.setdefault(r["lang"], []).append(r["text"])
+    langs = sorted(found)
+    return langs, [Tree(found[x][:documents], order) for x in langs]
 
 
 def identify(docs: DataFrame, langs: list[str], trees: list[Tree], order: int = ORDER) -> DataFrame:

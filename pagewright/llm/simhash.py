@@ -482,7 +482,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of similar ones: that with the smallest doc_id.
 
-    Rows without a doc_id stay; rows that share a doc_id stay or go together. Columns come back
+    Rows without a doc_id stay; rows that share a doc_id, as those of a file that is read twice, stay or go together. Columns come back
     unchanged, whatever their names; an empty table stays empty.
     """
     docs = stable(docs)

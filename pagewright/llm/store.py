@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.llm.common import stable
 from pagewright.llm.tokens import encoder, rounds
 
 MEAN_CHUNK, LEAST_CHUNK, MOST_CHUNK = 512, 128, 4096
@@ -97,7 +98,7 @@ def chunks(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFram
                     at = to
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    # the scan's own row number: the same in each attempt at a task
+    # the scan's own row number: the same in each attempt at a task over a ``stable`` table
     return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(cut, schema)
 
 
@@ -121,6 +122,8 @@ def write(docs: DataFrame, at: str, tokenizer: str, end_id: int, width: int = 2)
     documents of their own, told apart by ``row``. Other columns of ``docs`` aren't read.
     """
     spark = docs.sparkSession
+    # numbered in a scan of files, so that a task that is tried again gives its rows the same numbers
+    docs = stable(docs, moved=False)
     every = chunks(docs, tokenizer, end_id, width).repartition("digest", "salt")
     first = F.row_number().over(Window.partitionBy("digest", "salt").orderBy("doc_id", "row", "seq")) == 1
     every.withColumn("data", F.when(first, F.col("data"))).drop("salt").write.option("compression", "zstd").parquet(f"{at}/chunks")

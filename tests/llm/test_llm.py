@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on odd tables."""
 
 import bisect
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagewright.llm import edits, exact, lines, mixing, packing, ppm, queries, ranking, simhash, store, tokens, urls
+from pagewright.llm import balls, edits, exact, licenses, lines, mixing, packing, ppm, queries, ranking, resample, simhash, store, tokens, urls
 from pagewright.llm.common import scratch, written
 from pagewright.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
@@ -514,8 +515,62 @@ def test_code_lengths_equal_plain_partial_matching():
 
 def test_training_sample_is_bounded_by_repeats(spark):
     df = spark.createDataFrame([(i % 7, f"text {i % 7} {i % 3}", "en") for i in range(300)] + [(100 + i, "autre texte", f"l{i}") for i in range(5)], "doc_id long, text string, lang string")
-    langs, trees = ppm.train(df, documents=4, languages=3)
-    assert langs == ["en", "l0", "l1"] and len(trees) == 3
+    langs, trees = ppm.train(df, documents=4, total=1000)
+    assert langs == ["en", "l0", "l1", "l2", "l3", "l4"] and len(trees) == 6
+
+
+def test_training_sample_has_a_budget_and_no_language_is_left_out(spark):
+    assert ppm.shares(4) == (400, 41_943) and ppm.shares(1) == (400, 1 << 16)
+    for n in (1, 3, 200, 5_000, 100_000):
+        documents, chars = ppm.shares(n)
+        assert documents >= 1 and chars >= 1 and n * documents * chars <= ppm.TRAIN_TOTAL
+    df = spark.createDataFrame([(i, "ab" * 5_000, f"l{i % 40}") for i in range(400)] + [(1000, "qz" * 100_000, "long")] + [(2000, "ee", "one")] * 3000, "doc_id long, text string, lang string")
+    langs, trees = ppm.train(df, total=41_000)
+    # one document of 1,000 characters each: no text is too long to be learned from, and an id that many rows share is met
+    assert len(langs) == 42 and "long" in langs and "one" in langs
+    assert all(0 < t.levels[0][1].sum() <= 1000 for t in trees)
+
+
+def test_language_query_equals_plain_partial_matching(spark, small):
+    """Sample, code lengths, choice and score of the query, from the table alone."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("at")).collect()
+    fold = lambda r: zlib.crc32(str(r.doc_id).encode()) % 4
+    learned = {}
+    for r in sorted((r for r in rows if fold(r) != 2 and r.lang is not None and r.text is not None), key=lambda r: (r.at, r.doc_id)):
+        learned.setdefault(r.lang, []).append(r.text)
+    langs = sorted(learned)
+    documents, chars = ppm.shares(len(langs))
+    counts = []
+    for lang in langs:
+        seen = {}
+        for t in learned[lang][:documents]:
+            data = b"\n" * 4 + t[:chars].lower().encode()
+            for i in range(4, len(data)):
+                for k in range(5):
+                    seen.setdefault(data[i - k : i], Counter())[data[i]] += 1
+        counts.append({c: (n, sum(n.values()) + len(n)) for c, n in seen.items()})
+    got = {r.doc_id: r for r in QUERIES["op7_ppm_language"](spark, small).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        data, bits = b"\n" * 4 + (r.text or "").lower().encode(), []
+        for known in counts:
+            total = 0.0
+            for i in range(4, len(data)):
+                for k in range(4, -1, -1):
+                    after, mass = known.get(data[i - k : i], (None, 0))
+                    if after is not None and data[i] in after:
+                        total -= np.log2(after[data[i]] / mass)
+                        break
+                    if after is not None:
+                        total -= np.log2(len(after) / mass)
+                else:
+                    total += 8
+            bits.append(total)
+        x, named = got[r.doc_id], any(c.isalpha() for c in r.text or "")
+        assert x.held_out == (fold(r) == 2)
+        assert x.lang_pred == (langs[int(np.argmin(bits))] if named else "und")
+        best = min(bits)
+        assert x.score == pytest.approx(1 / sum(2.0 ** max(best - b, -1000) for b in bits) if named else 0.0, rel=1e-3)
 
 
 def test_languages(spark, small, odd, empty):
@@ -724,3 +779,194 @@ def test_each_stage_equals_brute_force(spark):
     assert len(places) == len(bins)
     for own in places.values():
         assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))]
+
+
+@pytest.mark.parametrize("twice", ["same file", "folder and file"])
+def test_rows_of_a_file_that_is_read_twice_are_repeated_rows(spark, small, twice):
+    """Rows that share file and place are neither lost nor multiplied."""
+    one = f"{small}/documents.parquet"
+    if twice == "folder and file":
+        at = scratch(spark)
+        spark.read.parquet(one).coalesce(1).write.parquet(at)
+        part = spark.read.parquet(at).inputFiles()[0]
+        docs = spark.read.parquet(at, part)
+    else:
+        docs = spark.read.parquet(one, one)
+    single = spark.read.parquet(one)
+    union = single.union(single)
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    assert rows(exact.keep_one(docs)) == rows(exact.keep_one(union)) and exact.keep_one(docs).count() == exact.keep_one(single).count()
+    assert rows(lines.clean(docs)) == rows(lines.clean(union))
+    assert lines.clean(docs).count() == 2 * lines.clean(single).count()
+    assert rows(mixing.mix(docs)) == rows(mixing.mix(union))
+    assert mixing.mix(docs).where("taken > 3 * size").count() == 0
+    assert mixing.mixed(docs).count() == mixing.mixed(union).count()
+    assert rows(simhash.keep_one(docs)) == rows(simhash.keep_one(union))
+
+
+def test_null_edits(spark):
+    df = spark.createDataFrame(
+        [(1, "hello world", None), (2, "hello world", [None, (None, 3, "x"), (0, None, "A "), (0, 2, None)]), (3, None, [(0, 0, "new")])],
+        "doc_id long, text string, edits array<struct<at: int, delete: int, insert: string>>",
+    )
+    got = {r.doc_id: r for r in edits.edited_counts(df, tokenizer_path("byte_bpe_50k.json"), with_text=True).collect()}
+    assert [got[i].text for i in (1, 2, 3)] == ["hello world", "hello world", "new"] and [got[i].n_edits for i in (1, 2, 3)] == [0, 2, 1]
+    kept = edits.kept(df, tokenizer_path("byte_bpe_50k.json")).join(df.select("doc_id", "edits"), "doc_id")
+    assert {r.doc_id: r.text for r in edits.applied(kept, tokenizer_path("byte_bpe_50k.json")).collect()} == {1: "hello world", 2: "hello world", 3: "new"}
+
+
+# ---------------------------------------------------------------- ball k-means
+def brute_clusters(rows, k, rounds, width, scale):
+    """Every vector against every centroid in Python integers."""
+    kept = [(i, [int(np.floor(scale * float(x))) for x in v]) for i, v in rows if v is not None and len(v) == width and all(x is not None and np.isfinite(x) for x in v)]
+    kept.sort(key=lambda r: (hashlib.sha256(f"1:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, r[1]))
+    centers = [q for _, q in kept[:k]]
+    nearest = lambda q: min((sum((a - b) ** 2 for a, b in zip(q, c, strict=True)), j) for j, c in enumerate(centers))
+    for _ in range(rounds):
+        members = {}
+        for _, q in kept:
+            members.setdefault(nearest(q)[1], []).append(q)
+        centers = [[sum(x) // len(members[j]) for x in zip(*members[j], strict=True)] if j in members else c for j, c in enumerate(centers)]
+    return centers, [(i, *reversed(nearest(q))) for i, q in kept]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    spots = [[r.uniform(-1, 1) for _ in range(4)] for _ in range(5)]
+    rows = [(i, [x + r.choice([0, 0, 0.25, -0.25, r.gauss(0, 0.1)]) for x in r.choice(spots)]) for i in range(600)]
+    rows += [(1000 + i, rows[7][1]) for i in range(200)] + [rows[3], rows[3], (None, rows[5][1]), (2000, None), (2001, [1.0, None, 0.0, 0.0]), (2002, [1.0, float("nan"), 0.0, 0.0]), (2003, [float("inf")] * 4), (2004, [1.0] * 3), (2005, []), (2006, [-0.0] * 4)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, q string, cluster int")
+    got = balls.clusters(df.repartition(5), k=7, rounds=4, width=4, scale=16).collect()
+    centers, want = brute_clusters(rows, 7, 4, 4, 16)
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted((tuple(x)[:3] for x in got), key=key) == sorted(want, key=key)
+    total = Counter()
+    for _, c, d in want:
+        total[c] += d
+    for x in got:
+        assert x.cluster_inertia == total[x.cluster] and x.inertia == sum(total.values())
+        assert x.centroid_sha256 == hashlib.sha256(",".join(map(str, centers[x.cluster])).encode()).hexdigest()
+    # the balls spare comparisons: a stable core is compared with its own centroid only
+    assert min(x.compared for x in got) == 1 and sum(x.compared for x in got) < 0.7 * 7 * len(got)
+
+
+def test_clusters_on_odd_tables(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert balls.clusters(df).count() == 0
+    few = spark.createDataFrame([(i, [float(i)] * 64) for i in range(3)] + [(9, [1e308] * 64), (10, [-1e300] * 64)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in balls.clusters(few).collect()}
+    assert set(got) == {0, 1, 2, 9, 10} and all(r.distance == 0 for r in got.values()) and len({r.cluster for r in got.values()}) == 5
+
+
+# ---------------------------------------------------------------- license templates
+def test_automaton_equals_regular_expressions():
+    """Every template, spoiled and whole, inside other words, against a regular expression for the same wording."""
+    import re
+
+    r = random.Random(5)
+    one = licenses.Automaton(licenses.TEMPLATES)
+    said = [re.compile(licenses.pattern(t)) for _, t in licenses.TEMPLATES]
+
+    def example(items):
+        out = []
+        for x in items:
+            if isinstance(x, list):
+                out += example(x) if r.random() < 0.5 else []
+            elif isinstance(x, tuple):
+                out += [r.choice([b"acme", b"the", b"license"]) for _ in range(r.randint(*x))]
+            else:
+                out.append(x)
+        return out
+
+    for _ in range(400):
+        tokens = []
+        for _ in range(r.randint(1, 3)):
+            piece = example(licenses.parts(r.choice(licenses.TEMPLATES)[1]))
+            if r.random() < 0.4:
+                piece.insert(r.randrange(len(piece)), b"not")
+            if r.random() < 0.2:
+                del piece[r.randrange(len(piece))]
+            tokens += [r.choice([b"x", b"the", b"licensed", b"free"]) for _ in range(r.randint(0, 4))] + piece
+        got = {(t, s) for t, s, _ in one.found(tokens)}
+        starts = np.cumsum([0] + [len(t) + 1 for t in tokens]).tolist()
+        text = b"".join(t + b" " for t in tokens).decode()
+        want = {(t, i) for i in range(len(tokens)) for t, p in enumerate(said) if p.match(text, starts[i])}
+        assert got == want
+
+
+def test_licenses_on_odd_texts(spark, odd, empty):
+    mit = licenses.TEMPLATES[[x[0] for x in licenses.TEMPLATES].index("mit")][1].replace("[[", "").replace("]]", "").replace("{{1-3}}", "the Software")
+    rows = [
+        (1, f"Copyright (c) 2020 Ann\n{mit.upper()} trailing"), (2, mit.replace("merge", "MERGER")), (3, "MIT-license, mit\tLICENSE; MIT licenses"), (4, None), (5, ""),
+        (6, "under the Apache License,\nVersion 2.0. GNU General Public License"), (7, "Licensed under the terms of the Apache License version 2.0"), (8, "mit éé license"), (9, "Licensed under CC BY-NC 4.0."),
+        (10, "word " * 200_000 + "general public license"),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), with_matches=True).collect()}
+    assert [(got[i].labels, got[i].base_labels, got[i].score) for i in range(1, 11)] == [
+        ("mit", "", 1.0), ("", "", 0.0), ("mit", "mit", 0.5), ("", "", 0.0), ("", "", 0.0), ("apache,gpl", "apache,gpl", 0.5), ("apache,apache-2.0", "apache", 1.0), ("", "", 0.0), ("cc-by-nc-4.0", "", 1.0), ("gpl", "gpl", 0.5),
+    ]
+    assert (got[3].n_base, got[3].first_word, got[3].last_word, got[3].n_words) == (2, 0, 2, 6) and got[4].first_word is None
+    assert (got[10].n_words, got[10].first_word) == (200_003, 200_000)
+    assert [tuple(m) for m in got[1].matches] == [("mit", 4, got[1].n_words - 1)]
+    assert licenses.scan(odd).count() == 12 and licenses.scan(empty).count() == 0
+    # many places that begin like a template cost no more than their length each
+    long = "permission is hereby granted free of charge " * 20_000
+    assert licenses.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().labels == ""
+    for bad in ("[[open", "close]]", "[[all may go]]"):
+        with pytest.raises(ValueError):
+            licenses.Automaton([("x", bad)])
+
+
+# ---------------------------------------------------------------- importance resampling
+def brute_resample(docs, target, buckets, longest, percent, least):
+    import math
+
+    def features(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        w = "".join(c if c in "0123456789abcdefghijklmnopqrstuvwxyz" or ord(c) > 127 else " " for c in low).split(" ")
+        w = [x for x in w if x]
+        return len(w), [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, longest + 1) for i in range(len(w) - n + 1)]
+
+    of = [(i, *features(t)) for i, t in docs]
+    s, t = Counter(b for _, _, f in of for b in f), Counter(b for x in target for b in features(x)[1])
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    gains = {b: gain(b) for b in s}
+    out = []
+    for i, n, f in of:
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        w = sum(gains[b] for b in f)
+        out.append([i, n, len(f), w, w + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    fits = sorted((x for x in out if x[1] >= least), key=lambda x: (-x[4], x[0] is not None, x[0] or 0, x[2]))
+    for k, x in enumerate(fits[: percent * len(fits) // 100], 1):
+        x[5] = k
+    return [(x[0], *x[2:]) for x in out]
+
+
+@pytest.mark.parametrize("longest", [1, 3])
+def test_resample_equals_brute_force(spark, small, longest, monkeypatch):
+    monkeypatch.setattr(resample, "RANKED", 50)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    docs += [(None, docs[3][1]), docs[4], docs[4], (5000, None), (5001, ""), (5002, "?! é\x00ÉA b " * 30), (5003, "seldom " * 300_000)]
+    target = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()] + [None]
+    df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, n int, key string").repartition(4)
+    aim = spark.createDataFrame([(t, 1) for t in target], "text string, key int")
+    got = resample.resample(df, aim, buckets=997, longest=longest, percent=30, least_words=25)
+    key = lambda x: tuple(-(10**18) if v is None else v for v in x)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(brute_resample(docs, target, 997, longest, 30, 25), key=key)
+
+
+def test_resample_on_odd_tables(spark, odd, empty):
+    target = spark.createDataFrame([("a b c",)], "text string")
+    got = resample.resample(odd, target).collect()
+    assert len(got) == 12 and sorted(r.rank for r in got if r.rank is not None) == list(range(1, 1 + 10 * sum(r.n_features >= 20 for r in got) // 100))
+    assert {(r.n_features, r.weight) for r in got if r.doc_id in (3, 4, 8)} == {(0, 0)}
+    assert resample.resample(empty, target).count() == 0
+    assert len({r.rank is None for r in resample.resample(odd, target.where("false")).collect()}) >= 1
+
+
+def test_matrix_blocks_hold_the_counts(spark):
+    blocks = resample.matrix(spark.createDataFrame([(7, "b a b"), (8, None), (9, "c")], "doc_id long, text string").coalesce(1), buckets=50).collect()
+    assert [b["keys"] for b in blocks] == [[7, 8, 9]] and blocks[0].begin[-1] == len(blocks[0].bucket) and sum(blocks[0].n) == 4
+    a, b, c = (zlib.crc32(x) % 50 for x in (b"a", b"b", b"c"))
+    assert dict(zip(blocks[0].bucket[:2], blocks[0].n[:2], strict=True)) == {a: 1, b: 2} and blocks[0].bucket[2:] == [c]
