@@ -100,16 +100,20 @@ def modal_offset(pages: DataFrame) -> DataFrame:
 
 
 def resolve_labels(pages: DataFrame, page_labels: DataFrame) -> DataFrame:
-    """For each book its numbering: the catalogue's labels if they cover all pages, else folios, else positions."""
+    """For each book its numbering: the catalogue's labels if they cover all pages, else folios, else positions.
+
+    A catalogue counts if one of its labels isn't blank; blank ones are then labels too. Its offset is that of the first
+    arabic label, 0 without one.
+    """
     total = pages.groupBy("book").agg(F.count("*").alias("total"))
-    labels = page_labels.where(F.trim("label") != "").groupBy("book").agg(
-        F.count("*").alias("labels"),
+    labels = page_labels.groupBy("book").agg(
+        F.count("*").alias("labels"), F.coalesce(F.bool_or(F.trim("label") != ""), F.lit(False)).alias("said"),
         F.min_by(F.struct("pdf_index", "label"), F.when(F.rlike(F.trim("label"), F.lit(_DIGITS)), F.col("pdf_index"))).alias("l"),
     )
     m = total.join(labels, "book", "left").join(modal_offset(pages).withColumnRenamed("offset", "modal"), "book")
-    have = F.coalesce(F.col("labels") >= F.col("total"), F.lit(False))
+    have = F.coalesce(F.col("said") & (F.col("labels") >= F.col("total")), F.lit(False))
     method = F.when(have, "pdf_page_labels").when(F.col("accepted"), "footer_regex_offset").otherwise("fallback_sequential")
-    offset = F.when(have, F.col("l.pdf_index") - F.trim("l.label").cast("int")).when(F.col("accepted"), F.col("modal")).otherwise(0)
+    offset = F.when(have, F.coalesce(F.col("l.pdf_index") - F.trim("l.label").cast("int"), F.lit(0))).when(F.col("accepted"), F.col("modal")).otherwise(0)
     return m.select("book", method.alias("method"), offset.alias("offset"))
 
 
@@ -118,7 +122,7 @@ def printed_pages(pages: DataFrame, numbering: DataFrame, page_labels: DataFrame
     place in brackets; its place alone where nothing is known."""
     own = F.col("pdf_index") - F.col("offset")
     label = (
-        F.when(F.col("method") == "pdf_page_labels", F.trim("_label"))
+        F.when(F.col("method") == "pdf_page_labels", F.trim(F.coalesce("_label", F.lit(""))))
         .when(F.col("method") == "fallback_sequential", (F.col("pdf_index") + 1).cast("string"))
         .when(F.col("folio").isNotNull(), F.col("folio"))
         .when(own >= 1, own.cast("string"))

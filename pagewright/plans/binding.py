@@ -44,8 +44,10 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels in the catalogue of every other book."""
-    return book_pages(spark, sf_dir).where(F.regexp_extract("book", "([0-9]+)$", 1).cast("int") % 2 == 0).select("book", "pdf_index", F.col("printed_page").alias("label"))
+    """Labels in the catalogue of every other book: one blank among them in every fourth, no arabic one in every eighth."""
+    n = F.regexp_extract("book", "([0-9]+)$", 1).cast("int")
+    label = F.when(n % 8 == 0, F.concat(F.lit("p-"), "printed_page")).when((n % 4 == 2) & (F.col("pdf_index") == 6), " ").otherwise(F.col("printed_page"))
+    return book_pages(spark, sf_dir).where(n % 2 == 0).select("book", "pdf_index", label.alias("label"))
 
 
 def layout(spark: SparkSession, sf_dir: str) -> DataFrame:

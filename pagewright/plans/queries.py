@@ -144,12 +144,24 @@ def extract_folio(spark, sf):
     return PG.reading_order(B.layout(spark, sf)).select("book", "pdf_index", "pos", PG.folio(F.col("text")).alias("folio"))
 
 
-@query("modal_offset", "SELECT book, CASE WHEN total > 4 THEN 3 END AS \"offset\", greatest(total - 4, 0) / total AS agreement, greatest(total - 4, 0) / total >= 0.3 AS accepted FROM totals", _PAGES)
+#: Folios from the head of each page (the foot has none), the modal offset, catalogue labels, and the numbering that follows from them.
+_NUMBERING = _PAGES + rf""",
+fol AS (SELECT book, pdf_index, {_FOLIO.format('head')} AS folio FROM (SELECT *, CASE WHEN pdf_index % 3 = 0 THEN printed_page ELSE printed_page || '   ' || upper(book) END AS head FROM book_pages)),
+delta AS (SELECT book, pdf_index - CAST(folio AS INT) AS d, count(*) AS n, min(pdf_index) AS first FROM fol WHERE regexp_matches(folio, '^[0-9]+$') GROUP BY ALL),
+modal AS (SELECT t.book, m.d AS "offset", coalesce(m.n / total, 0) AS agreement FROM totals t LEFT JOIN (SELECT * FROM delta QUALIFY row_number() OVER (PARTITION BY book ORDER BY n DESC, first) = 1) m ON m.book = t.book),
+labels AS (SELECT book, pdf_index, CASE WHEN n % 8 = 0 THEN 'p-' || printed_page WHEN n % 4 = 2 AND pdf_index = 6 THEN ' ' ELSE printed_page END AS label FROM (SELECT *, CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT) AS n FROM book_pages) WHERE n % 2 = 0),
+cat AS (SELECT book, count(*) AS labels, bool_or(trim(label) <> '') AS said, min(pdf_index) FILTER (regexp_matches(trim(label), '^[0-9]+$')) AS first FROM labels GROUP BY book),
+numbering AS (SELECT t.book, CASE WHEN said AND labels >= total THEN 'pdf_page_labels' WHEN agreement >= 0.3 THEN 'footer_regex_offset' ELSE 'fallback_sequential' END AS method,
+  CASE WHEN said AND labels >= total THEN coalesce(cat.first - CAST(trim(l.label) AS INT), 0) WHEN agreement >= 0.3 THEN "offset" ELSE 0 END AS "offset"
+  FROM totals t LEFT JOIN cat ON cat.book = t.book LEFT JOIN labels l ON l.book = t.book AND l.pdf_index = cat.first JOIN modal ON modal.book = t.book)"""
+
+
+@query("modal_offset", 'SELECT book, "offset", agreement, agreement >= 0.3 AS accepted FROM modal', _NUMBERING)
 def modal_offset(spark, sf):
     return PG.modal_offset(_paged(spark, sf))
 
 
-@query("resolve_labels", "SELECT book, CASE WHEN CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT) % 2 = 0 THEN 'pdf_page_labels' ELSE 'footer_regex_offset' END AS method, 3 AS \"offset\" FROM totals", _PAGES)
+@query("resolve_labels", 'SELECT book, method, "offset" FROM numbering', _NUMBERING)
 def resolve_labels(spark, sf):
     return PG.resolve_labels(_paged(spark, sf), B.page_labels(spark, sf))
 
@@ -158,7 +170,10 @@ QUERIES["label_source"] = resolve_labels
 ORACLE_SQL["label_source"] = ORACLE_SQL["resolve_labels"]
 
 
-@query("printed_page", "SELECT book, pdf_index, CASE WHEN CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT) % 2 = 0 THEN printed_page WHEN is_front_matter AND pdf_index % 3 <> 0 THEN '[' || (pdf_index + 1) || ']' ELSE printed_page END AS printed_page, is_front_matter FROM book_pages", _PAGES)
+@query("printed_page", """SELECT book, pdf_index, printed_page, NOT regexp_matches(printed_page, '^[0-9]+$') AS is_front_matter FROM (
+  SELECT f.book, f.pdf_index, CASE method WHEN 'pdf_page_labels' THEN trim(label) WHEN 'fallback_sequential' THEN CAST(f.pdf_index + 1 AS VARCHAR)
+    ELSE coalesce(folio, CASE WHEN f.pdf_index - "offset" >= 1 THEN CAST(f.pdf_index - "offset" AS VARCHAR) ELSE '[' || (f.pdf_index + 1) || ']' END) END AS printed_page
+  FROM fol f JOIN numbering n ON n.book = f.book LEFT JOIN labels l ON l.book = f.book AND l.pdf_index = f.pdf_index)""", _NUMBERING)
 def printed_page(spark, sf):
     pages = _paged(spark, sf)
     labels = B.page_labels(spark, sf)
@@ -676,11 +691,27 @@ def retry_delay(spark, sf):
     return e.withColumn("wait", L.retry_delay(F.col("message"), F.col("attempt")))
 
 
-@query("book_status", """SELECT b.book, count(*) AS pages, count(*) FILTER (len(lines) > 0) AS pages_with_text, count(DISTINCT chapter_id) AS chapters, any_value(n) AS chunks,
-  arg_min(doc_id, pdf_index) AS first_source, any_value(words) AS overview_words
-  FROM book_pages b JOIN (SELECT book, count(*) AS n FROM chunks GROUP BY book) c ON c.book = b.book LEFT JOIN (SELECT book, len(list_filter(regexp_split_to_array(joined, '\\s+'), lambda x: x <> '')) AS words FROM roll) r ON r.book = b.book GROUP BY b.book""", _PAGES + "," + _CHUNKS + "," + _SUMMARY, True)
+_BOOK = "CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT)"
+_OVERVIEW = r"array_to_string(list_filter(regexp_split_to_array(joined, '\s+'), lambda w: w <> '')[1:40], ' ')"
+
+
+@query("book_status", rf"""SELECT b.book, b.pages, pages_with_text, extraction, method AS page_numbering, n."offset", CASE WHEN up AND down THEN 'top and bottom' WHEN up THEN 'header' WHEN down THEN 'footer' ELSE 'defaults' END AS margin_bands,
+  CASE {_BOOK.replace('book', 'b.book')} % 3 WHEN 0 THEN 'pdf_outline' WHEN 1 THEN 'heading_regex' ELSE 'none' END AS chapter_detection,
+  CASE {_BOOK.replace('book', 'b.book')} % 3 WHEN 0 THEN ch - 1 WHEN 1 THEN ch ELSE 0 END AS chapters, coalesce(c.chunks, 0) AS chunks, chapters_summarised, overview_words, 'pdf index = printed page + ' || n."offset" || ' (0-based)' AS offset_rule
+  FROM (SELECT book, count(*) AS pages, count(*) FILTER (len(lines) > 0) AS pages_with_text, CASE WHEN {_BOOK} % 4 = 3 THEN 'vision' ELSE 'text' END AS extraction FROM book_pages GROUP BY book) b
+  JOIN numbering n ON n.book = b.book JOIN cal2 ON cal2.book = b.book LEFT JOIN (SELECT book, count(*) AS ch FROM chapters GROUP BY book) k ON k.book = b.book
+  LEFT JOIN (SELECT book, count(*) AS chunks FROM chunks WHERE {_BOOK} % 7 <> 0 GROUP BY book) c ON c.book = b.book
+  LEFT JOIN (SELECT book, chapters AS chapters_summarised, len(list_filter(regexp_split_to_array({_OVERVIEW}, '\s+'), lambda x: x <> '')) AS overview_words FROM roll WHERE {_BOOK} % 5 <> 0) r ON r.book = b.book""",
+  _LAYOUT + "," + _EDGE + _NUMBERING.removeprefix(_PAGES) + "," + _CHUNKS + "," + _SUMMARY, True)
 def book_status(spark, sf):
-    return ST.book_status(B.book_pages(spark, sf), corpus_count(spark, sf), M.rollup(_summaries(spark, sf)))
+    """Every seventh book has no chunks, every fifth no summaries, a third no chapters."""
+    n = F.regexp_extract("book", "([0-9]+)$", 1).cast("int")
+    pages = B.book_pages(spark, sf).withColumn("source", F.when(n % 4 == 3, "vision").otherwise("text"))
+    headed = chapters_heading(spark, sf).where(n % 3 != 2)
+    chapters, methods = PG.choose_chapters(chapters_outline(spark, sf).where(n % 3 == 0), headed, B.totals(spark, sf))
+    s = _summaries(spark, sf).where(n % 5 != 0)
+    overviews = M.rollup(s).select("book", M.extractive(F.col("joined")).alias("overview"))
+    return ST.book_status(pages, resolve_labels(spark, sf), calibrate_margins(spark, sf), methods, chapters, corpus_count(spark, sf).where(n % 7 != 0), s, overviews)
 
 
 @query("index_report", """SELECT book, count(*) FILTER (is_front_matter) AS front, count(*) FILTER (NOT is_front_matter) AS body, min(len(lines)) FILTER (NOT is_front_matter) AS least, max(len(lines)) FILTER (NOT is_front_matter) AS most,
@@ -705,12 +736,19 @@ def roundtrip(spark, sf):
     return back.select("book", "pdf_index", (F.col("page.pdf_index") == F.col("pdf_index")).alias("same"))
 
 
-@query("coverage_checks", r"""SELECT book, empty_body, in_chapter, empty_body <= greatest(5, body // 25) AS few_empty, in_chapter >= 0.8 AS most_in_chapters, bare AS bare_chapters, thin AS thin_summaries FROM
-  (SELECT book, count(*) FILTER (NOT is_front_matter AND len(list_filter(lines, lambda x: trim(x) <> '')) = 0) AS empty_body, count(*) FILTER (NOT is_front_matter) AS body, count(*) FILTER (NOT is_front_matter AND chapter_id >= 0) / count(*) FILTER (NOT is_front_matter) AS in_chapter FROM book_pages GROUP BY book)
-  JOIN (SELECT book, count(*) FILTER (blank) AS bare FROM (SELECT book, chapter_id, bool_and(len(list_filter(lines, lambda x: trim(x) <> '')) = 0) AS blank FROM book_pages GROUP BY book, chapter_id) GROUP BY book) USING (book)
-  JOIN (SELECT book, count(*) FILTER (len(list_filter(regexp_split_to_array(summary, '\s+'), lambda x: x <> '')) <= 30) AS thin FROM summ GROUP BY book) USING (book)""", _PAGES + "," + _SUMMARY)
+@query("coverage_checks", rf"""SELECT b.book, empty_body, empty_body <= greatest(5, body // 25) AS few_empty, coalesce(c.chapters, 0) AS chapters, i / nullif(body, 0) AS in_chapter, i / nullif(body, 0) >= 0.8 AS most_in_chapters, coalesce(bare, 0) AS bare_chapters,
+  coalesce(told, 0) AS summaries, CASE WHEN told IS NOT NULL THEN told >= coalesce(c.chapters, 0) - 1 END AS all_summarised, thin AS thin_summaries, coalesce(has_overview, false) AS has_overview
+  FROM (SELECT book, count(*) FILTER (NOT is_front_matter AND len(lines) = 0) AS empty_body, count(*) FILTER (NOT is_front_matter) AS body, count(*) FILTER (NOT is_front_matter AND chapter_id >= 0 AND {_BOOK} % 3 <> 2) AS i FROM book_pages GROUP BY book) b
+  LEFT JOIN (SELECT c.book, count(*) AS chapters, count(*) FILTER (w.book IS NULL) AS bare FROM (SELECT book, id FROM chapters WHERE {_BOOK} % 3 <> 2) c LEFT JOIN (SELECT DISTINCT book, chapter_id AS id FROM book_pages WHERE len(lines) > 0) w ON w.book = c.book AND w.id = c.id GROUP BY c.book) c ON c.book = b.book
+  LEFT JOIN (SELECT book, count(*) AS told, count(*) FILTER (len(list_filter(regexp_split_to_array(summary, '\s+'), lambda x: x <> '')) <= 30) AS thin FROM summ WHERE {_BOOK} % 5 <> 0 AND {_BOOK} % 3 <> 2 GROUP BY book) t ON t.book = b.book
+  LEFT JOIN (SELECT book, trim({_OVERVIEW}) <> '' AS has_overview FROM roll WHERE {_BOOK} % 5 <> 0 AND {_BOOK} % 3 <> 2) o ON o.book = b.book""", _PAGES + "," + _SUMMARY)
 def coverage_checks(spark, sf):
-    return ST.coverage(B.book_pages(spark, sf), _summaries(spark, sf))
+    """A third of the books has no chapters, and every fifth of the others no summaries."""
+    n = F.regexp_extract("book", "([0-9]+)$", 1).cast("int")
+    pages = B.book_pages(spark, sf).withColumn("chapter_id", F.when(n % 3 != 2, F.col("chapter_id")).otherwise(-1))
+    s = _summaries(spark, sf).where((n % 5 != 0) & (n % 3 != 2))
+    overviews = M.rollup(s).select("book", M.extractive(F.col("joined")).alias("overview"))
+    return ST.coverage(pages, B.chapters(spark, sf).where(n % 3 != 2), s, overviews)
 
 
 @query("collection_name", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'book_coding' WHEN 1 THEN 'book_novel' WHEN 2 THEN 'book_manga' ELSE 'book_coding' END AS name FROM documents")
@@ -734,9 +772,8 @@ def history_block(spark, sf):
     return history_window(spark, sf).select("conv_id", ST.history_block(F.col("history")).alias("block"))
 
 
-@query("ingest_message", """SELECT book, 'Read ' || total || ' pages into ' || n || ' chunks (' || CASE WHEN CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT) % 2 = 0 THEN 'pdf_page_labels' ELSE 'footer_regex_offset' END
-  || ', offset 3). Summaries of ' || c || ' chapters: ' || c || ' new, 0 reused.' AS message
-  FROM totals JOIN (SELECT book, count(*) AS n FROM chunks GROUP BY book) USING (book) JOIN (SELECT book, count(*) AS c FROM chapters GROUP BY book) USING (book)""", _PAGES + "," + _CHUNKS, True)
+@query("ingest_message", """SELECT totals.book, 'Read ' || total || ' pages into ' || n || ' chunks (' || method || ', offset ' || "offset" || '). Summaries of ' || c || ' chapters: ' || c || ' new, 0 reused.' AS message
+  FROM totals JOIN numbering ON numbering.book = totals.book JOIN (SELECT book, count(*) AS n FROM chunks GROUP BY book) k ON k.book = totals.book JOIN (SELECT book, count(*) AS c FROM chapters GROUP BY book) ch ON ch.book = totals.book""", _NUMBERING + "," + _CHUNKS, True)
 def ingest_message(spark, sf):
     chapters = B.chapters(spark, sf).groupBy("book").agg(F.count("*").alias("chapters"))
     books = B.totals(spark, sf).withColumnRenamed("total", "pages").join(corpus_count(spark, sf), "book").join(resolve_labels(spark, sf), "book").join(chapters, "book")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.operators import vision as V
+
 #: The endings of images and of readable archives.
 IMAGES = (".jpg", ".jpeg", ".png")
 ARCHIVES = (".cbz", ".zip")
@@ -35,31 +37,50 @@ def dimensions(data: bytes) -> tuple[int, int]:
 
 
 def members(spark: SparkSession, path: str, with_bytes: bool = False) -> DataFrame:
-    """(archive, member, width, height[, bytes]) of the images in the archives at ``path``.
+    """(archive, member, width, height, error[, bytes]) of the images in the archives at ``path``.
 
-    An archive that can't be read gives no rows, one of another kind is an error.
+    An archive is read whole or not at all: one that is no zip file, is encrypted, or has a member that can't be read gives
+    one row with the ``error`` and no member, so that no later step numbers a part of a book as if nothing were lost.
     """
-    schema = "archive string, member string, width int, height int" + ", bytes binary" * with_bytes
+    schema = "archive string, member string, width int, height int, error string" + ", bytes binary" * with_bytes
+
+    def opened(name: str, content: bytes) -> list[tuple]:
+        if not name.lower().endswith(ARCHIVES):
+            raise ValueError(f"not a zip archive: {name}")
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            images = sorted((m for m in z.namelist() if m.lower().endswith(IMAGES)), key=str.lower)
+            return [(name, m, *dimensions(data), None, *[data] * with_bytes) for m in images for data in [z.read(m)]]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for name, content in zip(b["path"], b["content"], strict=True):
-                name = os.path.basename(name)
-                if not name.lower().endswith(ARCHIVES):
-                    raise ValueError(f"not a zip archive: {name}")
+            for name, content in zip(b["path"].map(os.path.basename), b["content"], strict=True):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        for m in sorted((m for m in z.namelist() if m.lower().endswith(IMAGES)), key=str.lower):
-                            data = z.read(m)
-                            rows.append((name, m, *dimensions(data), *[data] * with_bytes))
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(rows, columns=["archive", "member", "width", "height", *["bytes"] * with_bytes])
+                    rows = opened(name, content)
+                except Exception as e:  # noqa: BLE001 - whatever a damaged file raises is that file's error row
+                    rows = [(name, None, None, None, f"{type(e).__name__}: {e}", *[None] * with_bytes)]
+                yield pd.DataFrame(rows, columns=["archive", "member", "width", "height", "error", *["bytes"] * with_bytes]).astype({"width": "Int32", "height": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, schema)
 
 
+def failed(members_: DataFrame) -> DataFrame:
+    """(archive, error) of the archives that could not be read."""
+    return members_.where("error IS NOT NULL").select("archive", "error")
+
+
+def whole(members_: DataFrame) -> DataFrame:
+    """The members of the archives that were read, for ``manifest``."""
+    return members_.where("error IS NULL").drop("error")
+
+
+def inspected(members_: DataFrame) -> DataFrame:
+    """Each member's name, size, ratio (0 without a height), whether it is wider than high, whether it looks like a cover, and the page numbers it declares."""
+    first, second = V.declared(F.col("member"))
+    ratio = F.when(F.col("height") > 0, F.round(F.col("width") / F.col("height"), 2)).otherwise(0.0)
+    pages = F.array_compact(F.array(first, second))
+    return members_.select("archive", "member", "width", "height", ratio.alias("ratio"), (F.col("width") > F.col("height")).alias("landscape"), V.is_cover(F.col("member")).alias("cover"), pages.alias("declared"))
+
+
 def in_order(archives: DataFrame) -> DataFrame:
     """Archives by leading number, those without last, then by name."""
     lead = F.coalesce(F.nullif(F.regexp_extract("archive", r"^\s*([0-9]+)", 1), F.lit("")).cast("long"), F.lit(1_000_000_000))

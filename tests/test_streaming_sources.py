@@ -51,8 +51,9 @@ def test_archive_members(spark, tmp_path):
         for name, data in (("b.PNG", png), ("a.jpg", jpeg), ("x.txt", b"no")):
             z.writestr(name, data)
     (tmp_path / "2 one.cbz").write_bytes(held.getvalue())
-    got = [tuple(r) for r in archives.members(spark, str(tmp_path / "*.cbz")).collect()]
+    got = [tuple(r) for r in archives.whole(archives.members(spark, str(tmp_path / "*.cbz"))).collect()]
     assert got == [("2 one.cbz", "a.jpg", 50, 40), ("2 one.cbz", "b.PNG", 30, 20)]
+    assert [tuple(r) for r in archives.inspected(archives.members(spark, str(tmp_path / "*.cbz"))).select("member", "ratio", "landscape", "cover", "declared").collect()] == [("a.jpg", 1.25, True, False, []), ("b.PNG", 1.5, True, False, [])]
     names = spark.createDataFrame([("z.cbz",), ("10 a.cbz",), ("2 b.cbz",)], "archive string")
     assert [r.archive for r in archives.in_order(names).collect()] == ["2 b.cbz", "10 a.cbz", "z.cbz"]
 
@@ -62,13 +63,41 @@ def test_settings():
     assert (s.chunk_chars, s.header_zone, s.hybrid_retrieval, s.rewrite_followups) == (100, 0.08, False, True)
 
 
-def test_corrupt_archives_give_no_rows(spark, tmp_path):
-
-
+def test_damaged_archives_give_an_error_and_no_part_of_a_book(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (7).to_bytes(4, "big") + (9).to_bytes(4, "big")
     (tmp_path / "bad.cbz").write_bytes(b"not a zip at all")
-    with zipfile.ZipFile(tmp_path / "good.cbz", "w") as z:
-        z.writestr("a.png", b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (7).to_bytes(4, "big") + (9).to_bytes(4, "big"))
-    assert [tuple(r) for r in archives.members(spark, str(tmp_path)).collect()] == [("good.cbz", "a.png", 7, 9)]
+    (tmp_path / "notes.txt").write_bytes(b"no archive")
+    for name in ("good.cbz", "crc.cbz", "deflated.cbz", "locked.cbz"):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_DEFLATED if name == "deflated.cbz" else zipfile.ZIP_STORED) as z:
+            for k in range(5):
+                z.writestr(f"p{k}.png", png + bytes([k]) * 400)
+    # the third member's bytes change, so its checksum is wrong; a compressed one breaks in the middle; the fourth archive says that it is encrypted
+    for name, change in (("crc.cbz", lambda d, at: d[:at] + b"!" + d[at + 1 :]), ("deflated.cbz", lambda d, at: d[:at] + b"\xff\xff\xff" + d[at + 3 :])):
+        data = (tmp_path / name).read_bytes()
+        at = data.index(b"p2.png") + 6 + (40 if name == "crc.cbz" else 1)
+        (tmp_path / name).write_bytes(change(data, at))
+    data = bytearray((tmp_path / "locked.cbz").read_bytes())
+    for mark, off in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        at = data.find(mark)
+        while at >= 0:
+            data[at + off] |= 1
+            at = data.find(mark, at + 1)
+    (tmp_path / "locked.cbz").write_bytes(bytes(data))
+    got = archives.members(spark, str(tmp_path))
+    assert {r.archive for r in archives.failed(got).collect()} == {"bad.cbz", "notes.txt", "crc.cbz", "deflated.cbz", "locked.cbz"}
+    assert sorted(tuple(r) for r in archives.whole(got).collect()) == [("good.cbz", f"p{k}.png", 7, 9) for k in range(5)]
+    assert {r.member for r in got.where("error IS NOT NULL").collect()} == {None}
+
+
+def test_manifest_goes_to_lines_of_json_and_back(spark, small, tmp_path):
+    from pagewright.operators import vision
+    from pagewright.plans import binding
+
+    pages = vision.manifest(binding.members(spark, small))
+    archives.write_manifest(pages, str(tmp_path / "m"))
+    back = archives.read_manifest(spark, str(tmp_path / "m"))
+    rows = lambda df: sorted(tuple(r[c] for c in ("pdf_page", "issue", "source_image", "from_spread", "declared_page")) for r in df.collect())
+    assert rows(back) == rows(pages) and back.count() > 100
 
 
 def test_answers_on_several_pages_and_their_cache(spark, tmp_path):
