@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,10 @@ from pagewright.operators import routing as Q
 from pagewright.operators import status as ST
 from pagewright.operators import summaries as M
 from pagewright.operators import vision as G
+from pagewright.operators.index import KeptIndex
 from pagewright.plans import binding as B
 from pagewright.sources import html as H
-from pagewright.sources.tables import kept
+from pagewright.sources.tables import kept, shared_folder, stamp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,6 +68,9 @@ lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 """
 
 
+_BOOK = "CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT)"
+
+
 def query(name: str, sql: str | None = None, ctes: str = "", recursive: bool = False):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
@@ -307,9 +312,21 @@ def _corpus(spark, sf):
     return B.chunks(spark, sf).where("NOT is_index")
 
 
-def _index(spark, sf, embedder=R.HASHED):
-    """The searchable chunks, analysed and written once for all that a query asks of them."""
-    return kept(R.index(_corpus(spark, sf).select("book", "chunk", "pdf_index", "chapter_id", "text"), embedder))
+_CHUNK_COLUMNS = ("book", "chunk", "pdf_index", "chapter_id", "text")
+
+
+def _kept_index(spark, sf) -> KeptIndex:
+    """The session's index of the documents at ``sf``: another folder for each session and each state of the table."""
+    of = hashlib.sha256(f"{spark.sparkContext.applicationId} {stamp(spark, f'{sf}/documents.parquet')}".encode()).hexdigest()[:32]
+    return KeptIndex(spark, shared_folder(spark, f"index-{of}"))
+
+
+def _index(spark, sf):
+    """The searchable chunks: the first query analyses and writes them, all later ones read that index."""
+    index = _kept_index(spark, sf)
+    if not index.generations():
+        index.ingest(_corpus(spark, sf).select(*_CHUNK_COLUMNS))
+    return index.open(index.generations()[0])
 
 
 def _questions(spark, sf):
@@ -323,8 +340,16 @@ def bm25_stats(spark, sf):
 
 @query("bm25_topk", "SELECT query_id, chunk, rank, score FROM lex", _PAGES + "," + _CHUNKS + "," + _BM25, True)
 def bm25_topk(spark, sf):
-    index = _index(spark, sf, None)
-    return R.bm25_topk(R.postings(index), R.bm25_stats(index), _questions(spark, sf)).select("query_id", "chunk", "rank", "score")
+    return R.bm25_topk(_index(spark, sf), _questions(spark, sf)).select("query_id", "chunk", "rank", "score")
+
+
+@query("index_replaced", "SELECT query_id, chunk, rank, score FROM lex", _PAGES + "," + _CHUNKS + "," + _BM25.replace("NOT is_index", f"NOT is_index AND NOT ({_BOOK} % 2 = 1 AND pdf_index % 2 = 1)"), True)
+def index_replaced(spark, sf):
+    """Lexical search after every odd book was ingested anew with half of its pages."""
+    first, index = _index(spark, sf), _kept_index(spark, sf)
+    if len(index.generations()) < 2:
+        index.ingest(first.chunks.where((F.regexp_extract("book", "([0-9]+)$", 1).cast("int") % 2 == 1) & (F.col("pdf_index") % 2 == 0)).select(*_CHUNK_COLUMNS))
+    return R.bm25_topk(index.open(), _questions(spark, sf)).select("query_id", "chunk", "rank", "score")
 
 
 @query("dense_topk", """SELECT query_id, chunk, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM (
@@ -367,7 +392,7 @@ def rrf_promoted(spark, sf):
 @query("context_block", "SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN chunks USING (chunk) GROUP BY query_id", _ALL, True)
 def context_block(spark, sf):
     index = _index(spark, sf)
-    return R.context(R.search(index, _questions(spark, sf))[0], index)
+    return R.context(R.search(index, _questions(spark, sf))[0], index.chunks)
 
 
 QUERIES["semantic_context"] = context_block
@@ -392,7 +417,7 @@ def _ranks(spark, sf):
     pages = B.book_pages(spark, sf).select("book", "pdf_index", F.array_join("lines", "\n").alias("t"))
     gold = _questions(spark, sf).join(pages, "book").where(F.contains("t", F.col("text"))).select("query_id", "book", "pdf_index").distinct()
     index = _index(spark, sf)
-    ranked = R.search(index, _questions(spark, sf))[0].join(index.select("chunk", "book", "pdf_index"), "chunk")
+    ranked = R.search(index, _questions(spark, sf))[0].join(index.chunks.select("chunk", "book", "pdf_index"), "chunk")
     return R.rank_of_hit(ranked, gold)
 
 
@@ -691,7 +716,6 @@ def retry_delay(spark, sf):
     return e.withColumn("wait", L.retry_delay(F.col("message"), F.col("attempt")))
 
 
-_BOOK = "CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT)"
 _OVERVIEW = r"array_to_string(list_filter(regexp_split_to_array(joined, '\s+'), lambda w: w <> '')[1:40], ' ')"
 
 
@@ -831,7 +855,7 @@ def answer_dispatch(spark, sf):
     key = F.concat_ws("/", "question_id", "book").alias("query_id")
 
     def passages(of: DataFrame, k: int, by_chapter: bool = False) -> DataFrame:
-        found = R.context(R.search(index, of, k, by_chapter=by_chapter)[0], index).withColumn("x", F.split("query_id", "/"))
+        found = R.context(R.search(index, of, k, by_chapter=by_chapter)[0], index.chunks).withColumn("x", F.split("query_id", "/"))
         return found.select(F.get("x", F.lit(0)).alias("question_id"), F.get("x", F.lit(1)).alias("book"), "context")
 
     of = kept(routed(asked, chapters))

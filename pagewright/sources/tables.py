@@ -1,4 +1,4 @@
-"""Tables that a plan writes once and reads several times."""
+"""Tables that a plan writes once and reads several times, and small files beside them."""
 
 from __future__ import annotations
 
@@ -8,24 +8,30 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the folder that ``spark.checkpoint.dir`` names, and read again.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder below the one that ``spark.checkpoint.dir`` names.
 
     A local session that names none gets a temporary folder, which goes when Python ends; a cluster
     without the setting is refused, as its executors share no local disk.
     """
-    spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    at = os.path.join(root or os.path.join(tempfile.gettempdir(), "pagewright"), uuid.uuid4().hex)
+    at = os.path.join(root or os.path.join(tempfile.gettempdir(), "pagewright"), name)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
+    return at
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in a ``shared_folder`` of its own, and read again."""
+    at = shared_folder(df.sparkSession, uuid.uuid4().hex)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def added(df: DataFrame, to: DataFrame) -> DataFrame:
@@ -33,3 +39,50 @@ def added(df: DataFrame, to: DataFrame) -> DataFrame:
     at = to.inputFiles()[0].rsplit("/", 1)[0]
     df.select(*to.columns).write.mode("append").parquet(at)
     return df.sparkSession.read.schema(to.schema).parquet(at)
+
+
+class Files:
+    """Small files and folders at any path that Spark can write to."""
+
+    def __init__(self, spark: SparkSession, at: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.at = at
+        self.fs = self.path(at).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+    def names(self, folder: str) -> list[str]:
+        """Names of what is in a folder, in order; none where it is missing."""
+        try:
+            return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(f"{self.at}/{folder}")))
+        except Py4JJavaError as e:
+            if "FileNotFoundException" in e.java_exception.getClass().getName():
+                return []
+            raise
+
+    def create(self, name: str, text: str) -> bool:
+        """Write a file that must not be there yet; false if it is. Of several writers one succeeds."""
+        try:
+            out = self.fs.create(self.path(f"{self.at}/{name}"), False)
+        except Py4JJavaError:
+            if self.fs.exists(self.path(f"{self.at}/{name}")):
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def read(self, name: str, most: int = 4096) -> str:
+        """The first ``most`` bytes of a file."""
+        source = self.fs.open(self.path(f"{self.at}/{name}"))
+        data = source.readNBytes(most)
+        source.close()
+        return bytes(data).decode()
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path(f"{self.at}/{name}"), True)
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """When what is at ``path`` was changed, and how long it is: another text after each change."""
+    files = Files(spark, path)
+    status, summary = files.fs.getFileStatus(files.path(path)), files.fs.getContentSummary(files.path(path))
+    return f"{path} {status.getModificationTime()} {summary.getLength()} {summary.getFileCount()}"
