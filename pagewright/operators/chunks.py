@@ -2,59 +2,72 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.functions import patterns as P
+from pagewright.operators.vision import sounds_only
 
 
-def spans(lines: Column, most: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVERLAP_LINES) -> Column:
-    """array<struct<s, e>> of half-open line spans.
+def _spans(sizes: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Half-open spans over lines of these sizes: where each possible span would end is one binary search on the running sums, then the starts are followed once."""
+    n, sums = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+    ends = np.maximum(np.searchsorted(sums, sums[:-1] + most, side="right") - 1, np.arange(1, n + 1)).tolist()
+    out, s = [], 0
+    while s < n:
+        out.append((s, ends[s]))
+        if ends[s] >= n:
+            break
+        s = max(ends[s] - overlap, s + 1)
+    return out
 
-    One fold over the lines: a span is closed before the line that would take it past ``most``
-    characters (a newline counted for each line) and the next begins ``overlap`` lines before
-    its end, one line on at least. Sizes are differences of a running sum, so the fold carries
-    places only.
-    """
-    sums = F.aggregate(
-        lines,
-        F.array(F.lit(0)),
-        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)),
-    )
-
-    def closed(s: Column, e: Column) -> Column:
-        return F.array(F.struct(s.alias("s"), e.alias("e")))
 
-    def over(total: Column) -> Column:
-        n = F.size(total) - 1
-        none = F.array().cast("array<struct<s:int,e:int>>")
+def pieces(lines: Column, most: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVERLAP_LINES) -> Column:
+    """array<struct<s, e, body>> of half-open line spans and their lines, joined by newlines; null lines are empty.
 
-        def step(a: Column, i: Column) -> Column:
-            full = (F.get(total, i + 1) - F.get(total, a["s"]) > most) & (i > a["s"])
-            # closing may leave a start from which the overlap and the new line are still too long
-            first = F.greatest(i - overlap, a["s"] + 1)
-            closes = F.aggregate(
-                F.sequence(F.lit(0), F.lit(overlap)),
-                F.struct(first.alias("s"), closed(a["s"], i).alias("d")),
-                lambda b, _: F.when((F.get(total, i + 1) - F.get(total, b["s"]) > most) & (i > b["s"]), F.struct(F.greatest(i - overlap, b["s"] + 1).alias("s"), F.concat(b["d"], closed(b["s"], i)).alias("d"))).otherwise(b),
-            )
-            return F.when(full, F.struct(closes["s"].alias("s"), F.concat(a["d"], closes["d"]).alias("d"))).otherwise(a)
+    A span is closed before the line that would take it past ``most`` characters (a newline counted for
+    each line) and the next begins ``overlap`` lines before its end, one line on at least.
+    """
 
-        folded = F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit(0).alias("s"), none.alias("d")), step, lambda a: F.concat(a["d"], closed(a["s"], n)))
-        return F.when(n > 0, folded).otherwise(none)
+    def cut(pages: pa.Array) -> pa.Array:
+        flat = pc.fill_null(pages.flatten(), "")
+        sizes = np.asarray(pc.utf8_length(flat), dtype=np.int64) + 1
+        counts = np.asarray(pc.fill_null(pc.list_value_length(pages), 0))
+        ends, first, s, e, body = [0], 0, [], [], []
+        for n in counts.tolist():
+            text = flat.slice(first, n).to_pylist()
+            for a, b in _spans(sizes[first : first + n], most, overlap):
+                s.append(a)
+                e.append(b)
+                body.append("\n".join(text[a:b]))
+            ends.append(len(s))
+            first += n
+        made = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(body, pa.string())], ["s", "e", "body"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
 
-    return F.transform(F.array(sums), over)[0]
+    return F.arrow_udf(cut, "array<struct<s:int,e:int,body:string>>")(lines)
 
 
 def chunk(pages: DataFrame, most: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVERLAP_LINES) -> DataFrame:
-    """Chunks of ``pages`` with header, body, text (header and body) and their metadata."""
-    rows = pages.withColumn("_s", F.explode(spans(F.col("lines"), most, overlap)))
-    body = F.array_join(F.slice("lines", F.col("_s.s") + 1, F.col("_s.e") - F.col("_s.s")), "\n")
-    header = F.format_string("[Source: PDF Viewer Page %d | Printed Page %s | Lines %d-%d | %s]", F.col("pdf_index") + 1, F.col("printed_page"), F.col("_s.s") + 1, F.col("_s.e"), F.col("book"))
+    """Chunks of ``pages`` with header, body, text (header and body) and their metadata.
+
+    ``filename``, ``source`` and ``chapter_title`` come from the pages where they have such columns, else they are null, ``text`` and empty.
+    """
+    given = lambda c, other: (F.coalesce(c, other) if c in pages.columns else other).alias(c)
+    page = pages.select(
+        "book", "pdf_index", "printed_page", "is_front_matter", "is_index", "chapter_id", "lines",
+        given("filename", F.lit(None).cast("string")), given("source", F.lit("text")), given("chapter_title", F.lit("")),
+    )
+    page = page.withColumn("is_sfx_only", (F.col("source") == "vision") & sounds_only(F.col("lines"))).withColumn("_p", pieces(F.col("lines"), most, overlap)).drop("lines")
+    rows = page.select("*", F.inline("_p")).drop("_p")
+    header = F.format_string("[Source: PDF Viewer Page %d | Printed Page %s | Lines %d-%d | %s]", F.col("pdf_index") + 1, F.col("printed_page"), F.col("s") + 1, F.col("e"), F.col("book"))
     number = F.when(F.rlike("printed_page", F.lit("^[0-9]+$")), F.expr("try_cast(printed_page AS INT)")).otherwise(-1)
     out = rows.select(
-        "book", "pdf_index", (F.col("pdf_index") + 1).alias("pdf_viewer_page"), "printed_page", number.alias("printed_page_num"),
-        (F.col("_s.s") + 1).alias("line_start"), F.col("_s.e").alias("line_end"), "is_front_matter", "is_index", "chapter_id",
-        header.alias("header"), body.alias("body"),
-    )
+        "book", "filename", "pdf_index", (F.col("pdf_index") + 1).alias("pdf_viewer_page"), "printed_page", number.alias("printed_page_num"),
+        (F.col("s") + 1).alias("line_start"), F.col("e").alias("line_end"), "is_front_matter", "is_index", "is_sfx_only", "chapter_id", "chapter_title", "source",
+        header.alias("header"), "body",
+    )
     return out.withColumn("text", F.concat("header", F.lit("\n"), "body"))

@@ -203,15 +203,26 @@ def choose_chapters(outlined: DataFrame, headed: DataFrame, totals: DataFrame) -
     return outlined.unionByName(headed.join(outlined.select("book").distinct(), "book", "left_anti")), books.select("book", method.alias("method"))
 
 
+#: Pages of a range, inside which pages and chapters meet.
+RANGE_PAGES = 256
+
+
 def assign_chapters(pages: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Each page's last chapter whose range holds it, -1 where none does.
+    """Each page's last chapter whose range holds it, -1 where none does; chapters may overlap, and one without a start or an end holds none.
 
-    Chapters of a book are few next to its pages; the join is by book, with the range as a rest.
+    Chapters are cut at the ends of ranges of RANGE_PAGES pages, up to the book's last page. A range has its pieces in one row: a piece a
+    chapter that begins or ends there, and one for all that hold it whole (of equal pieces the last chapter counts). So a page
+    meets the few pieces of its own range, and a book of any length is many ranges.
     """
-    c = chapters.select("book", F.col("id").alias("_id"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    inside = pages.select(*_PAGE_KEY).join(c, "book").where(F.col("pdf_index").between(F.col("_start"), F.col("_end")))
-    found = inside.groupBy(*_PAGE_KEY).agg(F.max("_id").alias("chapter_id"))
-    return pages.join(found, list(_PAGE_KEY), "left").withColumn("chapter_id", F.coalesce("chapter_id", F.lit(-1)))
+    w = RANGE_PAGES
+    last = pages.groupBy("book").agg(F.max("pdf_index").alias("_last"))
+    c = chapters.where("start IS NOT NULL AND end IS NOT NULL").join(last, "book").select("book", F.col("id").alias("_id"), F.greatest(F.col("start"), F.lit(0)).alias("_s"), F.least("end", "_last").alias("_e"))
+    c = c.where(F.col("_s") <= F.col("_e")).withColumn("_range", F.explode(F.expr(f"sequence(_s div {w}, _e div {w})")))
+    pieces = c.groupBy("book", "_range", F.greatest("_s", F.col("_range") * w).alias("s"), F.least("_e", F.col("_range") * w + w - 1).alias("e")).agg(F.max("_id").alias("id"))
+    ranges = pieces.groupBy("book", "_range").agg(F.collect_list(F.struct("s", "e", "id")).alias("_pieces"))
+    rows = pages.drop("chapter_id").withColumn("_range", F.expr(f"pdf_index div {w}")).join(ranges, ["book", "_range"], "left")
+    over = F.filter("_pieces", lambda x: F.col("pdf_index").between(x["s"], x["e"]))
+    return rows.withColumn("chapter_id", F.coalesce(F.array_max(F.transform(over, lambda x: x["id"])), F.lit(-1))).drop("_range", "_pieces")
 
 
 def chapter_texts(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,13 @@ from pagewright.operators import answers as A
 from pagewright.operators import conversation as V
 from pagewright.operators import limits as L
 from pagewright.operators import pages as PG
+from pagewright.operators import phrases as PH
 from pagewright.operators import retrieval as R
 from pagewright.operators import routing as Q
 from pagewright.operators import status as ST
 from pagewright.operators import summaries as M
 from pagewright.operators import vision as G
+from pagewright.operators.cells import Cells
 from pagewright.operators.index import KeptIndex
 from pagewright.plans import binding as B
 from pagewright.sources import html as H
@@ -359,6 +362,14 @@ def dense_topk(spark, sf):
     return R.dense_topk(v, v.where("chunk % 50 = 0").withColumnRenamed("chunk", "query_id")).select("query_id", "chunk", "rank", "score")
 
 
+@query("dense_cells", ORACLE_SQL["dense_topk"])
+def dense_cells(spark, sf):
+    """The same search over vectors in cells, most of which need not be read."""
+    v = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
+    cells = Cells(spark, shared_folder(spark, f"cells-{uuid.uuid4().hex}")).write(v)
+    return cells.topk(v.where("chunk % 50 = 0").withColumnRenamed("chunk", "query_id"))[0].select("query_id", "chunk", "rank", "score")
+
+
 _EMBED = """list_transform(range(64), lambda b: coalesce(list_sum(list_transform(list_filter({0}, lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64 = b), lambda t: CASE WHEN CAST('0x' || substr(md5(t), 9, 1) AS INT) < 8 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0.0::DOUBLE))"""
 
 
@@ -414,8 +425,8 @@ ranks AS (SELECT g.query_id, h.rank FROM (SELECT DISTINCT query_id FROM gold) g
 
 
 def _ranks(spark, sf):
-    pages = B.book_pages(spark, sf).select("book", "pdf_index", F.array_join("lines", "\n").alias("t"))
-    gold = _questions(spark, sf).join(pages, "book").where(F.contains("t", F.col("text"))).select("query_id", "book", "pdf_index").distinct()
+    pages = B.book_pages(spark, sf).select("book", "pdf_index", F.array_join("lines", "\n").alias("text"))
+    gold = PH.occurrences(pages, _questions(spark, sf).select(F.col("query_id").alias("phrase_id"), "book", F.col("text").alias("phrase"))).withColumnRenamed("phrase_id", "query_id").distinct()
     index = _index(spark, sf)
     ranked = R.search(index, _questions(spark, sf))[0].join(index.chunks.select("chunk", "book", "pdf_index"), "chunk")
     return R.rank_of_hit(ranked, gold)
@@ -812,7 +823,9 @@ def session_state(spark, sf):
 @query("diagnose_hits", """SELECT b.item_id, count(c.chunk) AS hits, count(c.chunk) FILTER (c.is_front_matter OR c.is_index) AS excluded FROM benchmark b LEFT JOIN chunks c ON c.book = 'src' || (b.item_id % 20) AND contains(lower(c.body), lower(left(b.text, 30))) GROUP BY b.item_id""", _PAGES + "," + _CHUNKS, True)
 def diagnose_hits(spark, sf):
     q = _questions(spark, sf).select(F.col("query_id").alias("item_id"), "book", F.lower(F.substring("text", 1, 30)).alias("lit"))
-    hit = q.join(B.chunks(spark, sf), "book").where(F.contains(F.lower("body"), F.col("lit"))).groupBy("item_id").agg(F.count("*").alias("hits"), F.count_if(F.col("is_front_matter") | F.col("is_index")).alias("excluded"))
+    bodies = B.chunks(spark, sf).select("book", "chunk", (F.col("is_front_matter") | F.col("is_index")).alias("out"), F.lower("body").alias("text"))
+    met = PH.occurrences(bodies, q.select(F.col("item_id").alias("phrase_id"), "book", F.col("lit").alias("phrase")), keys=("chunk", "out"))
+    hit = met.groupBy(F.col("phrase_id").alias("item_id")).agg(F.count("*").alias("hits"), F.count_if("out").alias("excluded"))
     return q.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("excluded", F.lit(0)).alias("excluded"))
 
 
@@ -887,7 +900,8 @@ def diagnose_verdict(spark, sf):
     usable = B.chunks(spark, sf).where("NOT is_index AND NOT is_front_matter")
     q = _questions(spark, sf).withColumnRenamed("query_id", "item_id")
     literal = F.substring("text", 1, 30)
-    target = q.select("item_id", "book", F.lower(literal).alias("lit")).join(usable, "book").where(F.contains(F.lower("body"), F.col("lit"))).select("item_id", "pdf_index").distinct()
+    said = q.select(F.col("item_id").alias("phrase_id"), "book", F.lower(literal).alias("phrase"))
+    target = PH.occurrences(usable.select("book", "pdf_index", F.lower("body").alias("text")), said).select(F.col("phrase_id").alias("item_id"), "pdf_index").distinct()
     v = usable.select("book", "chunk", R.HASHED.passages(F.col("text")).alias("vector"))
     asked = lambda text, k: q.select(F.struct("item_id", F.lit(k).alias("k")).alias("query_id"), "book", R.HASHED.questions(text).alias("vector"))
     near = R.dense_topk(v, asked(F.col("text"), 0).unionByName(asked(literal, 1)), 25, ("book",)).where((F.col("query_id.k") == 0) | (F.col("rank") <= 8))

@@ -63,7 +63,7 @@ def test_chunks_equal_a_greedy_loop(spark):
     r = random.Random(1)
     pages_ = [["x" * r.choice([0, 5, 80, 300, 700, 899, 900, 1200]) for _ in range(r.randrange(0, 25))] for _ in range(300)] + [[]]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages_)], "i int, lines array<string>")
-    got = {row.i: [(x.s, x.e) for x in row.s] for row in df.select("i", chunks.spans(F.col("lines")).alias("s")).collect()}
+    got = {row.i: [(x.s, x.e) for x in row.s] for row in df.select("i", chunks.pieces(F.col("lines")).alias("s")).collect()}
     assert got == {i: greedy(p) for i, p in enumerate(pages_)}
 
 
