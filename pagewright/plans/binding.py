@@ -45,7 +45,7 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels in the catalogue of every other book: one blank among them in every fourth, no arabic one in every eighth."""
-    n = F.regexp_extract("book", "([0-9]+)$", 1).cast("int")
+    n = F.regexp_extract("book", "([0-9]+)$", 1).try_cast("int")
     label = F.when(n % 8 == 0, F.concat(F.lit("p-"), "printed_page")).when((n % 4 == 2) & (F.col("pdf_index") == 6), " ").otherwise(F.col("printed_page"))
     return book_pages(spark, sf_dir).where(n % 2 == 0).select("book", "pdf_index", label.alias("label"))
 
@@ -108,17 +108,26 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations")
 
 
-QUESTIONS = (
-    "What does page 34 line 5 say?", "read me line 12 of page 200", "What happened on page 23?", "Summarize the entire book",
-    "What are the main themes?", "What is the best problem in the book?", "Explain chapter 4", "What happens in chapter VII?",
-    "What did I just ask you?", "Who is the main character?", "pages 3 to 9", "pages 40-12", "page 110, 64 and 171", "pages 1 through 90",
-    "what is on pg. 7", "line 3 from p. 9", "Step. 5 of it", "page number 120", "pages 5, 5", "", "   ", "chapter 12 overall",
-    "Plot summary please", "my last question was?", "Is there a page 12345?",
-)
+#: A question for each page, an expression in SQL that both engines read.
+ASKED = """CASE pdf_index % 25
+  WHEN 0 THEN 'What does page ' || CAST(pdf_index + 1 AS STRING) || ' line ' || CAST(pdf_index % 7 + 1 AS STRING) || ' say?'
+  WHEN 1 THEN 'read me line ' || CAST(pdf_index % 7 + 1 AS STRING) || ' of page ' || CAST(pdf_index + 1 AS STRING)
+  WHEN 2 THEN 'What happened on page ' || CAST(pdf_index + 1 AS STRING) || '?' WHEN 3 THEN 'Summarize the entire book' WHEN 4 THEN 'What are the main themes?' WHEN 5 THEN left(text, 60)
+  WHEN 6 THEN 'Explain chapter ' || CAST(chapter_id + 1 AS STRING) WHEN 7 THEN 'What happens in chapter VII?' WHEN 8 THEN 'What did I just ask you?'
+  WHEN 9 THEN 'pages ' || CAST(pdf_index + 1 AS STRING) || ' to ' || CAST(pdf_index + 7 AS STRING) WHEN 10 THEN 'pages ' || CAST(pdf_index + 29 AS STRING) || '-' || CAST(pdf_index + 1 AS STRING)
+  WHEN 11 THEN 'page ' || CAST(pdf_index + 1 AS STRING) || ', ' || CAST(pdf_index + 3 AS STRING) || ' and ' || CAST(pdf_index + 108 AS STRING)
+  WHEN 12 THEN 'pages ' || CAST(pdf_index + 1 AS STRING) || ' through ' || CAST(pdf_index + 91 AS STRING) WHEN 13 THEN 'what is on pg. ' || CAST(pdf_index + 1 AS STRING)
+  WHEN 14 THEN 'line ' || CAST(pdf_index % 7 + 1 AS STRING) || ' from p. ' || CAST(pdf_index + 1 AS STRING) WHEN 15 THEN 'page number ' || CAST(pdf_index + 4000 AS STRING)
+  WHEN 16 THEN 'pages ' || CAST(pdf_index + 4000 AS STRING) || ', ' || CAST(pdf_index + 4001 AS STRING) WHEN 17 THEN '' WHEN 18 THEN 'chapter ' || CAST(chapter_id + 31 AS STRING) || ' overall' WHEN 19 THEN 'Plot summary please'
+  WHEN 20 THEN 'my last question was?' WHEN 21 THEN left(text, 25) || '?' WHEN 22 THEN 'and then?' WHEN 23 THEN 'Tell me more about it in chapter ' || CAST(chapter_id + 1 AS STRING) ELSE '   ' END"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each page, to the page's book (now and then to one that isn't there), in a conversation that may or may not have turns."""
+    p = book_pages(spark, sf_dir).withColumn("text", F.array_join("lines", "\n"))
+    book = F.when(F.col("doc_id") % 97 == 5, "no such book").otherwise(F.col("book"))
+    return p.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("question_id"), book.alias("book"), (F.col("doc_id") % 250).alias("conv_id"), F.expr(ASKED).alias("question"))
 
-FOLLOW_UPS = (
-    "What about her sister?", "and then?", "Tell me more", "What is a while loop in Python?", "Summarize chapter 4 of the book", "", "Explain the last one in detail please now", "How does recursion work inside compilers today",
-)
 
 VISION_RAW = (
     ("h1", 0, '```json\n{"pages":[{"page":"1","items":[{"panel":1,"type":"speech","speaker":"Ann","text":"Hello\\n  there"},{"panel":2,"type":"SFX","speaker":"","text":"BOOM"}]}]}\n```'),

@@ -256,7 +256,7 @@ def chapters_heading(spark, sf):
   FROM (SELECT book, CAST(regexp_extract(book, '([0-9]+)$', 1) AS INT) AS n, count(*) AS c FROM chapters GROUP BY book)""", _PAGES)
 def chapter_method(spark, sf):
     """A third of the books has an outline, a third headings only, and a third neither."""
-    n = F.regexp_extract("book", "([0-9]+)$", 1).cast("int")
+    n = F.regexp_extract("book", "([0-9]+)$", 1).try_cast("int")
     headed = chapters_heading(spark, sf).where(n % 3 != 2)
     found, method = PG.choose_chapters(chapters_outline(spark, sf).where(n % 3 == 0), headed, B.totals(spark, sf))
     counts = found.groupBy("book").agg(F.count("*").alias("chapters"))
@@ -351,7 +351,7 @@ def index_replaced(spark, sf):
     """Lexical search after every odd book was ingested anew with half of its pages."""
     first, index = _index(spark, sf), _kept_index(spark, sf)
     if len(index.generations()) < 2:
-        index.ingest(first.chunks.where((F.regexp_extract("book", "([0-9]+)$", 1).cast("int") % 2 == 1) & (F.col("pdf_index") % 2 == 0)).select(*_CHUNK_COLUMNS))
+        index.ingest(first.chunks.where((F.regexp_extract("book", "([0-9]+)$", 1).try_cast("int") % 2 == 1) & (F.col("pdf_index") % 2 == 0)).select(*_CHUNK_COLUMNS))
     return R.bm25_topk(index.open(), _questions(spark, sf)).select("query_id", "chunk", "rank", "score")
 
 
@@ -449,7 +449,8 @@ def _quoted(pattern: str) -> str:
 
 
 _ROUTE = f"""
-q AS (SELECT * FROM {{values}} UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations),
+asked AS (SELECT 'd' || doc_id AS question_id, CASE WHEN doc_id % 97 = 5 THEN 'no such book' ELSE book END AS book, doc_id % 250 AS conv_id, {B.ASKED} AS question FROM book_pages),
+q AS (SELECT question_id, question FROM asked UNION ALL SELECT 'c' || conv_id || '/' || turn, text FROM conversations),
 t AS (SELECT question_id, regexp_replace(coalesce(question, ''), '^\\s+|\\s+$', '', 'g') AS q FROM q),
 n AS (SELECT *, TRY_CAST(regexp_extract(q, {_quoted(P.PAGE_RANGE)}, 1) AS INT) AS a, TRY_CAST(regexp_extract(q, {_quoted(P.PAGE_RANGE)}, 2) AS INT) AS b,
   list_sort(list_distinct(list_transform(regexp_extract_all(regexp_extract(q, {_quoted(P.PAGE_LIST)}, 1), '[0-9]{{{{1,4}}}}'), lambda x: CAST(x AS INT)))) AS l FROM t),
@@ -460,18 +461,17 @@ r AS (SELECT question_id, CASE k WHEN 'line_page' THEN 'page_line' WHEN 'range'
   TRY_CAST(CASE k WHEN 'page_line' THEN regexp_extract(q, {_quoted(P.PAGE_LINE)}, 1) WHEN 'line_page' THEN regexp_extract(q, {_quoted(P.LINE_PAGE)}, 2) WHEN 'page' THEN regexp_extract(q, {_quoted(P.PAGE)}, 1) END AS INT) AS page,
   TRY_CAST(CASE k WHEN 'page_line' THEN regexp_extract(q, {_quoted(P.PAGE_LINE)}, 2) WHEN 'line_page' THEN regexp_extract(q, {_quoted(P.LINE_PAGE)}, 1) END AS INT) AS line,
   CASE k WHEN 'range' THEN list_transform(range(least(a, b), greatest(a, b) + 1), lambda x: CAST(x AS INT)) WHEN 'list' THEN l END AS pages, CASE WHEN k = 'chapter' THEN upper(regexp_extract(q, {_quoted(P.CHAPTER)}, 1)) END AS chapter FROM k)
-""".replace("{values}", B.sql_values(tuple((f"q{i:03d}", x) for i, x in enumerate(B.QUESTIONS)), "question_id, question")).replace("{{", "{").replace("}}", "}")
+""".replace("{{", "{").replace("}}", "}")
 
 
-@query("route_classify", """SELECT *, kind || coalesce(' pages=' || pages[1] || '..' || pages[-1] || ' (' || len(pages) || ')', ' page=' || page, '') || coalesce(' line=' || line, '') || coalesce(' chapter=' || chapter, '') AS shown FROM r""", _ROUTE)
+@query("route_classify", """SELECT *, kind || coalesce(' pages=' || pages[1] || '..' || pages[-1] || ' (' || len(pages) || ')', ' page=' || page, '') || coalesce(' line=' || line, '') || coalesce(' chapter=' || chapter, '') AS shown FROM r""", _PAGES + "," + _ROUTE)
 def route_classify(spark, sf):
     said = B.turns(spark, sf).select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("question_id"), F.col("text").alias("question"))
-    given = spark.createDataFrame([(f"q{i:03d}", q) for i, q in enumerate(B.QUESTIONS)], "question_id string, question string")
-    r = Q.classify(given.unionByName(said))
+    r = Q.classify(B.asked(spark, sf).select("question_id", "question").unionByName(said))
     return r.select("question_id", F.col("route.kind").alias("kind"), "route.page", "route.line", "route.pages", "route.chapter", Q.route_text(F.col("route")).alias("shown"))
 
 
-@query("route_pages", "SELECT question_id, unnest(pages) AS page FROM r WHERE kind = 'pages'", _ROUTE)
+@query("route_pages", "SELECT question_id, unnest(pages) AS page FROM r WHERE kind = 'pages'", _PAGES + "," + _ROUTE)
 def route_pages(spark, sf):
     return route_classify(spark, sf).where("kind = 'pages'").select("question_id", F.explode("pages").alias("page"))
 
@@ -740,7 +740,7 @@ _OVERVIEW = r"array_to_string(list_filter(regexp_split_to_array(joined, '\s+'),
   _LAYOUT + "," + _EDGE + _NUMBERING.removeprefix(_PAGES) + "," + _CHUNKS + "," + _SUMMARY, True)
 def book_status(spark, sf):
     """Every seventh book has no chunks, every fifth no summaries, a third no chapters."""
-    n = F.regexp_extract("book", "([0-9]+)$", 1).cast("int")
+    n = F.regexp_extract("book", "([0-9]+)$", 1).try_cast("int")
     pages = B.book_pages(spark, sf).withColumn("source", F.when(n % 4 == 3, "vision").otherwise("text"))
     headed = chapters_heading(spark, sf).where(n % 3 != 2)
     chapters, methods = PG.choose_chapters(chapters_outline(spark, sf).where(n % 3 == 0), headed, B.totals(spark, sf))
@@ -779,7 +779,7 @@ def roundtrip(spark, sf):
   LEFT JOIN (SELECT book, trim({_OVERVIEW}) <> '' AS has_overview FROM roll WHERE {_BOOK} % 5 <> 0 AND {_BOOK} % 3 <> 2) o ON o.book = b.book""", _PAGES + "," + _SUMMARY)
 def coverage_checks(spark, sf):
     """A third of the books has no chapters, and every fifth of the others no summaries."""
-    n = F.regexp_extract("book", "([0-9]+)$", 1).cast("int")
+    n = F.regexp_extract("book", "([0-9]+)$", 1).try_cast("int")
     pages = B.book_pages(spark, sf).withColumn("chapter_id", F.when(n % 3 != 2, F.col("chapter_id")).otherwise(-1))
     s = _summaries(spark, sf).where((n % 5 != 0) & (n % 3 != 2))
     overviews = M.rollup(s).select("book", M.extractive(F.col("joined")).alias("overview"))
@@ -857,28 +857,75 @@ def chapter_context(spark, sf):
     return found.join(_summaries(spark, sf).select("book", "chapter_id", "span", "summary"), ["book", "chapter_id"], "left").select("book", "chapter", "title", "span", "summary")
 
 
-@query("answer_dispatch")
+_HISTORY = ORACLE_SQL["history_window"]
+#: Routed questions with what was said before, the chapter they name, and what to search for.
+_ROUTED = _PAGES + "," + _ROUTE + rf""",
+chs AS (SELECT * FROM chapters WHERE {_BOOK} % 3 <> 2),
+nums AS (SELECT * FROM {B.sql_values(tuple((str(k), v) for k, v in PG.ROMAN_NUMERALS.items()) + tuple((v, str(k)) for k, v in PG.ROMAN_NUMERALS.items()), "a, b")}),
+names AS (SELECT a.question_id, a.book, lower(trim(r.chapter)) AS name, 0 AS try_ FROM asked a JOIN r ON r.question_id = a.question_id WHERE kind = 'chapter' UNION ALL SELECT a.question_id, a.book, nums.b, 1 FROM asked a JOIN r ON r.question_id = a.question_id JOIN nums ON nums.a = lower(trim(r.chapter)) WHERE kind = 'chapter'),
+named AS (SELECT question_id, arg_min(id, (try_, id)) AS chapter_id, arg_min(title, (try_, id)) AS title FROM names n JOIN chs c ON c.book = n.book AND (contains(lower(title), name) OR starts_with(lower(title), 'chapter ' || name)) GROUP BY question_id),
+hist AS ({_HISTORY}),
+prev AS (SELECT conv_id, arg_max(coalesce(text, ''), turn) FILTER (lower(role) IN ('user', 'human')) AS previous FROM conversations GROUP BY conv_id),
+rq0 AS (SELECT a.*, r.kind, r.page, r.line, r.pages, n.chapter_id, n.title, h.history, p.previous, p.conv_id IS NOT NULL AS has_turns, regexp_replace(coalesce(a.question, ''), '^\s+|\s+$', '', 'g') AS t
+  FROM asked a JOIN r ON r.question_id = a.question_id LEFT JOIN named n ON n.question_id = a.question_id LEFT JOIN hist h ON h.conv_id = a.conv_id LEFT JOIN prev p ON p.conv_id = a.conv_id),
+rq1 AS (SELECT *, kind IN ('semantic', 'chapter') AND coalesce(history, '') <> '' AND t <> '' AND (len(regexp_split_to_array(t, '\s+')) <= 4 OR regexp_matches(t, {{cont}}) OR regexp_matches(t, {{pron}})) AS needs,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(previous, ''), '\s+', ' ', 'g') || ' ' || coalesce(question, ''), '^\s+|\s+$', '', 'g'), '^"+|"+$', '', 'g'), '^\s+|\s+$', '', 'g') AS o FROM rq0),
+rq AS (SELECT * EXCLUDE (o), CASE WHEN NOT needs THEN coalesce(question, '') WHEN trim(CASE WHEN length(o) > 400 OR contains(o, chr(10)) THEN left(string_split(o, chr(10))[1], 400) ELSE o END) = '' THEN coalesce(question, '')
+  WHEN length(o) > 400 OR contains(o, chr(10)) THEN left(string_split(o, chr(10))[1], 400) ELSE o END AS searched FROM rq1)""".replace("\\\\", "\\").replace("{cont}", _quoted(P.CONTINUATION)).replace("{pron}", _quoted(P.PRONOUNS))
+
+
+def _asked_for(spark, sf):
+    """A third of the books has no chapters, every fifth of the others no summaries yet."""
+    n = F.regexp_extract("book", "([0-9]+)$", 1).try_cast("int")
+    s = _summaries(spark, sf).where((n % 5 != 0) & (n % 3 != 2))
+    return B.asked(spark, sf), B.turns(spark, sf), B.chapters(spark, sf).where(n % 3 != 2), s, M.rollup(s).select("book", M.extractive(F.col("joined")).alias("overview"), "joined")
+
+
+@query("question_rewritten", "SELECT question_id, book, kind, chapter_id, title, has_turns, searched AS asked FROM rq", _ROUTED)
+def question_rewritten(spark, sf):
+    """What each question is searched for, and the chapter that it names."""
+    from pagewright.plans.dispatch import routed
+
+    asked, turns, chapters, _, _ = _asked_for(spark, sf)
+    return routed(asked, turns, chapters).select("question_id", "book", "kind", "chapter_id", "title", "has_turns", "asked")
+
+
+_SEARCHED = _CHUNKS + "," + _BM25.split("questions AS")[0].rstrip().rstrip(",") + f""",
+open AS (SELECT * FROM rq WHERE kind = 'semantic' OR kind = 'chapter' OR kind = 'global' AND book NOT IN (SELECT book FROM chs)),
+questions AS (SELECT question_id AS query_id, book, chapter_id, CASE kind WHEN 'global' THEN 120 ELSE 12 END AS k, searched AS text, regexp_extract_all(lower(searched), '[a-z0-9'']+') AS ts FROM open),
+qt AS (SELECT query_id, book, term, count(*) AS qtf FROM (SELECT query_id, book, unnest(ts) AS term FROM questions) GROUP BY ALL),
+lex0 AS (SELECT query_id, qt.book, chunk, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf ON idf.book = qt.book AND idf.term = qt.term JOIN post ON post.book = qt.book AND post.term = qt.term GROUP BY query_id, qt.book, chunk),
+lex1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS place FROM lex0),
+lex AS (SELECT l.query_id, l.chunk, row_number() OVER (PARTITION BY l.query_id ORDER BY place) AS rank FROM lex1 l JOIN questions q ON q.query_id = l.query_id JOIN chunks c ON c.chunk = l.chunk WHERE place <= greatest(k, 40) AND score > 0 AND (q.chapter_id IS NULL OR q.chapter_id = c.chapter_id)),
+vec AS (SELECT book, chunk, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0.0 END) AS v FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT book, chunk, {_EMBED.format('ts')} AS v FROM toks))),
+qvec AS (SELECT query_id, book, chapter_id, k, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE 0.0 END) AS v FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT query_id, book, chapter_id, k, {_EMBED.format('ts')} AS v FROM questions))),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk) AS rank FROM (SELECT query_id, k, vec.chunk, round(list_dot_product(vec.v, qvec.v), 6) AS score FROM vec JOIN qvec ON qvec.book = vec.book JOIN chunks c ON c.chunk = vec.chunk WHERE qvec.chapter_id IS NULL OR qvec.chapter_id = c.chapter_id)) WHERE rank <= greatest(k, 40)),
+fused AS (SELECT query_id, chunk, round(sum(1 / (60 + rank)), 9) AS score, min(d) AS d, min(l) AS l FROM (SELECT query_id, chunk, rank, rank AS d, NULL AS l FROM dense UNION ALL SELECT query_id, chunk, rank, NULL, rank FROM lex) GROUP BY ALL),
+top AS (SELECT f.* FROM (SELECT query_id, chunk, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d NULLS LAST, l, chunk) AS rank FROM fused) f JOIN questions q ON q.query_id = f.query_id WHERE rank <= k),
+passages AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN chunks USING (chunk) GROUP BY query_id)"""
+
+
+@query("answer_dispatch", rf"""SELECT q.question_id, q.book, q.kind, q.searched AS asked, CASE
+  WHEN kind = 'page_line' THEN CASE WHEN total IS NULL THEN 'No book of this name has been indexed.' WHEN f.pdf_index IS NULL THEN 'Page ' || page || ' is not among the ' || total || ' pages of this book.'
+    WHEN line < 1 OR f.lines[line] IS NULL THEN 'Page ' || page || ' has ' || len(f.lines) || ' lines; there is no line ' || line || '.' ELSE 'Page ' || page || ', line ' || line || ': ' || f.lines[line] || ' (viewer page ' || (f.pdf_index + 1) || ' of ' || len(f.lines) || ' lines)' END
+  WHEN kind IN ('page', 'pages') THEN CASE WHEN total IS NULL THEN 'No book of this name has been indexed.' WHEN g.context IS NULL AND kind = 'page' THEN 'Page ' || page || ' is not among the ' || total || ' pages of this book.'
+    WHEN g.context IS NULL THEN 'None of these pages is among the ' || total || ' pages of this book.' ELSE g.context || coalesce(chr(10) || chr(10) || 'Not in this book: ' || g.missing, '') END
+  WHEN kind = 'memory' THEN CASE WHEN NOT has_turns THEN 'This conversation has no earlier messages; this is its first question.' WHEN previous IS NULL THEN 'There is no earlier question of yours in this conversation.' ELSE 'Your previous question was: ' || trim(previous) END
+  WHEN kind = 'global' AND o.joined IS NOT NULL THEN {_OVERVIEW.replace('joined', 'o.joined')} || chr(10) || chr(10) || o.joined
+  WHEN kind = 'global' AND q.book IN (SELECT book FROM chs) THEN 'Summaries of this book have not been built yet; questions on its pages, chapters and passages can be answered.'
+  WHEN kind = 'chapter' AND q.chapter_id IS NOT NULL THEN q.title || ' (pages ' || coalesce(s.span, '?') || '): ' || coalesce(s.summary, '(not available)') || coalesce(chr(10) || chr(10) || x.context, '')
+  ELSE coalesce(x.context, 'Nothing in this book fits the question.') END AS answer
+  FROM rq q LEFT JOIN totals t ON t.book = q.book LEFT JOIN book_pages f ON kind = 'page_line' AND f.book = q.book AND f.printed_page = CAST(page AS VARCHAR)
+  LEFT JOIN (SELECT question_id, string_agg(block, chr(10) || chr(10) ORDER BY ord) AS context, string_agg(CAST(p AS VARCHAR), ', ' ORDER BY ord) FILTER (block IS NULL) AS missing FROM (
+    SELECT w.question_id, p, ord, CASE WHEN f.pdf_index IS NOT NULL THEN '=== PRINTED PAGE ' || f.printed_page || ' ===' || chr(10) || CASE WHEN trim({_NUMBERED.format('f.lines')}) = '' THEN '(this page has no text)' ELSE {_NUMBERED.format('f.lines')} END END AS block
+    FROM (SELECT question_id, book, unnest(coalesce(pages, [page])) AS p, unnest(range(len(coalesce(pages, [page])))) AS ord FROM rq WHERE kind IN ('page', 'pages')) w LEFT JOIN book_pages f ON f.book = w.book AND f.printed_page = CAST(p AS VARCHAR)) GROUP BY question_id) g ON g.question_id = q.question_id
+  LEFT JOIN (SELECT * FROM roll WHERE {_BOOK} % 5 <> 0 AND {_BOOK} % 3 <> 2) o ON o.book = q.book LEFT JOIN (SELECT * FROM summ WHERE {_BOOK} % 5 <> 0 AND {_BOOK} % 3 <> 2) s ON s.book = q.book AND s.chapter_id = q.chapter_id
+  LEFT JOIN passages x ON x.query_id = q.question_id""", _ROUTED + "," + _SEARCHED + "," + _SUMMARY, True)
 def answer_dispatch(spark, sf):
-    from pagewright.plans.dispatch import dispatch, routed
-
-    given = spark.createDataFrame([(f"q{i:03d}", q) for i, q in enumerate(B.QUESTIONS)], "question_id string, question string")
-    books = B.totals(spark, sf).select("book")
-    asked = books.withColumn("q", F.explode(F.array(*[F.struct(F.lit(f"q{i:03d}").alias("question_id"), F.lit(q).alias("question")) for i, q in enumerate(B.QUESTIONS)]))).select("q.question_id", "book", "q.question")
-    index, chapters = _index(spark, sf), B.chapters(spark, sf)
-    key = F.concat_ws("/", "question_id", "book").alias("query_id")
-
-    def passages(of: DataFrame, k: int, by_chapter: bool = False) -> DataFrame:
-        found = R.context(R.search(index, of, k, by_chapter=by_chapter)[0], index.chunks).withColumn("x", F.split("query_id", "/"))
-        return found.select(F.get("x", F.lit(0)).alias("question_id"), F.get("x", F.lit(1)).alias("book"), "context")
-
-    of = kept(routed(asked, chapters))
-    said = ["query_id", "book", F.col("question").alias("text")]
-    near = passages(of.where("kind = 'semantic' OR kind = 'chapter' AND chapter_id IS NULL").select(key, "*").select(said), P.RETRIEVAL_K)
-    wide = passages(of.where("kind = 'global'").select(key, "*").select(said), P.GLOBAL_K)
-    inside = passages(of.where("kind = 'chapter' AND chapter_id IS NOT NULL").select(key, "*").select(*said, "chapter_id"), P.RETRIEVAL_K, True)
-    s = _summaries(spark, sf)
-    history = given.where("false").select("question_id", F.col("question").alias("answer"))
-    return dispatch(of, B.book_pages(spark, sf), s, M.rollup(s), near, wide, inside, history)
+    from pagewright.plans.dispatch import answered
+
+    asked, turns, chapters, summaries, overviews = _asked_for(spark, sf)
+    return answered(asked, turns, _index(spark, sf), B.book_pages(spark, sf), chapters, summaries, overviews).drop("prompt")
 
 
 _DIAG = f"""
