@@ -12,6 +12,15 @@ def save(rows: DataFrame, at: str, batch_rows: int = 0) -> None:
     (writer.option("maxRecordsPerFile", batch_rows) if batch_rows else writer).parquet(at)
 
 
+def replace(rows: DataFrame, books: DataFrame, at: str) -> None:
+    """``save`` for tables in which a book of ``books`` (book) may have no row left: its folder is then emptied of rows.
+
+    Each book gets a row, the empty ones one whose other columns are null, which ``load`` and readers by id leave out.
+    """
+    empty = books.join(rows.select("book").distinct(), "book", "left_anti")
+    save(rows.unionByName(empty, allowMissingColumns=True), at)
+
+
 def load(spark: SparkSession, at: str, book: str) -> DataFrame:
     """One book; an unknown name is an error, and only its folder is read."""
     rows = spark.read.parquet(at).where(F.col("book") == book)
