@@ -443,6 +443,11 @@ def eval_metrics(spark, sf):
     return R.eval_metrics(_ranks(spark, sf))
 
 
+@query("eval_misses", "SELECT r.query_id, q.book, left(q.text, 60) AS shown FROM ranks r JOIN questions q ON q.query_id = r.query_id WHERE r.rank IS NULL", _ALL + "," + _GOLD, True)
+def eval_misses(spark, sf):
+    return R.misses(_ranks(spark, sf), _questions(spark, sf))
+
+
 # ---------------------------------------------------------------- routing and conversation
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +22,10 @@ def replace(rows: DataFrame, books: DataFrame, at: str) -> None:
     save(rows.unionByName(empty, allowMissingColumns=True), at)
 
 
-def load(spark: SparkSession, at: str, book: str) -> DataFrame:
-    """One book; an unknown name is an error, and only its folder is read."""
-    rows = spark.read.parquet(at).where(F.col("book") == book)
-    if not rows.limit(1).count():
-        raise ValueError(f"no such book: {book}")
-    return rows
+def load(spark: SparkSession, at: str, book: str) -> DataFrame | None:
+    """One book, None if there is none of the name; only its folder is read."""
+    try:
+        rows = spark.read.parquet(at).where(F.col("book") == book)
+    except AnalysisException:
+        return None
+    return rows if rows.limit(1).count() else None
