@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import patterns as P
 from pagewright.operators import chunks as C
 from pagewright.operators import pages as PG
+from pagewright.sources.tables import Files, shared_folder, stamp
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def session_folder(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """Where this session keeps what it derives from the documents at ``sf_dir``: another folder for each session and each state of the table."""
+    of = hashlib.sha256(f"{spark.sparkContext.applicationId} {stamp(spark, f'{sf_dir}/documents.parquet')}".encode()).hexdigest()[:32]
+    return shared_folder(spark, f"{kind}-{of}")
+
+
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of all books; the first query of a session derives and writes them, all others read them."""
+    at = session_folder(spark, sf_dir, "pages")
+    if "_SUCCESS" not in Files(spark, at).names(""):
+        _book_pages(spark, sf_dir).write.mode("overwrite").option("compression", "zstd").parquet(at)
+    return spark.read.parquet(at)
+
+
+def _placed(d: DataFrame) -> DataFrame:
+    """``d`` (book, doc_id, ...) with pdf_index, its place in the book from 0: places in ranges of doc_id and counts of the ranges before, so no task ranks a whole book."""
+    ends = d.agg(F.min("doc_id"), F.max("doc_id")).first()
+    width = 1 if ends[0] is None else (ends[1] - ends[0]) // 4096 + 1
+    ranged = d.withColumn("_range", F.expr(f"doc_id div {width}L"))
+    sums = ranged.groupBy("book", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("book").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # 4,097 ranges a book at most
+    bases = sums.select("book", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    bases = bases.withColumnsRenamed({"book": "_book", "_range": "_of"})
+    inside = F.row_number().over(Window.partitionBy("book", "_range").orderBy("doc_id"))
+    rows = ranged.withColumn("_i", inside).join(bases, F.col("book").eqNullSafe(F.col("_book")) & F.col("_range").eqNullSafe(F.col("_of")))
+    return rows.select(*d.columns, (F.col("_base") + F.col("_i") - 1).cast("int").alias("pdf_index"))
+
+
+def _book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("book"), "doc_id", "text")
-    pdf_index = (F.row_number().over(Window.partitionBy("book").orderBy("doc_id")) - 1).cast("int")
-    p = d.withColumn("pdf_index", pdf_index).withColumn("lines", F.split("text", "\n")).drop("text")
+    p = _placed(d).withColumn("lines", F.split("text", "\n")).drop("text")
     roman = F.get(F.array(*[F.lit(x) for x in ("i", "ii", "iii", "iv")]), F.col("pdf_index"))
     label = F.when(F.col("pdf_index") < 4, roman).otherwise((F.col("pdf_index") - 3).cast("string"))
     return p.select("book", "doc_id", "pdf_index", label.alias("printed_page"), (F.col("pdf_index") < 4).alias("is_front_matter"), (PG.index_ratio(F.col("lines")) >= P.INDEX_SHARE).alias("is_index"), F.expr("pdf_index div 5").cast("int").alias("chapter_id"), "lines")

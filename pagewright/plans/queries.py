@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -24,7 +23,7 @@ from pagewright.operators.cells import Cells
 from pagewright.operators.index import KeptIndex
 from pagewright.plans import binding as B
 from pagewright.sources import html as H
-from pagewright.sources.tables import kept, shared_folder, stamp
+from pagewright.sources.tables import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -319,9 +318,7 @@ _CHUNK_COLUMNS = ("book", "chunk", "pdf_index", "chapter_id", "text")
 
 
 def _kept_index(spark, sf) -> KeptIndex:
-    """The session's index of the documents at ``sf``: another folder for each session and each state of the table."""
-    of = hashlib.sha256(f"{spark.sparkContext.applicationId} {stamp(spark, f'{sf}/documents.parquet')}".encode()).hexdigest()[:32]
-    return KeptIndex(spark, shared_folder(spark, f"index-{of}"))
+    return KeptIndex(spark, B.session_folder(spark, sf, "index"))
 
 
 def _index(spark, sf):
