@@ -25,6 +25,10 @@ def _spans(sizes: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Characters of pieces that a worker holds as strings before they become Arrow arrays.
+HELD_CHARS = 1 << 22
+
+
 def pieces(lines: Column, most: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVERLAP_LINES) -> Column:
     """array<struct<s, e, body>> of half-open line spans and their lines, joined by newlines; null lines are empty.
 
@@ -36,17 +40,27 @@ def pieces(lines: Column, most: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVER
         flat = pc.fill_null(pages.flatten(), "")
         sizes = np.asarray(pc.utf8_length(flat), dtype=np.int64) + 1
         counts = np.asarray(pc.fill_null(pc.list_value_length(pages), 0))
-        ends, first, s, e, body = [0], 0, [], [], []
+        made, first = [], 0
+        ends, s, e, body, held = [0], [], [], [], 0
+
+        def close() -> None:
+            held_ = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(body, pa.string())], ["s", "e", "body"])
+            made.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held_))
+
         for n in counts.tolist():
             text = flat.slice(first, n).to_pylist()
             for a, b in _spans(sizes[first : first + n], most, overlap):
                 s.append(a)
                 e.append(b)
                 body.append("\n".join(text[a:b]))
+                held += len(body[-1])
             ends.append(len(s))
             first += n
-        made = pa.StructArray.from_arrays([pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(body, pa.string())], ["s", "e", "body"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
+            if held > HELD_CHARS:
+                close()
+                ends, s, e, body, held = [0], [], [], [], 0
+        close()
+        return pa.concat_arrays(made)
 
     return F.arrow_udf(cut, "array<struct<s:int,e:int,body:string>>")(lines)
 
