@@ -26,7 +26,7 @@ def _spans(sizes: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]:
 
 
 #: Characters of pieces that a worker holds as strings before they become Arrow arrays.
-HELD_CHARS = 1 << 22
+HELD_CHARS = 1 << 20
 
 
 def pieces(lines: Column, most: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVERLAP_LINES) -> Column:
@@ -37,7 +37,8 @@ def pieces(lines: Column, most: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVER
     """
 
     def cut(pages: pa.Array) -> pa.Array:
-        flat = pc.fill_null(pages.flatten(), "")
+        flat = pages.flatten()
+        flat = pc.fill_null(flat, "") if flat.null_count else flat
         sizes = np.asarray(pc.utf8_length(flat), dtype=np.int64) + 1
         counts = np.asarray(pc.fill_null(pc.list_value_length(pages), 0))
         made, first = [], 0
@@ -60,6 +61,7 @@ def pieces(lines: Column, most: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVER
                 close()
                 ends, s, e, body, held = [0], [], [], [], 0
         close()
+        del flat
         return pa.concat_arrays(made)
 
     return F.arrow_udf(cut, "array<struct<s:int,e:int,body:string>>")(lines)
