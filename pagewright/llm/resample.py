@@ -15,6 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,37 +45,74 @@ def buckets_of(found: list[bytes], longest: int, buckets: int) -> np.ndarray:
     return np.concatenate(parts) % buckets
 
 
-def matrix(docs: DataFrame, key: str = "doc_id", longest: int = LONGEST_RUN, buckets: int = BUCKETS) -> DataFrame:
-    """Blocks of the count matrix of ``docs`` (``key``, text): keys, n_words, begin (of each row, and the end), bucket and n of each entry."""
+#: Text of a block, about, and its most documents. A Parquet reader decodes 4,096 rows at once, so blocks are no larger than a few documents.
+BLOCK_BYTES, BLOCK_DOCS = 1 << 14, 32
+
+
+def _lists(x: np.ndarray | pa.Array, ends: list[int]) -> pa.ListArray:
+    """``x`` as lists that end at ``ends``."""
+    return pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), x)
+
+
+def _bytes(x: np.ndarray, ends: list[int]) -> pa.BinaryArray:
+    """``x``, of 4 bytes each, as binaries that end at ``ends``."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(4 * np.array([0, *ends], np.int32)), pa.py_buffer(x)])
+
+
+def _ints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All integers of the binaries that ``_bytes`` made, and how many each has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int32) if data else np.zeros(0, np.int32), np.diff(ends) // 4
+
+
+def matrix(docs: DataFrame, key: str = "doc_id", longest: int = LONGEST_RUN, buckets: int = BUCKETS, packed: bool = False) -> DataFrame:
+    """Blocks of the count matrix of ``docs`` (``key``, text): keys, n_words, begin (of each row, and the end), bucket and n of each entry.
+
+    ``packed`` bucket and n are binaries of 4 bytes an entry: a reader holds levels and nulls beside each element of a list, and so several times as much.
+    """
+    entry = _bytes if packed else _lists
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rounds(batches):
             if not b.num_rows:
                 continue
             n_words, begin, at, counts = [], [0], [], []
-            for text in b.column("text").to_pylist():
+            docs_to, begins_to, entries_to, held, entries = [], [], [], 0, 0
+            texts = b.column("text").to_pylist()
+            for i, text in enumerate(texts, 1):
                 found = words(text or "")
                 bucket, n = np.unique(buckets_of(found, longest, buckets), return_counts=True)
                 n_words.append(len(found))
                 begin.append(begin[-1] + len(bucket))
                 at.append(bucket.astype(np.int32))
                 counts.append(n.astype(np.int32))
-            row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                held, entries = held + len(text or ""), entries + len(bucket)
+                if held >= BLOCK_BYTES or i - (docs_to[-1] if docs_to else 0) >= BLOCK_DOCS or i == len(texts):
+                    docs_to.append(i)
+                    begins_to.append(len(begin))
+                    entries_to.append(entries)
+                    if i < len(texts):
+                        begin.append(0)
+                    held = 0
             yield pa.RecordBatch.from_arrays(
-                [row(b.column("key")), row(pa.array(n_words, pa.int64())), row(pa.array(begin, pa.int64())), row(pa.array(np.concatenate(at))), row(pa.array(np.concatenate(counts)))],
+                [
+                    _lists(b.column("key"), docs_to), _lists(pa.array(n_words, pa.int64()), docs_to), _lists(pa.array(begin, pa.int64()), begins_to),
+                    entry(np.concatenate(at), entries_to), entry(np.concatenate(counts), entries_to),
+                ],
                 names=["keys", "n_words", "begin", "bucket", "n"],
-            )
+            )
 
-    return docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(each, "keys array<long>, n_words array<long>, begin array<long>, bucket array<int>, n array<int>")
+    return docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(each, "keys array<long>, n_words array<long>, begin array<long>, " + ("bucket binary, n binary" if packed else "bucket array<int>, n array<int>"))
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """The features of each bucket; a task sends a row a bucket, and no more than ``buckets`` of them reach the driver."""
+    """The features of each bucket of packed ``blocks``; a task sends a row a bucket, and no more than ``buckets`` of them reach the driver."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets, np.int64)
         for b in batches:
-            np.add.at(sums, np.asarray(b.column("bucket").flatten()), np.asarray(b.column("n").flatten()))
+            np.add.at(sums, _ints(b.column("bucket"))[0], _ints(b.column("n"))[0])
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], names=["bucket", "n"])
 
@@ -92,14 +130,20 @@ def gains(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
-    """(doc_id, n_words, n_features, weight): the matrix times ``gain``, an array of one long a bucket."""
+    """(doc_id, n_words, n_features, weight): the matrix, in packed ``blocks``, times ``gain``, an array of one long a bucket."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                begin, bucket, n = (np.asarray(b.column(c)[i].values) for c in ("begin", "bucket", "n"))
-                sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[begin])
-                yield pa.RecordBatch.from_arrays([b.column("keys")[i].values, b.column("n_words")[i].values, pa.array(sums(n.astype(np.int64))), pa.array(sums(n * gain[bucket]))], names=["doc_id", "n_words", "n_features", "weight"])
+            if not b.num_rows:
+                continue
+            (bucket, sizes), (n, _) = _ints(b.column("bucket")), _ints(b.column("n"))
+            begin, rows = np.asarray(b.column("begin").flatten()), np.asarray(pc.list_value_length(b.column("keys")), dtype=np.int64)
+            # where each document's entries begin in the whole batch, and where they end
+            begin = begin + np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, rows + 1)
+            last = np.cumsum(rows + 1) - 1
+            starts, ends = np.delete(begin, last), np.delete(begin, last - rows)
+            sums = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x)])[np.stack([starts, ends])], axis=0)[0])
+            yield pa.RecordBatch.from_arrays([b.column("keys").flatten(), b.column("n_words").flatten(), sums(n.astype(np.int64)), sums(n * gain[bucket])], names=["doc_id", "n_words", "n_features", "weight"])
 
     return blocks.mapInArrow(each, "doc_id long, n_words long, n_features long, weight long")
 
@@ -115,8 +159,8 @@ def resample(
     feature and weight 0. Repeated rows are documents of their own; extra columns are ignored, whatever their
     names; an empty table gives none, and an empty target makes all features of the corpus alike rare.
     """
-    blocks = written(matrix(docs, "doc_id", longest, buckets))
-    aim = written(matrix(target.select("text", F.lit(0).alias("doc_id")), "doc_id", longest, buckets))
+    blocks = written(matrix(docs, "doc_id", longest, buckets, True))
+    aim = written(matrix(target.select("text", F.lit(0).alias("doc_id")), "doc_id", longest, buckets, True))
     gain = gains(column_sums(blocks, buckets), column_sums(aim, buckets))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0))).cast("long")

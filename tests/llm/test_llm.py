@@ -970,3 +970,12 @@ def test_matrix_blocks_hold_the_counts(spark):
     assert [b["keys"] for b in blocks] == [[7, 8, 9]] and blocks[0].begin[-1] == len(blocks[0].bucket) and sum(blocks[0].n) == 4
     a, b, c = (zlib.crc32(x) % 50 for x in (b"a", b"b", b"c"))
     assert dict(zip(blocks[0].bucket[:2], blocks[0].n[:2], strict=True)) == {a: 1, b: 2} and blocks[0].bucket[2:] == [c]
+
+
+def test_matrix_blocks_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x y " * 250) for i in range(200)], "doc_id long, text string").coalesce(1)
+    blocks = resample.matrix(docs).collect()
+    assert len(blocks) > 10 and max(len(b["keys"]) for b in blocks) < 20
+    assert [k for b in blocks for k in b["keys"]] == list(range(200)) and all(b.begin[0] == 0 and b.begin[-1] == len(b.bucket) and len(b.begin) == len(b["keys"]) + 1 for b in blocks)
+    got = resample.weights(resample.matrix(docs, packed=True), np.arange(resample.BUCKETS)).collect()
+    assert {(r.n_words, r.n_features) for r in got} == {(750, 750)} and got[7].weight == 250 * sum(zlib.crc32(x) % 10_000 for x in (b"w7", b"x", b"y"))
