@@ -36,7 +36,7 @@ def read(lines: DataFrame, labels: DataFrame | None = None, outline: DataFrame |
     name = F.first("filename", True) if "filename" in lines.columns else F.lit(None).cast("string")
     every = lines.groupBy("book", "pdf_index").agg(name.alias("filename"))
     ordered = PG.reading_order(lines.where("text IS NOT NULL"))
-    margins = PG.calibrate_margins(ordered)
+    margins = PG.calibrate_margins(ordered, P.ANY_ARABIC)
     pages = every.join(PG.split_margins(ordered, margins), ["book", "pdf_index"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<string>")))
     pages = PG.with_folio(pages)
     numbering = PG.resolve_labels(pages, labels)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.functions import patterns as P
 from pagewright.operators import chunks, conversation, limits, pages, routing, vision
 from pagewright.plans import binding as B
 from pagewright.operators import retrieval as R
@@ -156,3 +157,17 @@ def test_search_inside_a_chapter(spark):
     assert found[0] == "c7" and set(found) == {"c6", "c7", "c8"}
     dense = R.search(index, asked, 2, hybrid=False, by_chapter=True)[0]
     assert dense.count() == 2
+
+
+def test_margins_and_chapters_of_a_long_book(spark):
+    """Page numbers of five digits calibrate margins, and chapters beyond 999 are chapters."""
+    line = lambda k, i, text, y: ("b", k, 1000.0, i, text, 72.0, y, y + 12.0)
+    rows = [x for k in range(40) for x in (line(k, 0, str(10_000 + k) if k % 3 == 0 else f"{10_000 + k}   B", 78.0), line(k, 1, "one", 200.0), line(k, 2, "two", 300.0), line(k, 3, "draft", 950.0))]
+    ordered = pages.reading_order(spark.createDataFrame(rows, "book string, pdf_index int, height double, seq int, text string, x0 double, y0 double, y1 double"))
+    got = pages.split_margins(ordered, pages.calibrate_margins(ordered, P.ANY_ARABIC)).orderBy("pdf_index").collect()
+    assert [(r.header, r.lines) for r in got[:2]] == [("10000", ["one", "two"]), ("10001   B", ["one", "two"])]
+    totals = spark.createDataFrame([("b", 9000)], "book string, total int")
+    outline = spark.createDataFrame([("b", 1, f"Chapter {n}. Part of b", n, n) for n in (999, 1000, 12345)], "book string, level int, title string, page1 int, seq int")
+    assert [r.start for r in pages.chapters_outline(outline, totals).orderBy("start").collect()] == [998, 999, 12344]
+    headed = spark.createDataFrame([("b", n, [f"Chapter {n}. Part of b"]) for n in (999, 1000)], "book string, pdf_index int, lines array<string>")
+    assert pages.chapters_heading(headed, totals).count() == 2
