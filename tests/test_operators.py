@@ -171,3 +171,10 @@ def test_margins_and_chapters_of_a_long_book(spark):
     assert [r.start for r in pages.chapters_outline(outline, totals).orderBy("start").collect()] == [998, 999, 12344]
     headed = spark.createDataFrame([("b", n, [f"Chapter {n}. Part of b"]) for n in (999, 1000)], "book string, pdf_index int, lines array<string>")
     assert pages.chapters_heading(headed, totals).count() == 2
+
+
+def test_pages_are_spread_over_tasks(spark, small, monkeypatch):
+    """A table of one row group is one task to read; its pages are not."""
+    assert B._book_pages(spark, small).rdd.getNumPartitions() >= 8
+    monkeypatch.setattr(B, "PART_BYTES", 1 << 12)
+    assert B._book_pages(spark, small).rdd.getNumPartitions() > 8
