@@ -178,3 +178,11 @@ def test_pages_are_spread_over_tasks(spark, small, monkeypatch):
     assert B._book_pages(spark, small).rdd.getNumPartitions() >= 8
     monkeypatch.setattr(B, "PART_BYTES", 1 << 12)
     assert B._book_pages(spark, small).rdd.getNumPartitions() > 8
+
+
+def test_chapters_are_found_without_pairing_names_and_titles(spark):
+    chapters = spark.createDataFrame([("b", n, f"Chapter {n}") for n in range(1, 40)] + [("c", 1, None), ("c", 2, "IV")], "book string, id int, title string")
+    wanted = spark.createDataFrame([("b", "3"), ("b", " XII "), ("b", ""), ("b", None), ("c", "4"), ("c", ""), ("d", "1")], "book string, chapter string")
+    found = pages.find_chapter(chapters, wanted)
+    assert {(r.book, r.chapter): r.chapter_id for r in found.collect()} == {("b", "3"): 3, ("b", " XII "): 12, ("b", ""): 1, ("b", None): None, ("c", "4"): 2, ("c", ""): 2, ("d", "1"): None}
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
