@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from pagewright.functions import patterns as P
 from pagewright.operators import retrieval as R
-from pagewright.sources.tables import added, kept
+from pagewright.sources.tables import added, kept, small_batches
 
 #: Cells, vectors of the sample that their centers are fitted on, and rounds of the fit.
 CELLS, SAMPLE, ROUNDS = 64, 20_000, 8
@@ -72,7 +72,7 @@ class Cells:
                 yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("vector"), pa.array(far), pa.array(cell)], names=["chunk", "vector", "far", "cell"])
 
         width = fitted.shape[1] if len(fitted) else -1
-        fits = vectors.select("chunk", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == width)
+        fits = small_batches(vectors).select("chunk", F.col("vector").cast("array<double>").alias("vector")).where(F.size("vector") == width)
         placed = fits.mapInArrow(place, f"chunk {kind}, vector array<double>, far double, cell int")
         # ranges that end inside a cell too, so no task writes all of a large one
         placed.repartitionByRange("cell", "chunk").write.partitionBy("cell").parquet(f"{self.at}/vectors")
