@@ -139,6 +139,6 @@ class Cells:
         return both.withColumn("rank", rank).where(F.col("rank") <= k).join(names, "_q").select("chunk", "query_id", "score", "rank")
 
     def _scored(self, asked: np.ndarray, pairs: np.ndarray, balls: list, k: int) -> DataFrame:
-        """(chunk, _q, score) of the vectors of each cell for the queries that ``pairs`` it with, the best k of each Arrow batch. Only those cells' folders are read."""
+        """(chunk, _q, score) of the vectors of each cell for the queries that ``pairs`` it with, the best k of some rows at a time. Only those cells' folders are read."""
         groups = {(b["cell"],): np.flatnonzero(pairs[:, j]) for j, b in enumerate(balls) if pairs[:, j].any()}
         return R.scored(self.vectors().where(F.col("cell").isin([c for c, in groups])), asked, groups, k, ("cell",))
